@@ -1,6 +1,19 @@
 """The queries of this subpackage by name, with their SQL."""
 
+from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .mixing import OP8_SQL, op8_mix_sources
+from .packing import op4_best_fit_packing
+from .quality import op5_quality_rules
 from .token_files import op1_token_files
 
-QUERIES = {"op1_token_files": op1_token_files}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op8_mix_sources": op8_mix_sources,
+}
+ORACLES = {
+    "op6_exact_dedup": OP6_SQL,
+    "op8_mix_sources": OP8_SQL,
+}
