@@ -1,0 +1,31 @@
+"""Connected components of links between ids."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .scratch import Scratch
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``node, label`` with the smallest id reachable, for each end of ``edges(a, b)``.
+
+    Each turn takes the smallest label of the neighbours, then that label's own
+    label, so chains shrink by half or more a turn. Turns are written tables.
+    """
+    both = scratch.write(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
+    labels = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label")), f"{name}-0")
+    turn = 0
+    while True:
+        turn += 1
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("_near"))
+        lower = labels.join(near, "node").select("node", F.col("label").alias("_was"), F.least("label", "_near").alias("_low"))
+        over = labels.select(F.col("node").alias("_low"), F.col("label").alias("_next"))
+        new = lower.join(over, "_low").select("node", F.least("_low", "_next").alias("label"), (F.least("_low", "_next") < F.col("_was")).alias("_moved"))
+        new = scratch.write(new, f"{name}-{turn}")
+        scratch.drop(f"{name}-{turn - 1}")
+        labels = new.select("node", "label")
+        if new.where("_moved").isEmpty():
+            scratch.drop(f"{name}-edges")
+            return labels
