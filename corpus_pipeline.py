@@ -19,7 +19,7 @@ from weirgate.llm.scratch import Scratch
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return keep_good(docs)
+    return keep_good(docs, Scratch(spark, "pipeline"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

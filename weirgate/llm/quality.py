@@ -159,9 +159,14 @@ def judge(voted: DataFrame, model: tuple[float, list[tuple[float, float]]]) -> D
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_FROM)).drop("_votes")
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs(text, ...)`` that the rules keep, with their columns."""
-    voted = vote(docs)
+def keep_good(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of ``docs(text, ...)`` that the rules keep, with their columns.
+
+    The votes are written first: a filter on them would otherwise move below
+    the measures and repeat them.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "quality")
+    voted = scratch.write(vote(docs), "votes")
     return judge(voted, learn(voted)).where("kept").select(docs.columns)
 
 
