@@ -1,4 +1,362 @@
-"""All queries of the library by name, with their SQL."""
+"""All queries of the library by name, each with SQL for the same rows where SQL can express it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..operators import baseline as B
+from ..operators import contracts as C
+from ..operators import identity as I
+from ..operators import schema as S
+from ..sources import baselines
+from ..sources.shared import fresh
+from ..streaming import streams as X
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+SPLIT = "2024-01-22"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _train(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").where(F.col("ts") < F.expr(f"timestamp_ntz'{SPLIT}'"))
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").where(F.col("ts") >= F.expr(f"timestamp_ntz'{SPLIT}'"))
+
+
+# Schema
+
+
+@query("SELECT c_custkey, try_cast(c_name AS INTEGER) AS c_name, CAST(NULL AS VARCHAR) AS c_phone, CASE WHEN c_name IS NOT NULL AND try_cast(c_name AS INTEGER) IS NULL THEN 1 ELSE 0 END AS n_errors FROM customer")
+def s1_conform(spark, sf):
+    schema = T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("c_name", T.IntegerType()), T.StructField("c_phone", T.StringType())])
+    out = S.conform(table(spark, sf, "customer"), schema)
+    return out.select("c_custkey", "c_name", "c_phone", F.size("_cast_errors").alias("n_errors"))
+
+
+_SHAPE = """SELECT k AS path, CASE json_type(props, '$.' || k) WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'null' END AS json_type, count(*) AS n
+FROM (SELECT props, unnest(json_keys(props)) AS k FROM events) GROUP BY 1, 2"""
+
+
+@query(_SHAPE)
+def s2_json_shape(spark, sf):
+    return S.json_shape(table(spark, sf, "events"), "props")
+
+
+@query("SELECT * FROM (VALUES ('extra', 'added'), ('k', 'retyped')) t(path, change) WHERE EXISTS (SELECT 1 FROM events WHERE ts >= TIMESTAMP '2024-01-22')")
+def s3_shape_drift(spark, sf):
+    after = _scored(spark, sf).withColumn("props", F.expr("to_json(named_struct('k', concat('v', event_id), 'extra', event_id))"))
+    return S.shape_drift(S.json_shape(_train(spark, sf), "props"), S.json_shape(after, "props"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_nulls, count(DISTINCT {c}) AS n_distinct FROM documents" for c in ("doc_id", "text", "lang", "source", "n_chars")))
+def s4_column_profile(spark, sf):
+    return S.column_profile(table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
+
+
+# Contracts
+
+
+@query("SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.quality IS NULL")
+def c1_not_null(spark, sf):
+    labelled = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return C.not_null(labelled, ["quality"]).select("doc_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def c2_unique(spark, sf):
+    return C.unique(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 50 <> 0)")
+def c3_references(spark, sf):
+    parents = table(spark, sf, "customer").where("c_custkey % 50 <> 0")
+    return C.references(table(spark, sf, "orders"), "o_custkey", parents, "c_custkey").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus NOT IN ('F', 'O')")
+def c4_in_domain(spark, sf):
+    return C.in_domain(table(spark, sf, "orders"), "o_orderstatus", ["F", "O"]).select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal < 0")
+def c5_in_range(spark, sf):
+    return C.in_range(table(spark, sf, "customer"), "c_acctbal", lo=0).select("c_custkey", "c_acctbal")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_shipdate, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate <= o_orderdate")
+def c6_row_holds(spark, sf):
+    joined = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return C.row_holds(joined, F.col("l_shipdate") > F.col("o_orderdate")).select("l_orderkey", "l_linenumber", "l_shipdate", "o_orderdate")
+
+
+@query("SELECT page_id, url FROM pages WHERE NOT regexp_matches(url, '^https://')")
+def c7_matches(spark, sf):
+    return C.matches(table(spark, sf, "pages"), "url", "^https://").select("page_id", "url")
+
+
+@query("SELECT o_orderkey AS key, o_totalprice::DECIMAL(18,2)::DOUBLE AS declared, s AS summed FROM orders JOIN (SELECT l_orderkey, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS s FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE abs(declared - s) > 0.01")
+def c8_reconciles(spark, sf):
+    return C.reconciles(table(spark, sf, "orders"), table(spark, sf, "lineitem"), "o_orderkey", "l_orderkey", "o_totalprice", F.col("l_extendedprice"))
+
+
+@query("SELECT l_orderkey, count(DISTINCT l_linenumber) AS n, min(l_linenumber)::BIGINT AS lo, max(l_linenumber)::BIGINT AS hi FROM lineitem GROUP BY 1 HAVING min(l_linenumber) <> 1 OR max(l_linenumber) <> count(DISTINCT l_linenumber)")
+def c9_sequence_complete(spark, sf):
+    return C.sequence_complete(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+_DENSE = """WITH g AS (SELECT event_type, unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY)) AS period FROM (SELECT DISTINCT event_type FROM events)),
+r AS (SELECT event_type, date_trunc('day', ts) AS period, count(*) AS n, sum(value::DECIMAL(18,2))::DOUBLE AS total FROM events GROUP BY 1, 2)
+"""
+
+
+def _dense(spark, sf, entity):
+    e = table(spark, sf, "events")
+    return B.zero_fill(B.rollup(e, entity, "ts", "1 day", "value"), e, entity, "2024-01-01", "2024-01-30")
+
+
+@query(_DENSE + "SELECT event_type, period::TIMESTAMP AS period, coalesce(n, 0) AS n FROM g LEFT JOIN r USING (event_type, period) WHERE coalesce(n, 0) NOT BETWEEN 50 AND 80")
+def c10_volume(spark, sf):
+    return C.volume(_dense(spark, sf, "event_type"), 50, 80).select("event_type", "period", "n")
+
+
+def _line_rules():
+    return [
+        C.not_null_rule("line has a part", "l_partkey"),
+        C.in_range_rule("discount", "l_discount", hi=0.09),
+        C.in_domain_rule("return flag", "l_returnflag", ["A", "N"]),
+        C.row_holds_rule("tax below discount", F.col("l_tax") <= F.col("l_discount"), F.col("l_linenumber").cast("string")),
+    ]
+
+
+_BROKEN = """SELECT 'discount' AS rule_id, l_orderkey::VARCHAR AS key FROM lineitem WHERE l_discount > 0.09
+UNION ALL SELECT 'return flag', l_orderkey::VARCHAR FROM lineitem WHERE l_returnflag NOT IN ('A', 'N')
+UNION ALL SELECT 'tax below discount', l_orderkey::VARCHAR FROM lineitem WHERE l_tax > l_discount
+UNION ALL SELECT 'line has a part', l_orderkey::VARCHAR FROM lineitem WHERE l_partkey IS NULL"""
+
+
+@query(_BROKEN)
+def c11_violations(spark, sf):
+    return C.violations(table(spark, sf, "lineitem"), _line_rules(), F.col("l_orderkey")).select("rule_id", "key")
+
+
+@query(f"SELECT r.rule_id, (SELECT count(*) FROM lineitem) AS n_checked, count(b.key) AS n_violations, count(b.key) = 0 AS passed FROM (VALUES ('line has a part'), ('discount'), ('return flag'), ('tax below discount')) r(rule_id) LEFT JOIN ({_BROKEN}) b USING (rule_id) GROUP BY 1")
+def c12_contract_summary(spark, sf):
+    return C.contract_summary(table(spark, sf, "lineitem"), _line_rules())
+
+
+@query("SELECT l_orderkey, l_linenumber, (CASE WHEN l_partkey IS NULL THEN 1 ELSE 0 END + CASE WHEN l_discount > 0.09 THEN 1 ELSE 0 END + CASE WHEN l_returnflag NOT IN ('A', 'N') THEN 1 ELSE 0 END + CASE WHEN l_tax > l_discount THEN 1 ELSE 0 END)::INTEGER AS n_reasons FROM lineitem")
+def c13_quarantine(spark, sf):
+    valid, rejected = C.quarantine(table(spark, sf, "lineitem"), _line_rules())
+    both = valid.withColumn("_reasons", F.array().cast("array<string>")).unionByName(rejected)
+    return both.select("l_orderkey", "l_linenumber", F.size("_reasons").alias("n_reasons"))
+
+
+@query("SELECT 'value' AS rule_id, event_id::VARCHAR AS key, value::VARCHAR AS observed FROM events WHERE value > 200")
+def c14_stream_violations(spark, sf):
+    stream = X.table_stream(spark, f"{sf}/events.parquet")
+    return X.drain(spark, X.stream_violations(stream, [C.in_range_rule("value", "value", hi=200.0)], F.col("event_id")), fresh(spark, "c14"), fresh(spark, "c14-checkpoint"))
+
+
+# Identity
+
+
+@query("SELECT c_custkey, sha256(lower(trim(c_name)) || chr(31) || coalesce(lower(trim(c_nationkey::VARCHAR)), chr(0))) AS id FROM customer")
+def i1_record_id(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", I.record_id("c_name", "c_nationkey").alias("id"))
+
+
+@query("SELECT sha256(text) AS digest, min(doc_id) AS id, count(*) AS n FROM documents GROUP BY text")
+def i2_exact_groups(spark, sf):
+    return I.exact_groups(table(spark, sf, "documents"), "doc_id", ["text"])
+
+
+def _spread(spark, sf):
+    # A file of one row group is one task; the work on each text is heavy.
+    return table(spark, sf, "documents").select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism)
+
+
+@query()
+def i3_match_candidates(spark, sf):
+    return I.match_candidates(_spread(spark, sf), "doc_id", "text")
+
+
+@query()
+def i4_match_pairs(spark, sf):
+    return I.match_pairs(_spread(spark, sf), "doc_id", "text", 0.8)
+
+
+@query()
+def i5_clusters(spark, sf):
+    fresh(spark, "i5")
+    return I.clusters(I.match_pairs(_spread(spark, sf), "doc_id", "text", 0.8))
+
+
+@query("SELECT c_nationkey, c_custkey, c_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) WHERE r = 1")
+def i6_golden_record(spark, sf):
+    return I.golden_record(table(spark, sf, "customer"), "c_nationkey", [F.col("c_acctbal")], "c_custkey").select("c_nationkey", "c_custkey", "c_acctbal")
+
+
+@query()
+def i7_update_crosswalk(spark, sf):
+    fresh(spark, "i7")
+    pairs = I.match_pairs(_spread(spark, sf), "doc_id", "text", 0.8).persist()
+    before = I.clusters(pairs.where("jaccard >= 0.9")).select("id", F.col("cluster_id").alias("stable_id"))
+    return I.update_crosswalk(before, I.clusters(pairs))
+
+
+@query("""SELECT user_id, event_type AS value, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS valid_to
+FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events) WHERE was IS DISTINCT FROM event_type""")
+def i8_attribute_history(spark, sf):
+    return I.attribute_history(table(spark, sf, "events"), "user_id", "ts", "event_type", "event_id")
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(url), '^[a-z]+://', ''), '^(www|m)\\.', ''), '[?#].*$', ''), '/$', '') AS key FROM pages")
+def i9_canonical_key(spark, sf):
+    return table(spark, sf, "pages").select("page_id", I.canonical_key(F.col("url"), I.URL_RULES).alias("key"))
+
+
+@query("SELECT DISTINCT event_id, user_id, event_type FROM events")
+def i10_stream_first_seen(spark, sf):
+    once = X.table_stream(spark, f"{sf}/events.parquet")
+    stream = X.stream_first_seen(once.unionByName(X.table_stream(spark, f"{sf}/events.parquet")), ["event_id"], "ts", "60 days")
+    return X.drain(spark, stream, fresh(spark, "i10"), fresh(spark, "i10-checkpoint")).select("event_id", "user_id", "event_type")
+
+
+# Silent baseline
+
+
+@query("SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS period, count(*) AS n, sum(value::DECIMAL(18,2))::DOUBLE AS total FROM events GROUP BY 1, 2")
+def b1_rollup(spark, sf):
+    return B.rollup(table(spark, sf, "events"), "event_type", "ts", "1 day", "value")
+
+
+@query(_DENSE.replace("event_type", "user_id") + "SELECT user_id, period::TIMESTAMP AS period, coalesce(n, 0) AS n, coalesce(total, 0) AS total FROM g LEFT JOIN r USING (user_id, period)")
+def b2_zero_fill(spark, sf):
+    return _dense(spark, sf, "user_id")
+
+
+def _rounded(df, *cols):
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+@query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd FROM events WHERE ts < TIMESTAMP '2024-01-22' GROUP BY 1")
+def b3_fit(spark, sf):
+    return _rounded(B.fit(_train(spark, sf), ["event_type"], "value"), "mean", "sd")
+
+
+@query("SELECT event_type, hour(ts)::INTEGER AS season, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd FROM events WHERE ts < TIMESTAMP '2024-01-22' GROUP BY 1, 2")
+def b4_fit_seasonal(spark, sf):
+    return _rounded(B.fit_seasonal(_train(spark, sf), "event_type", F.hour("ts"), "value"), "mean", "sd")
+
+
+@query(_DENSE + "SELECT event_type, period::TIMESTAMP AS period, n, total, round(avg(n) OVER w, 6) AS mean, round(stddev_samp(n) OVER w, 6) AS sd FROM r WINDOW w AS (PARTITION BY event_type ORDER BY period ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)")
+def b5_fit_trailing(spark, sf):
+    return _rounded(B.fit_trailing(B.rollup(table(spark, sf, "events"), "event_type", "ts", "1 day", "value"), "event_type", 7), "mean", "sd")
+
+
+@query("SELECT event_type, round(m, 6) AS median, round(quantile_cont(abs(value - m), 0.5), 6) AS mad FROM events JOIN (SELECT event_type, quantile_cont(value, 0.5) AS m FROM events GROUP BY 1) USING (event_type) GROUP BY 1, m")
+def b6_fit_robust(spark, sf):
+    return _rounded(B.fit_robust(table(spark, sf, "events"), "event_type", "value"), "median", "mad")
+
+
+_Z = """WITH f AS (SELECT event_type, avg(value) AS mean, stddev_samp(value) AS sd FROM events WHERE ts < TIMESTAMP '2024-01-22' GROUP BY 1),
+s AS (SELECT event_id, e.event_type, CASE WHEN sd > 0 THEN (value - mean) / sd END AS z FROM events e LEFT JOIN f USING (event_type) WHERE ts >= TIMESTAMP '2024-01-22')
+"""
+
+
+def _scores(spark, sf):
+    return B.score(_scored(spark, sf), B.fit(_train(spark, sf), ["event_type"], "value"), "event_type", "value", 3.0)
+
+
+@query(_Z + "SELECT event_id, event_type, round(z, 6) AS z, coalesce(abs(z) > 3, false) AS flagged FROM s")
+def b7_score(spark, sf):
+    return _rounded(_scores(spark, sf).select("event_id", "event_type", "z", "flagged"), "z")
+
+
+@query(_Z + "SELECT t::DOUBLE AS threshold, count(*) FILTER (abs(z) > t) AS n_flagged FROM s, (VALUES (2), (3), (4)) v(t) GROUP BY 1")
+def b8_shadow_sweep(spark, sf):
+    return B.shadow_sweep(_scores(spark, sf), [2, 3, 4])
+
+
+@query("""WITH b AS (SELECT event_type, least(floor(value / 25), 19)::INT AS bin, (ts >= TIMESTAMP '2024-01-22') AS side FROM events),
+g AS (SELECT event_type, unnest(range(20))::INT AS bin FROM (SELECT DISTINCT event_type FROM events)),
+h AS (SELECT g.event_type, g.bin, count(*) FILTER (side = false) + 0.5::DOUBLE AS p, count(*) FILTER (side) + 0.5::DOUBLE AS q FROM g LEFT JOIN b USING (event_type, bin) GROUP BY 1, 2),
+s AS (SELECT event_type, p / sum(p) OVER (PARTITION BY event_type) AS p, q / sum(q) OVER (PARTITION BY event_type) AS q FROM h)
+SELECT event_type, round(sum((q - p) * ln(q / p)), 6) AS psi FROM s GROUP BY 1""")
+def b9_drift(spark, sf):
+    return _rounded(B.drift(_train(spark, sf), _scored(spark, sf), "event_type", "value", 25.0, 20), "psi")
+
+
+@query("SELECT user_id, was AS last_seen, ts AS seen_again FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events) WHERE ts > was + INTERVAL 24 HOUR")
+def b10_silence(spark, sf):
+    return B.silence(table(spark, sf, "events"), "user_id", "ts", "event_id", 86_400)
+
+
+_SESSIONS = """WITH s AS (SELECT user_id, ts, event_id, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS cut FROM events),
+n AS (SELECT user_id, ts, sum(cut) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM s)
+SELECT user_id, min(ts) AS session_start, count(*) AS n FROM n GROUP BY user_id, k"""
+
+
+@query(_SESSIONS)
+def b11_sessions(spark, sf):
+    return B.sessions(table(spark, sf, "events"), "user_id", "ts", "6 hours")
+
+
+@query(ORACLES["b3_fit"])
+def b12_freeze_and_load(spark, sf):
+    path = fresh(spark, "b12")
+    baselines.freeze(B.fit(_scored(spark, sf), ["event_type"], "value"), path, "later")
+    baselines.freeze(B.fit(_train(spark, sf), ["event_type"], "value"), path, "train")
+    return _rounded(baselines.load(spark, path, "train"), "mean", "sd")
+
+
+@query("SELECT * FROM (SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS period, count(*) AS n, sum(value::DECIMAL(18,2))::DOUBLE AS total FROM events GROUP BY 1, 2) WHERE period + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
+def b13_stream_rollup(spark, sf):
+    stream = X.stream_rollup(X.table_stream(spark, f"{sf}/events.parquet"), "event_type", "ts", "1 day", "value", "1 day")
+    return X.drain(spark, stream, fresh(spark, "b13"), fresh(spark, "b13-checkpoint"))
+
+
+@query("""WITH f AS (SELECT event_type, avg(value) AS mean, stddev_samp(value) AS sd FROM events GROUP BY 1)
+SELECT event_id, event_type, round((value - mean) / sd, 6) AS z, abs((value - mean) / sd) > 3 AS flagged FROM events JOIN f USING (event_type)""")
+def b14_stream_score(spark, sf):
+    frozen = fresh(spark, "b14-baseline")
+    B.fit(table(spark, sf, "events"), ["event_type"], "value").write.parquet(frozen)
+    stream = X.stream_score(X.table_stream(spark, f"{sf}/events.parquet"), spark.read.parquet(frozen), "event_type", "value", 3.0)
+    return _rounded(X.drain(spark, stream, fresh(spark, "b14"), fresh(spark, "b14-checkpoint")).select("event_id", "event_type", "z", "flagged"), "z")
+
+
+@query()
+def b15_stream_silence(spark, sf):
+    """Reports that no other follows within a day, as far as the watermark came."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = X.stream_silence(X.table_stream(spark, f"{sf}/events.parquet"), "user_id", "ts", 86_400, "1 hour")
+        return X.drain(spark, stream, fresh(spark, "b15"), fresh(spark, "b15-checkpoint"))
+    finally:
+        spark.conf.set(key, before)
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events WHERE ts < TIMESTAMP '2024-01-22' GROUP BY 1")
+def b16_fit_quantiles(spark, sf):
+    return _rounded(B.fit_quantiles(_train(spark, sf), "event_type", "value", {"p50": 0.5, "p95": 0.95}), "p50", "p95")
