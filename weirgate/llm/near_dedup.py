@@ -217,7 +217,7 @@ class _Matcher:
 
     def __init__(self, docs: DataFrame, reps: DataFrame, scratch: Scratch):
         self.docs, self.reps, self.scratch = docs, reps, scratch
-        self.steps = 0
+        self.steps, self.by_shingle = 0, False
         self.labels: DataFrame | None = None
         self.sets: DataFrame | None = None
 
@@ -247,13 +247,17 @@ class _Matcher:
         return (100 + PERCENT) * F.least("left", "_left") >= PERCENT * (F.col("n") + F.col("_n"))
 
     def confirm(self, pairs: DataFrame) -> None:
-        """Estimate and confirm ``pairs(a, b)``; add the links to the labels."""
-        sketches = self.reps.select("id", "n", "regs")
-        for side in "ab":
-            pairs = pairs.join(sketches.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("regs").alias(f"regs_{side}")), side)
-        pairs = self.scratch.write(pairs.mapInArrow(_likely, "a bigint, b bigint"), self.name("likely"))
-        if pairs.isEmpty():
-            return
+        """Estimate and confirm ``pairs(a, b)``; add the links to the labels.
+
+        Pairs that share a rare shingle are few and mostly close to a link, so they are not estimated.
+        """
+        if not self.by_shingle:
+            sketches = self.reps.select("id", "n", "regs")
+            for side in "ab":
+                pairs = pairs.join(sketches.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("regs").alias(f"regs_{side}")), side)
+            pairs = self.scratch.write(pairs.mapInArrow(_likely, "a bigint, b bigint"), self.name("likely"))
+            if pairs.isEmpty():
+                return
         for side in "ab":
             pairs = pairs.join(self.sets.select(F.col("id").alias(side), F.col("set").alias(f"set_{side}")), side)
         links = self.scratch.write(pairs.mapInArrow(_linked, "a bigint, b bigint"), self.name("links"))
@@ -296,7 +300,8 @@ class _Matcher:
         texts = self.docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "id bigint, set binary")
         self.sets = self.scratch.write(texts, self.name("sets"))
         for by_shingle in (False, True):
-            if not all(self.with_hubs(rows, seed) for seed in range(1 if by_shingle else 3)):
+            self.by_shingle = by_shingle
+            if not all(self.with_hubs(rows, seed) for seed in range(1 if by_shingle else 2)):
                 return self.labels
             left = self.labelled(rows)
             mixed = self.mixed(left, 3)
