@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from weirgate.plans import registry
@@ -13,7 +14,7 @@ from .conftest import DATA
 
 def rows(df):
     df = df[sorted(df.columns)]
-    clean = lambda x: "null" if x is None or x != x or str(x) in ("NaT", "<NA>") else str(round(float(x), 5)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+    clean = lambda x: "null" if pd.isna(x) else str(round(float(x), 5)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
     return sorted(tuple(clean(x) for x in r) for r in df.astype(object).itertuples(index=False))
 
 
