@@ -42,19 +42,28 @@ def letters(text: str) -> list[str]:
     return [w for x in text.lower().split() if (w := x.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789")) and any(map(str.isalpha, w))]
 
 
-def spans(word: str, index: dict[str, int]) -> list[tuple[int, int, int]]:
-    """``(start, end, piece)`` of all pieces in a word, by end; -1 is a character alone that is no piece.
+def beginnings(index: dict[str, int]) -> frozenset[str]:
+    """What pieces of the vocabulary begin with, without the whole pieces."""
+    return frozenset(x[:n] for x in index for n in range(1, len(x)))
+
+
+def spans(word: str, index: dict[str, int], begins: frozenset[str]) -> list[tuple[int, int, int]]:
+    """``(start, end, piece)`` of all pieces in a word, by start; -1 is a character alone that is no piece.
 
     Words beyond the longest are cut into parts of that length, as each its own word.
     """
     marked = "▁" + word
+    n = len(marked)
     out = []
-    for end in range(1, len(marked) + 1):
-        for start in range(max(0, end - LONGEST_PIECE), end):
-            if (k := index.get(marked[start:end])) is not None:
+    for start in range(n):
+        if marked[start] not in index:
+            out.append((start, start + 1, -1))
+        for end in range(start + 1, n + 1):
+            part = marked[start:end]
+            if (k := index.get(part)) is not None:
                 out.append((start, end, k))
-            elif start == end - 1:
-                out.append((start, end, -1))
+            if part not in begins:
+                break
     return out
 
 
@@ -62,13 +71,14 @@ def cut_long(word: str) -> list[str]:
     return [word] if len(word) <= LONGEST_WORD else [word[i : i + LONGEST_WORD] for i in range(0, len(word), LONGEST_WORD)]
 
 
-def forward(word: str, index: dict[str, int], p: np.ndarray) -> np.ndarray:
+def forward(word: str, index: dict[str, int], p: np.ndarray, begins: frozenset[str] | None = None) -> np.ndarray:
     """For each language the log probability of a word; ``p`` has a row for each piece and one more for unknown characters."""
+    begins = beginnings(index) if begins is None else begins
     total = 0.0
     for part in cut_long(word):
         alpha = np.zeros((len(part) + 2, p.shape[1]))
         alpha[0] = 1.0
-        for start, end, k in spans(part, index):
+        for start, end, k in spans(part, index, begins):
             alpha[end] += alpha[start] * p[k]
         total = total + np.log(np.maximum(alpha[len(part) + 1], 1e-300))
     return total
@@ -76,7 +86,8 @@ def forward(word: str, index: dict[str, int], p: np.ndarray) -> np.ndarray:
 
 def fit_language(words: dict[str, int], index: dict[str, int], rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities of one language by expectation-maximisation over all segmentations."""
-    lattices = [(n, len(part) + 1, spans(part, index)) for w, n in words.items() for part in cut_long(w)]
+    begins = beginnings(index)
+    lattices = [(n, len(part) + 1, spans(part, index, begins)) for w, n in words.items() for part in cut_long(w)]
     p = np.full(len(index), 1.0 / len(index))
     for _ in range(rounds):
         expected = np.zeros(len(index))
@@ -145,6 +156,39 @@ def fit(docs: DataFrame, vocabulary: str | None = None) -> tuple[list[str], np.n
     return languages, np.stack([*np.stack(columns, axis=1), np.full(len(languages), UNKNOWN)])
 
 
+class _Scores:
+    """Log probabilities of words by one model, remembered."""
+
+    def __init__(self, p: np.ndarray, vocabulary: str | None):
+        self.p, self.vocabulary = p, vocabulary
+        self.index = {x: i for i, x in enumerate(pieces_of(vocabulary))}
+        self.begins = beginnings(self.index)
+        self.known: dict[str, int] = {}
+        self.rows = np.zeros((1024, max(1, p.shape[1])))
+
+    def total(self, found: list[str]) -> np.ndarray:
+        """For each language the log probability of all the words."""
+        known = self.known
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        for w in set(found).difference(known):
+            if len(known) == len(self.rows):
+                self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+            self.rows[len(known)] = forward(w, self.index, self.p, self.begins)
+            known[w] = len(known)
+        return self.rows[np.fromiter(map(known.__getitem__, found), dtype=np.int64, count=len(found))].sum(axis=0)
+
+
+_latest: list[_Scores] = []
+
+
+def scores_of(p: np.ndarray, vocabulary: str | None) -> _Scores:
+    """The worker's scores for a model; workers serve many tasks."""
+    if not _latest or _latest[0].p is not p or _latest[0].vocabulary != vocabulary:
+        _latest[:] = [_Scores(p, vocabulary)]
+    return _latest[0]
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: str | None = None) -> DataFrame:
     """``doc_id, lang_pred, score`` for each row of ``docs(doc_id, text)``; the score is the posterior at equal priors.
 
@@ -156,9 +200,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, p = sent.value
-        index = {x: i for i, x in enumerate(pieces_of(vocabulary))}
-        known: dict[str, int] = {}
-        rows = np.zeros((1024, max(1, len(languages))))
+        words = scores_of(p, vocabulary)
         for batch in batches:
             predicted, scores = [], []
             for text in batch.column("text").to_pylist():
@@ -167,14 +209,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: s
                     predicted.append(UNDETERMINED)
                     scores.append(0.0)
                     continue
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                for w in set(found).difference(known):
-                    if len(known) == len(rows):
-                        rows = np.concatenate((rows, np.zeros_like(rows)))
-                    rows[len(known)] = forward(w, index, p)
-                    known[w] = len(known)
-                total = rows[np.fromiter(map(known.__getitem__, found), dtype=np.int64, count=len(found))].sum(axis=0)
+                total = words.total(found)
                 best = int(np.argmax(total))
                 predicted.append(languages[best])
                 scores.append(1.0 / sum(exp(max(-700.0, x - total[best])) for x in total.tolist()))
