@@ -168,7 +168,11 @@ def extract(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     array = parsed.select("host", F.explode("suffixes").alias("suffix"))
     repeated = scratch.write(array.join(wanted, ["host", "suffix"], "left_semi").groupBy("host", "suffix").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= MIN_PAGES), "repeated")
     of_page = asked.join(repeated, ["host", "suffix"]).groupBy("row").agg(F.collect_list("suffix").alias("repeated"))
-    return parsed.drop("suffixes").join(of_page, "row", "left").select("page_id", "url", "text", "others", "own", "repeated").mapInArrow(_assemble, "page_id bigint, url string, text string, n_chars bigint")
+    asking = parsed.where(F.size("own") > 0).join(of_page, "row", "left").select("page_id", "url", "text", "others", "own", "repeated")
+    assembled = asking.mapInArrow(_assemble, "page_id bigint, url string, text string, n_chars bigint")
+    # The others have their whole text and go through no shuffle.
+    whole = parsed.where(F.size("own") == 0).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+    return whole.unionByName(assembled)
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
