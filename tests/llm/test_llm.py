@@ -250,4 +250,4 @@ def test_forward_sums_all_segmentations():
     index = {"▁a": 0, "a": 1, "▁": 2, "b": 3, "ab": 4, "▁ab": 5}
     p = np.array([[0.1], [0.2], [0.3], [0.15], [0.05], [0.2], [language_id.UNKNOWN]])
     want = 0.2 + 0.1 * 0.15 + 0.3 * 0.05 + 0.3 * 0.2 * 0.15
-    assert language_id.forward("ab", index, p)[0] == pytest.approx(np.log(want))
+    assert language_id.forward(["ab"], index, p)[0, 0] == pytest.approx(np.log(want))

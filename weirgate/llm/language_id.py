@@ -21,6 +21,8 @@ from .tokens import vocabulary_path
 #: Documents of each language the model is fitted on, and distinct words of these, the most frequent ones.
 SAMPLE_DOCS, SAMPLE_WORDS = 400, 20_000
 ROUNDS, LONGEST_PIECE, LONGEST_WORD = 4, 12, 64
+#: Words of texts that are decided on together, and distinct ones, or parts of long ones, whose forward passes are.
+WORDS_AT_ONCE, FORWARD_PARTS = 200_000, 512
 #: Distinct words whose scores a worker keeps.
 CACHE_WORDS = 300_000
 #: Share of the uniform distribution in each language's pieces, and a character outside the vocabulary.
@@ -71,16 +73,31 @@ def cut_long(word: str) -> list[str]:
     return [word] if len(word) <= LONGEST_WORD else [word[i : i + LONGEST_WORD] for i in range(0, len(word), LONGEST_WORD)]
 
 
-def forward(word: str, index: dict[str, int], p: np.ndarray, begins: frozenset[str] | None = None) -> np.ndarray:
-    """For each language the log probability of a word; ``p`` has a row for each piece and one more for unknown characters."""
+def forward(words: list[str], index: dict[str, int], p: np.ndarray, begins: frozenset[str] | None = None) -> np.ndarray:
+    """A row for each word: its log probability in each language; ``p`` has a row for each piece and one more for unknown characters.
+
+    All words advance together, one start at a time: what ends at a character is
+    complete before pieces start there, and those of a word end at different ones.
+    """
     begins = beginnings(index) if begins is None else begins
-    total = 0.0
-    for part in cut_long(word):
-        alpha = np.zeros((len(part) + 2, p.shape[1]))
-        alpha[0] = 1.0
-        for start, end, k in spans(part, index, begins):
-            alpha[end] += alpha[start] * p[k]
-        total = total + np.log(np.maximum(alpha[len(part) + 1], 1e-300))
+    total = np.zeros((len(words), p.shape[1]))
+    parts = [(i, part) for i, w in enumerate(words) for part in cut_long(w)]
+    for first in range(0, len(parts), FORWARD_PARTS):
+        some = parts[first : first + FORWARD_PARTS]
+        width = max(len(part) for _, part in some) + 2
+        by_start: list[list[tuple[int, int, int]]] = [[] for _ in range(width)]
+        for row, (_, part) in enumerate(some):
+            at = row * width
+            for start, end, k in spans(part, index, begins):
+                by_start[start].append((at + start, at + end, k))
+        alpha = np.zeros((len(some) * width, p.shape[1]))
+        alpha[::width] = 1.0
+        for edges in by_start:
+            if edges:
+                start, end, k = np.array(edges).T
+                alpha[end] += alpha[start] * p[k]
+        ends = np.array([row * width + len(part) + 1 for row, (_, part) in enumerate(some)])
+        np.add.at(total, [i for i, _ in some], np.log(np.maximum(alpha[ends], 1e-300)))
     return total
 
 
@@ -166,17 +183,24 @@ class _Scores:
         self.known: dict[str, int] = {}
         self.rows = np.zeros((1024, max(1, p.shape[1])))
 
-    def total(self, found: list[str]) -> np.ndarray:
-        """For each language the log probability of all the words."""
+    def learn(self, found: set[str]) -> None:
+        """Score the words that aren't known; with too many known ones, start over."""
         known = self.known
-        if len(known) > CACHE_WORDS:
+        new = found.difference(known)
+        if new and len(known) > CACHE_WORDS:
             known.clear()
-        for w in set(found).difference(known):
-            if len(known) == len(self.rows):
+            new = found
+        if new:
+            while len(known) + len(new) > len(self.rows):
                 self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-            self.rows[len(known)] = forward(w, self.index, self.p, self.begins)
-            known[w] = len(known)
-        return self.rows[np.fromiter(map(known.__getitem__, found), dtype=np.int64, count=len(found))].sum(axis=0)
+            words = list(new)
+            self.rows[len(known) : len(known) + len(words)] = forward(words, self.index, self.p, self.begins)
+            known.update(zip(words, range(len(known), len(known) + len(words)), strict=True))
+
+    def totals(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """For each text's words, for each language the log probability of them all."""
+        self.learn({w for found in texts for w in found})
+        return [self.rows[np.fromiter(map(self.known.__getitem__, found), dtype=np.int64, count=len(found))].sum(axis=0) for found in texts]
 
 
 _latest: list[_Scores] = []
@@ -202,17 +226,27 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: s
         languages, p = sent.value
         words = scores_of(p, vocabulary)
         for batch in batches:
-            predicted, scores = [], []
+            predicted, scores, held, size = [], [], [], 0
+
+            def decide() -> None:
+                """Predictions for the texts held."""
+                for found, total in zip(held, words.totals(held), strict=True):
+                    if not found:
+                        predicted.append(UNDETERMINED)
+                        scores.append(0.0)
+                        continue
+                    best = int(np.argmax(total))
+                    predicted.append(languages[best])
+                    scores.append(1.0 / sum(exp(max(-700.0, x - total[best])) for x in total.tolist()))
+                held.clear()
+
             for text in batch.column("text").to_pylist():
-                found = letters(text) if text and languages else []
-                if not found:
-                    predicted.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                total = words.total(found)
-                best = int(np.argmax(total))
-                predicted.append(languages[best])
-                scores.append(1.0 / sum(exp(max(-700.0, x - total[best])) for x in total.tolist()))
+                held.append(letters(text) if text and languages else [])
+                size += len(held[-1])
+                if size > WORDS_AT_ONCE:
+                    decide()
+                    size = 0
+            decide()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(predicted), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
