@@ -132,6 +132,32 @@ def test_filter_never_loses_an_entry():
     assert (found >= 1).all() and (found[:1000] >= 2).all()
 
 
+def test_filter_keeps_every_pair(spark, docs):
+    """However small its slices may be, the filter has room for all pairs, and documents meet their levels."""
+    np, scratch = lm_score.np, Scratch(spark, "t3")
+    model = lm_score.train(docs, scratch, 2**14)
+    assert model.slices > 64 and model.bits // model.slices <= 2**14
+    sequences = {r["doc_id"]: [lm_score.END, *tokens.words((r["text"] or "").encode()), lm_score.END] for r in docs.collect()}
+    data = np.zeros(model.bits // 8, dtype=np.uint8)
+    size = len(data) // model.slices
+    for r in model.grams.collect():
+        data[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["bytes"], np.uint8)
+    grams = lm_score.LogFrequencyFilter(data, model.bits, model.slices)
+    pairs = Counter(p for ws in sequences.values() for p in zip(ws, ws[1:]))
+    hashed = lambda x: np.array([lm_score._hash(w) for w in x], dtype=np.uint64)
+    found = grams.levels(np.array([lm_score.pair_hashes(hashed(p))[0] for p in pairs], dtype=np.uint64))
+    real = lm_score.level(np.array(list(pairs.values()), dtype=np.float64))
+    assert (found >= real).all() and (found == real).mean() > 0.95
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(docs, model, scratch).collect()}
+    for i, ws in sequences.items():
+        h = hashed(ws)
+        c = lm_score.counted(grams.levels(h))
+        pair, before = np.minimum(lm_score.counted(grams.levels(lm_score.pair_hashes(h))), c[:-1]), c[:-1]
+        trust = before / (before + 5 * np.sqrt(before) + 1) * np.where(pair > 0, 1.0, 0.5)
+        want = np.log10(trust * pair / np.maximum(before, 1) + (1 - trust) * (c[1:] + 1) / (model.tokens + model.types + 1)).sum()
+        assert got[i] == pytest.approx(want)
+
+
 def test_packing(spark, odd, docs):
     ids_of = brute_ids()
     for df in (odd, docs):

@@ -3,12 +3,15 @@
 Counts of words and word pairs are gathered over all training texts. A count c
 is quantised to the level 1 + floor(log2 c), and an n-gram enters the filter
 once for each level up to its own; a lookup probes level after level until one
-is missing. The filter is sent to all workers. A pair's probability mixes its
+is missing. The filter grows with its entries and stays a table of slices: the
+distinct n-grams of a block of texts go to their slices by a shuffle, and their
+levels come back to the block by another. A pair's probability mixes its
 relative frequency with the word's own, by Witten-Bell-like weights.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
@@ -16,22 +19,25 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 from .tokens import utf8, words
 
-#: Bits of the filter for each entry, probes for each, and the largest filter that is sent: 32 MB.
-BITS_PER_ENTRY, PROBES, MAX_BITS = 10, 5, 2**28
-#: Slices the filter is built in.
-SLICES = 64
+#: Bits of the filter for each entry, and probes for each.
+BITS_PER_ENTRY, PROBES = 10, 5
+#: Slices of the filter, and the bits above which a slice is halved: 4 MB.
+SLICES, SLICE_BITS = 64, 2**25
 #: Most frequent words whose exact counts are sent to workers; others meet theirs in a join.
 HEAD_WORDS = 131_072
 #: Distinct words a worker counts, or keeps what it knows of, before it hands them on or starts over.
 CACHE_WORDS = 300_000
 #: Word pairs a task sums before it hands them on.
 PAIRS_AT_ONCE = 2_000_000
+#: Tokens of a block of texts that is scored at once.
+BLOCK_TOKENS = 500_000
 
 END = b"\n"  # no word holds it
 _UNIT = 0x9E3779B97F4A7C15
@@ -57,20 +63,46 @@ def level(count: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log2(count)).astype(np.int64)
 
 
-def _places(entries: np.ndarray, bits: int, probe: int) -> np.ndarray:
-    """Bit number of a probe: one of 64 slices by the entry, then a place in it."""
-    slice_bits = bits // SLICES
-    return (entries % np.uint64(SLICES)) * np.uint64(slice_bits) + _mix(entries + np.uint64(probe * _UNIT % 2**64)) % np.uint64(slice_bits)
+def _places(entries: np.ndarray, bits: int, probe: int, slices: int = SLICES) -> np.ndarray:
+    """Bit number of a probe: a slice by the entry, then a place in it."""
+    slice_bits = bits // slices
+    return (entries % np.uint64(slices)) * np.uint64(slice_bits) + _in_slice(entries, slice_bits, probe)
 
 
-def entries(hashes: np.ndarray, at: int) -> np.ndarray:
+def _in_slice(entries: np.ndarray, slice_bits: int, probe: int) -> np.ndarray:
+    return _mix(entries + np.uint64(probe * _UNIT % 2**64)) % np.uint64(slice_bits)
+
+
+def entries(hashes: np.ndarray, at: int, slices: int = SLICES) -> np.ndarray:
     """What the filter holds of n-grams at a level; those of one n-gram lie in one slice."""
-    return (_mix(hashes + np.uint64(at)) << np.uint64(6)) | (hashes % np.uint64(SLICES))
+    return (_mix(hashes + np.uint64(at)) << np.uint64(slices.bit_length() - 1)) | (hashes % np.uint64(slices))
+
+
+def filter_size(n_entries: int, slice_bits: int = SLICE_BITS) -> tuple[int, int]:
+    """Bits of a filter for so many entries, and its slices, a power of two."""
+    slices = SLICES
+    while n_entries * BITS_PER_ENTRY > slices * slice_bits:
+        slices *= 2
+    return max(slices * 1024, -(-n_entries * BITS_PER_ENTRY // (slices * 64)) * slices * 64), slices
+
+
+def by_slice(hashes: np.ndarray, slices: int) -> np.ndarray:
+    """Numbers that stand for n-grams and sort by slice first."""
+    k = np.uint64(slices.bit_length() - 1)
+    return (hashes % np.uint64(slices)) << (np.uint64(64) - k) | hashes >> k
+
+
+def _from_slice(numbers: np.ndarray, slices: int) -> np.ndarray:
+    """The n-grams of ``by_slice``."""
+    k = np.uint64(slices.bit_length() - 1)
+    return numbers << k | numbers >> (np.uint64(64) - k)
 
 
 class LogFrequencyFilter:
-    def __init__(self, data: np.ndarray, bits: int):
-        self.data, self.bits = data, bits
+    """A whole filter, or one of its slices."""
+
+    def __init__(self, data: np.ndarray, bits: int, slices: int = SLICES, whole: bool = True):
+        self.data, self.bits, self.slices, self.whole = data, bits, slices, whole
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         """The quantised counts of n-grams, 0 for those not seen; never too low."""
@@ -78,9 +110,9 @@ class LogFrequencyFilter:
         alive, at = np.arange(len(hashes)), 0
         while len(alive):
             at += 1
-            e = entries(hashes[alive], at)
+            e = entries(hashes[alive], at, self.slices)
             for k in range(PROBES):
-                where = _places(e, self.bits, k)
+                where = _places(e, self.bits, k, self.slices) if self.whole else _in_slice(e, self.bits // self.slices, k)
                 yes = (self.data[(where >> np.uint64(3)).astype(np.int64)] >> (where & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 alive, e = alive[yes], e[yes]
             found[alive] = at
@@ -149,20 +181,15 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """What scoring needs of the training texts; the tables stay tables, only filter and frequent words are sent."""
+    """What scoring needs of the training texts; the tables stay tables, only frequent words are sent."""
 
-    def __init__(self, vocabulary: DataFrame, head: dict[bytes, int], tokens: int, types: int, grams: LogFrequencyFilter):
-        self.vocabulary, self.head, self.tokens, self.types, self.grams = vocabulary, head, tokens, types, grams
+    def __init__(self, vocabulary: DataFrame, head: dict[bytes, int], tokens: int, types: int, grams: DataFrame, bits: int, slices: int):
+        self.vocabulary, self.head, self.tokens, self.types = vocabulary, head, tokens, types
+        self.grams, self.bits, self.slices = grams, bits, slices  # grams(slice, bytes)
 
 
-def train(docs: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS) -> Model:
-    """Learn from all of ``docs(text)``.
-
-    Words are always in the filter. Pairs enter from a count on, the smallest
-    for which the entries fit the filter at its bits an entry; that count comes
-    from the numbers of pairs by level, over all pairs.
-    """
-    spark = docs.sparkSession
+def train(docs: DataFrame, scratch: Scratch, slice_bits: int = SLICE_BITS) -> Model:
+    """Learn from all of ``docs(text)``: every word and every pair is in the filter, however many there are."""
     texts = docs.select("text")
     vocabulary = scratch.write(texts.mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
     pairs = scratch.write(texts.mapInArrow(_count_pairs, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")), "pairs")
@@ -170,14 +197,8 @@ def train(docs: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS) -> Model:
     head = {bytes(r["word"]): r["n"] for r in vocabulary.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).collect()}
 
     of_level = F.floor(F.log2(F.col("n").cast("double"))).cast("int") + 1
-    by_level = {r["l"]: r["m"] for r in pairs.groupBy(of_level.alias("l")).agg(F.count(F.lit(1)).alias("m")).collect()}
-    room = max_bits // BITS_PER_ENTRY
-    own = vocabulary.agg(F.coalesce(F.sum(of_level), F.lit(0))).first()[0]
-    least, size = 1, sum(k * m for k, m in by_level.items()) + own
-    while size > room and least <= max(by_level, default=0):
-        size -= least * by_level.get(least, 0)
-        least += 1
-    bits = min(max_bits, max(SLICES * 1024, -(-size * BITS_PER_ENTRY // (SLICES * 64)) * SLICES * 64))
+    n_entries = sum(t.agg(F.coalesce(F.sum(of_level), F.lit(0))).first()[0] for t in (vocabulary, pairs))
+    bits, slices = filter_size(n_entries, slice_bits)
 
     def hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,30 +207,61 @@ def train(docs: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS) -> Model:
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The slice's bytes with this task's entries set, for each slice the task has rows of."""
-        size = bits // SLICES // 8
+        size = bits // slices // 8
         mine: dict[int, np.ndarray] = {}
         for batch in batches:
             h = batch.column("gram").to_numpy().view(np.uint64)
             top = level(batch.column("n").to_numpy().astype(np.float64))
             for at in range(1, int(top.max(initial=0)) + 1):
-                e = entries(h[top >= at], at)
+                e = entries(h[top >= at], at, slices)
+                part = (e % np.uint64(slices)).astype(np.int64)
+                chosen = [(mine.setdefault(int(p), np.zeros(size, dtype=np.uint8)), part == p) for p in np.unique(part)]
                 for k in range(PROBES):
-                    where = _places(e, bits, k)
-                    part = (e % np.uint64(SLICES)).astype(np.int64)
-                    where -= part.astype(np.uint64) * np.uint64(bits // SLICES)
-                    for p in np.unique(part):
-                        data = mine.setdefault(int(p), np.zeros(size, dtype=np.uint8))
-                        w = where[part == p]
+                    where = _in_slice(e, bits // slices, k)
+                    for data, of_part in chosen:
+                        w = where[of_part]
                         np.bitwise_or.at(data, (w >> np.uint64(3)).astype(np.int64), np.left_shift(1, (w & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array(list(mine), pa.int32()), pa.array([x.tobytes() for x in mine.values()], pa.binary())], names=["slice", "bytes"])
 
-    grams = pairs.where(of_level >= least).unionByName(vocabulary.mapInArrow(hash_words, "gram bigint, n bigint"))
-    by_slice = grams.repartition(SLICES, F.pmod(F.col("gram"), F.lit(SLICES)))
-    data = np.zeros(bits // 8, dtype=np.uint8)
-    size = bits // SLICES // 8
-    for r in by_slice.mapInArrow(places, "slice int, bytes binary").collect():
-        data[r["slice"] * size : (r["slice"] + 1) * size] |= np.frombuffer(r["bytes"], np.uint8)
-    return Model(vocabulary, head, tokens, types, LogFrequencyFilter(data, bits))
+    grams = pairs.unionByName(vocabulary.mapInArrow(hash_words, "gram bigint, n bigint"))
+    grams = grams.repartition(slices, F.pmod(F.col("gram"), F.lit(slices)))
+    grams = scratch.write(grams.mapInArrow(places, "slice int, bytes binary"), "filter")
+    scratch.drop("pairs")
+    return Model(vocabulary, head, tokens, types, grams, bits, slices)
+
+
+_DOC = "struct<doc_id: bigint, n_tokens: bigint, n_head: bigint, head_score: double, tail: array<struct<word: binary, m: bigint>>>"
+#: A row is a block: hashes of its words by falling frequency, each token's place among them, and its documents.
+_BLOCK = f"block bigint, words binary, tokens binary, docs array<{_DOC}>"
+_DOC_ARROW = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head_score", pa.float64()), ("tail", pa.list_(pa.struct([("word", pa.binary()), ("m", pa.int64())])))])
+_BLOCK_ARROW = pa.schema([("block", pa.int64()), ("words", pa.binary()), ("tokens", pa.binary()), ("docs", pa.list_(_DOC_ARROW))])
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, all first bytes, then all second ones and so on."""
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T)
+    return planes.nbytes.to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, len(planes) // size).T).view(kind).ravel()
+
+
+def _packed_hashes(hashes: np.ndarray) -> bytes:
+    """Hashes by their differences, which are short where they rise."""
+    return _packed(np.diff(hashes, prepend=np.uint64(0)))
+
+
+def _unpacked_hashes(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data, np.uint64), dtype=np.uint64)
+
+
+def _block_grams(words: np.ndarray, tokens: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct n-grams by slice, and the places among them of its words and of each pair of tokens."""
+    numbers, at = np.unique(by_slice(np.concatenate([words, pair_hashes(words[tokens])]), slices), return_inverse=True)
+    return numbers, at[: len(words)], at[len(words) :]
 
 
 def score(docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
@@ -218,68 +270,114 @@ def score(docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
     Null and empty texts have one token, the end. ``base_score`` and
     ``n_known`` are exact. Frequent words' counts are at hand in every task;
     each document's other words, once each, meet their counts in a join.
+    Levels of all words and pairs come from the filter's slices.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((model.head, model.grams.data, model.grams.bits, model.tokens, model.types))
+    sent = spark.sparkContext.broadcast(model.head)
+    tokens, types, bits, slices = model.tokens, model.types, model.bits, model.slices
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of whole texts, each after an end as the first word's context."""
+        head, known = sent.value, _Words()
+        block = TaskContext.get().partitionId() << 32
+        rows: list[dict] = []
+        held: list[np.ndarray] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            found, at, n = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")
+            place = np.empty(len(order), dtype=np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            row = {"block": block, "words": _packed_hashes(found[order]), "tokens": _packed(place[at]), "docs": rows}
+            batch = pa.RecordBatch.from_pylist([row], schema=_BLOCK_ARROW)
+            rows.clear()
+            held.clear()
+            return batch
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, data, bits, tokens, types = sent.value
-        grams, known = LogFrequencyFilter(data, bits), _Words()
-        seen: dict[bytes, float] = {}  # counts by the filter
         for batch in batches:
-            columns: list[list] = [[] for _ in range(6)]
-            held, size = [], 0
-
-            def log_scores() -> None:
-                """Scores of the texts held; each stands after an end, as the first word's context."""
-                found = [w for ws in held for w in (END, *ws)]
-                new = list({END, *found}.difference(seen))
-                if new:
-                    if len(seen) > CACHE_WORDS:
-                        seen.clear()
-                        new = list({END, *found})
-                    h = np.fromiter(map(_hash, new), dtype=np.uint64, count=len(new))
-                    seen.update(zip(new, counted(grams.levels(h)).tolist(), strict=True))
-                c = np.fromiter(map(seen.__getitem__, found), dtype=np.float64, count=len(found))
-                unigram = (c[1:] + 1) / (tokens + types + 1)
-                before = c[:-1]
-                pair = np.minimum(counted(grams.levels(pair_hashes(known.hashes(found)))), before)
-                trust = before / (before + 5 * np.sqrt(before) + 1) * np.where(pair > 0, 1.0, 0.5)
-                p = np.log10(trust * pair / np.maximum(before, 1) + (1 - trust) * unigram)
-                starts = np.cumsum([0, *(len(ws) + 1 for ws in held[:-1])])
-                p = np.append(p, 0.0)  # one more, so that the last text's run ends like the others, before an end that starts a text
-                p[starts[1:] - 1] = 0.0
-                columns[4].extend(np.add.reduceat(p, starts).tolist())
-                held.clear()
-
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
                 found = [*words(text), END]
-                held.append(found)
-                size += len(found)
-                if size > 50_000:
-                    log_scores()
-                    size = 0
                 n_head, base, tail = 0, 0.0, []
                 for word, n in Counter(found).items():
                     if (k := head.get(word)) is not None:
                         n_head += n
                         base += n * log10((k + 1) / (tokens + types + 1))
                     else:
-                        tail.append((word, n))
-                for column, x in zip((0, 1, 2, 3, 5), (doc_id, len(found), n_head, base, tail), strict=True):
-                    columns[column].append(x)
-            if held:
-                log_scores()
-            tails = columns.pop()
-            offsets = pa.array(np.cumsum([0, *map(len, tails)]).astype(np.int32))
-            flat = [x for t in tails for x in t]
-            struct = pa.StructArray.from_arrays([pa.array([w for w, _ in flat], pa.binary()), pa.array([n for _, n in flat], pa.int64())], names=["word", "m"])
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.ListArray.from_arrays(offsets, struct)], names=["doc_id", "n_tokens", "n_head", "head_score", "score", "tail"])
+                        tail.append({"word": word, "m": n})
+                rows.append({"doc_id": doc_id, "n_tokens": len(found), "n_head": n_head, "head_score": base, "tail": tail})
+                held.append(known.hashes([END, *found]))
+                size += len(found)
+                if size > BLOCK_TOKENS:
+                    yield out()
+                    block, size = block + 1, 0
+        if held:
+            yield out()
+
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each block's distinct n-grams, a row for each slice that it asks."""
+        for batch in batches:
+            for block, w, t in zip(*(batch.column(x).to_pylist() for x in ("block", "words", "tokens")), strict=True):
+                numbers, _, _ = _block_grams(_unpacked_hashes(w), _unpacked(t, np.uint32), slices)
+                parts = (numbers >> np.uint64(65 - slices.bit_length())).astype(np.int64)
+                ends = np.searchsorted(parts, np.arange(slices + 1))
+                asked = [(block, p, _packed_hashes(numbers[a:b])) for p, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if a < b]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*asked, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "slice", "grams"])
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Levels of each block's n-grams; the slice itself, if it has entries, comes first, without a block."""
+        at, part = -1, None
+        for batch in batches:
+            levels = []
+            for block, p, data in zip(*(batch.column(x).to_pylist() for x in ("block", "slice", "grams")), strict=True):
+                if block is None:
+                    at, part = p, LogFrequencyFilter(np.frombuffer(data, np.uint8), bits, slices, whole=False)
+                    continue
+                h = _from_slice(_unpacked_hashes(data), slices)
+                found = part.levels(h) if at == p else np.zeros(len(h), dtype=np.int64)
+                levels.append((block, p, found.astype(np.uint8).tobytes()))
+            if levels:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*levels, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "slice", "levels"])
+
+    def add_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each block's documents with their scores; its levels come first, by slice."""
+        of_block, levels = None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = batch.column("block")[i].as_py()
+                if block != of_block:
+                    of_block, levels = block, []
+                if batch.column("levels")[i].is_valid:
+                    levels.append(batch.column("levels")[i].as_py())
+                    continue
+                w, found = _unpacked_hashes(batch.column("words")[i].as_py()), _unpacked(batch.column("tokens")[i].as_py(), np.uint32)
+                documents = batch.column("docs")[i].values
+                lengths = documents.field("n_tokens").to_numpy() + 1
+                _, words_at, pairs_at = _block_grams(w, found, slices)
+                of_gram = counted(np.frombuffer(b"".join(levels), np.uint8))
+                c = of_gram[words_at][found]
+                unigram = (c[1:] + 1) / (tokens + types + 1)
+                before = c[:-1]
+                pair = np.minimum(of_gram[pairs_at], before)
+                trust = before / (before + 5 * np.sqrt(before) + 1) * np.where(pair > 0, 1.0, 0.5)
+                p = np.log10(trust * pair / np.maximum(before, 1) + (1 - trust) * unigram)
+                starts = np.cumsum([0, *lengths[:-1]])
+                p = np.append(p, 0.0)  # one more, so that the last text's run ends like the others, before an end that starts a text
+                p[starts[1:] - 1] = 0.0
+                fields = [documents.field(x) for x in ("doc_id", "n_tokens", "n_head", "head_score", "tail")]
+                yield pa.RecordBatch.from_arrays([*fields, pa.array(np.add.reduceat(p, starts))], names=["doc_id", "n_tokens", "n_head", "head_score", "tail", "score"])
 
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    part = docs.mapInArrow(run, "doc_id bigint, n_tokens bigint, n_head bigint, head_score double, score double, tail array<struct<word: binary, m: bigint>>")
+    made = scratch.write(docs.mapInArrow(blocks, _BLOCK), "blocks")
+    asked = made.select("block", "words", "tokens").mapInArrow(probes, "block bigint, slice int, grams binary")
+    routed = asked.unionByName(model.grams.select(F.lit(None).cast("bigint").alias("block"), "slice", F.col("bytes").alias("grams")))
+    routed = routed.repartition(slices, "slice").sortWithinPartitions("slice", F.asc_nulls_first("block"))
+    levels = routed.mapInArrow(look_up, "block bigint, slice int, levels binary")
+    whole = made.withColumn("slice", F.lit(slices))
+    both = levels.unionByName(whole, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "slice")
+    part = both.mapInArrow(add_scores, "doc_id bigint, n_tokens bigint, n_head bigint, head_score double, tail array<struct<word: binary, m: bigint>>, score double")
     part = scratch.write(part.withColumn("row", F.monotonically_increasing_id()), "scores")
+    scratch.drop("blocks")
     tail = part.select("row", F.inline("tail")).join(model.vocabulary, "word", "left")
     log_p = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(model.tokens + model.types + 1))
     tail = tail.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("_known"), F.sum(F.col("m") * log_p).alias("_score"))
@@ -292,5 +390,8 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").cast("string").alias("text"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     model = train(docs.where(~held_out), scratch)
+    gc.collect()
+    spark._jvm.System.gc()  # Spark deletes shuffle files of plans that nothing holds any more
     out = score(docs, model, scratch)
+    scratch.drop("filter")
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
