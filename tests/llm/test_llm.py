@@ -261,6 +261,14 @@ def test_html(spark, odd):
     assert {r["page_id"]: r["text"] for r in rows} == {**{i: f"Text {i} is here once only {i}." for i in range(4)}, 9: "", 10: ""}
 
 
+def test_html_outside_articles(spark):
+    notice = "All our readers get ten percent off every book"
+    page = lambda i: f"<body><div>{notice} code{i}</div><div>Story {i} told once and for all {i}</div><article>Teaser {i}</article></body>"
+    rows = html_text.extract(spark.createDataFrame([(i, f"http://h/{i}", page(i)) for i in range(4)], "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in rows} == {i: f"code{i} Story {i} told once and for all {i} Teaser {i}" for i in range(4)}
+    assert all(r["n_chars"] == len(r["text"]) for r in rows)
+
+
 def test_language(spark, sf, odd):
     got = language_id.op10_language_id(spark, sf).toPandas()
     real = pd.read_parquet(f"{sf}/documents.parquet")[["doc_id", "lang"]]

@@ -4,7 +4,8 @@ Tags say where an article is and what is never text. Elsewhere on a page, text
 that other pages of the host have too is boilerplate: token streams of all
 pages of a host give suffixes, equal ones up to ``RUN`` tokens meet in a shuffle
 by host and suffix, and tokens in a run that several distinct pages have are
-covered. Blocks that are mostly covered go; the rest is kept whole.
+covered. Covered tokens go and all others stay, on pages with an article too;
+an article's own text stays whole, as copies of an article are its text.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-#: Tokens of a run that counts, distinct pages that make it boilerplate, and the covered share from which a block goes.
-RUN, MIN_PAGES, COVERED = 6, 3, 0.5
+#: Tokens of a run that counts, and distinct pages that make it boilerplate.
+RUN, MIN_PAGES = 6, 3
 
 # Element names by their role in HTML, and words in class, id or role that name furniture of a page.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "select", "option", "button"}
@@ -114,42 +115,43 @@ def suffixes(tokens: list[str]) -> list[int]:
     return [int.from_bytes(hashlib.blake2b("\n".join(tokens[i : i + RUN]).encode(), digest_size=8).digest(), "little", signed=True) for i in range(max(1, len(tokens) - RUN + 1))]
 
 
-_PAGE = "page_id bigint, url string, host string, text string, others array<string>, own array<array<bigint>>, suffixes array<bigint>"
+_PAGE = "page_id bigint, url string, host string, text string, parts array<string>, own array<array<bigint>>, suffixes array<bigint>"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A page whose text lies all in articles has it as ``text``; any other has ``parts`` in order, with suffixes of those outside."""
     for batch in batches:
         columns: list[list] = [[] for _ in range(5)]
         for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
             found = blocks(page or "")
-            main = [t for k, t in found if k == "main"]
-            others = [] if main else [t for k, t in found if k == "other"]
-            own = [suffixes(t.split()) for t in others]
-            every = {x for xs in own for x in xs} | {x for k, t in found if k != "main" for x in suffixes(t.split())}
-            for column, x in zip(columns, (host_of(url), " ".join(main), others, own, sorted(every)), strict=True):
+            kept = [(k, t) for k, t in found if k != "furniture"]
+            asks = any(k == "other" for k, _ in kept)
+            text = "" if asks else " ".join(t for _, t in kept)
+            parts = [t for _, t in kept] if asks else []
+            own = [suffixes(t.split()) if k == "other" else [] for k, t in kept] if asks else []
+            every = {x for k, t in found if k != "main" for x in suffixes(t.split())}
+            for column, x in zip(columns, (host_of(url), text, parts, own, sorted(every)), strict=True):
                 column.append(x)
         kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["page_id", "url", "host", "text", "others", "own", "suffixes"])
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["page_id", "url", "host", "text", "parts", "own", "suffixes"])
 
 
-def covered_share(n_tokens: int, own: list[int], repeated: set[int]) -> float:
-    """The share of a block's tokens that lie in a repeated run."""
-    covered, upto = 0, 0
+def uncovered(words: list[str], own: list[int], repeated: set[int]) -> list[str]:
+    """A block's tokens that lie in no repeated run."""
+    kept, upto = [], 0
     for i, x in enumerate(own):
         if x in repeated:
-            end = min(n_tokens, i + RUN)
-            covered += end - max(i, upto)
-            upto = end
-    return covered / max(1, n_tokens)
+            kept += words[upto:i]
+            upto = max(upto, min(len(words), i + RUN))
+    return kept + words[upto:]
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for text, others, own, repeated in zip(*(batch.column(x).to_pylist() for x in ("text", "others", "own", "repeated")), strict=True):
+        for parts, own, repeated in zip(*(batch.column(x).to_pylist() for x in ("parts", "own", "repeated")), strict=True):
             known = set(repeated or ())
-            kept = [t for t, o in zip(others, own, strict=True) if covered_share(len(t.split()), o, known) < COVERED]
-            texts.append(" ".join([text, *kept] if text else kept))
+            texts.append(" ".join(t for t in (" ".join(uncovered(t.split(), o, known)) for t, o in zip(parts, own, strict=True)) if t))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -162,13 +164,13 @@ def extract(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     scratch = scratch or Scratch(pages.sparkSession, "html")
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     parsed = scratch.write(pages.mapInArrow(_parse, _PAGE).withColumn("row", F.monotonically_increasing_id()), "parsed")
-    # Only pages without an article ask which of their suffixes other pages of the host have.
+    # Pages with text outside articles ask which of its suffixes other pages of the host have.
     asked = parsed.where(F.size("own") > 0).select("row", "host", F.explode(F.array_distinct(F.flatten("own"))).alias("suffix"))
     wanted = asked.select("host", "suffix").distinct()
     array = parsed.select("host", F.explode("suffixes").alias("suffix"))
     repeated = scratch.write(array.join(wanted, ["host", "suffix"], "left_semi").groupBy("host", "suffix").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= MIN_PAGES), "repeated")
     of_page = asked.join(repeated, ["host", "suffix"]).groupBy("row").agg(F.collect_list("suffix").alias("repeated"))
-    asking = parsed.where(F.size("own") > 0).join(of_page, "row", "left").select("page_id", "url", "text", "others", "own", "repeated")
+    asking = parsed.where(F.size("own") > 0).join(of_page, "row", "left").select("page_id", "url", "parts", "own", "repeated")
     assembled = asking.mapInArrow(_assemble, "page_id bigint, url string, text string, n_chars bigint")
     # The others have their whole text and go through no shuffle.
     whole = parsed.where(F.size("own") == 0).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
