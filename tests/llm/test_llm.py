@@ -269,6 +269,12 @@ def test_html_outside_articles(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in rows)
 
 
+@pytest.mark.parametrize("before", ["<form><datalist><option value=a><option value=b></datalist></form>", "<button>Go", "<svg><path d=x>", "<object>", "<noscript>No", "<div><iframe>x</div>", "<select><option>x</select>", "<template><article>No</article></template>"])
+def test_html_unclosed(before):
+    page = f"<body>{before}<article><p>One <button>x</button>two</p><select><option>y<option>z</select>three</article><div>Four<svg></div><p>Five</body>"
+    assert html_text.blocks(page) == [("main", "One two"), ("main", "three"), ("other", "Four"), ("other", "Five")]
+
+
 def test_language(spark, sf, odd):
     got = language_id.op10_language_id(spark, sf).toPandas()
     real = pd.read_parquet(f"{sf}/documents.parquet")[["doc_id", "lang"]]

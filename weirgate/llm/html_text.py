@@ -25,7 +25,8 @@ from .scratch import Scratch
 RUN, MIN_PAGES = 6, 3
 
 # Element names by their role in HTML, and words in class, id or role that name furniture of a page.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "select", "option", "button"}
+RAW = {"script", "style", "textarea", "title"}
+HIDDEN, CONTROLS = {"noscript", "template", "iframe", "svg", "object"}, {"select", "option", "button"}
 FURNITURE = {"nav", "footer", "aside", "form", "menu", "dialog"}
 MAIN = {"article", "main"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "input"}
@@ -44,15 +45,26 @@ def _is_furniture(name: str, attributes: str, in_main: bool) -> bool:
     return any(w in HINTS for m in _NAMED.finditer(attributes) for w in re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower()))
 
 
+def _left_open(page: str, at: int, stack: list[tuple[str, str]]) -> bool:
+    """Whether the hidden elements around a place are left open: controls hold no article, others do if their closing tag comes first."""
+    for name in {k for k, _ in stack} & HIDDEN:
+        m = re.compile(rf"<(/?){name}\b", re.I).search(page, at)
+        if m and m[1]:
+            return False
+    return True
+
+
 def blocks(page: str) -> list[tuple[str, str]]:
     """``(kind, text)`` of a page's blocks in order; kinds are main, other and furniture.
 
     An element that is never closed ends with its parent; furniture left open
-    also ends where an article begins.
+    also ends where an article begins. Only ``RAW`` elements run to the page's
+    end without a closing tag; text in ``HIDDEN`` and ``CONTROLS`` elements is
+    skipped.
     """
     out: list[tuple[str, str]] = []
-    stack: list[tuple[str, str]] = []  # open elements with the kind of text inside
-    kind, held, at, n = "other", [], 0, len(page)
+    stack: list[tuple[str, str]] = []  # open elements with the kind of text inside, or hidden
+    kind, hidden, held, at, n = "other", False, [], 0, len(page)
 
     def flush() -> None:
         if held:
@@ -64,27 +76,42 @@ def blocks(page: str) -> list[tuple[str, str]]:
     while at < n:
         m = _TAG.search(page, at)
         if m is None:
-            held.append(page[at:])
+            if not hidden:
+                held.append(page[at:])
             break
-        if m.start() > at:
+        if m.start() > at and not hidden:
             held.append(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
             continue
         if m[1]:
-            if name not in INLINE:
+            if name not in INLINE | HIDDEN | CONTROLS and not hidden:
                 flush()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
+                    if hidden and stack[i][1] != "hidden" and name not in INLINE:
+                        flush()
                     del stack[i:]
-                    kind = stack[-1][1] if stack else "other"
+                    kind = next((k for _, k in reversed(stack) if k != "hidden"), "other")
+                    hidden = bool(stack) and stack[-1][1] == "hidden"
                     break
             continue
         if name in RAW and not m[3].rstrip().endswith("/"):
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
+        if name in HIDDEN | CONTROLS:
+            if not m[3].rstrip().endswith("/"):
+                stack.append((name, "hidden"))
+                hidden = True
+            continue
+        if hidden and not (name in MAIN and _left_open(page, at, stack)):
+            if name not in VOID:
+                stack.append((name, "hidden"))
+            continue
+        if hidden:
+            stack, hidden = [x for x in stack if x[1] != "hidden"], False
         if name == "br":
             held.append(" ")
             continue
