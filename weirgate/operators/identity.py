@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _SEPARATOR, _NULL = "\u001f", "\u0000"
+#: Keeps rounding from making a bound on counts of shingles too strict.
+_SLACK = 1e-6
 
 
 def record_id(*cols: str) -> Column:
@@ -21,14 +23,15 @@ def exact_groups(df: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
 
 
 def shingle_sets(df: DataFrame, id_col: str, text: str, n: int = 3) -> DataFrame:
-    """``id, g``: distinct n-word shingles of a text."""
+    """``id, g``: distinct n-word shingles of a text; a text of fewer words is one shingle, one without words has none."""
     words = df.select(F.col(id_col).alias("id"), F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda x: x != "").alias("_w"))
     grams = NGram(n=n, inputCol="_w", outputCol="_g").transform(words)
-    return grams.select("id", F.explode(F.array_distinct("_g")).alias("g"))
+    short = F.size("_w").between(1, n - 1)
+    return grams.select("id", F.explode(F.when(short, F.array(F.array_join("_w", " "))).otherwise(F.array_distinct("_g"))).alias("g"))
 
 
 def _classes(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``id, class, s``: each text's sorted shingles and a digest of them. Texts shorter than a shingle have none."""
+    """``id, class, s``: each text's sorted shingles and a digest of them."""
     sets = shingle_sets(df, id_col, text).groupBy("id").agg(F.array_sort(F.collect_list("g")).alias("s"))
     return sets.withColumn("class", F.sha2(F.array_join("s", "\u001e"), 256))
 
@@ -38,26 +41,30 @@ def _representatives(classes: DataFrame) -> DataFrame:
     return classes.groupBy("class").agg(F.min_by("s", "id").alias("s"), F.min("id").alias("id"))
 
 
-def match_candidates(df: DataFrame, id_col: str, text: str, perms: int = 64, bands: int = 16) -> DataFrame:
-    """``x, y`` with ``x < y``: pairs that share a band of MinHash values.
+def match_candidates(df: DataFrame, id_col: str, text: str, threshold: float = 0.8) -> DataFrame:
+    """``x, y`` with ``x < y``: all pairs that may reach the threshold, by an exact prefix filter.
 
     Equal shingle sets are one class; its smallest id stands for it, and pairs
-    are those of representatives.
+    are those of representatives. Sets are ordered from the rarest shingle on;
+    two that reach the threshold share a shingle of their first ones, so many
+    that the rest alone is too few, and from the first shared one on both still
+    hold as many as they must have in common.
     """
-    rows = perms // bands
-    reps = _representatives(_classes(df, id_col, text)).select("id", F.explode("s").alias("g"))
-    mins = reps.groupBy("id").agg(*(F.min(F.xxhash64("g", F.lit(i))).alias(f"h{i}") for i in range(perms)))
-    keys = F.array(*(F.xxhash64(F.lit(b), *(f"h{b * rows + r}" for r in range(rows))) for b in range(bands)))
-    banded = mins.select("id", F.explode(keys).alias("bucket"))
-    left, right = banded.select("bucket", F.col("id").alias("x")), banded.select("bucket", F.col("id").alias("y"))
-    return left.join(right, "bucket").where("x < y").select("x", "y").distinct()
+    grams = _representatives(_classes(df, id_col, text)).select("id", F.explode("s").alias("g"))
+    seen = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    sets = grams.join(seen, "g").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("s")).withColumn("size", F.size("s"))
+    first = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - _SLACK).cast("int") + 1
+    rare = sets.select("id", "size", F.posexplode(F.slice("s", F.lit(1), first)).alias("at", "v")).where("v.n > 1").select(F.col("v.g").alias("g"), "id", "size", (F.col("size") - F.col("at")).alias("left"))
+    left, right = (rare.select("g", F.col("id").alias(k), F.col("size").alias(f"size_{k}"), F.col("left").alias(f"left_{k}")) for k in "xy")
+    common = F.lit(threshold / (1 + threshold)) * (F.col("size_x") + F.col("size_y")) - _SLACK
+    return left.join(right, "g").where((F.col("x") < F.col("y")) & (F.least("left_x", "left_y") >= common)).select("x", "y").distinct()
 
 
-def match_pairs(df: DataFrame, id_col: str, text: str, threshold: float, perms: int = 64, bands: int = 16) -> DataFrame:
+def match_pairs(df: DataFrame, id_col: str, text: str, threshold: float) -> DataFrame:
     """``x, y, jaccard``: candidates confirmed on their full shingle sets, and each other member of a class with its representative."""
     classes = _classes(df, id_col, text)
     sets = _representatives(classes)
-    pairs = match_candidates(df, id_col, text, perms, bands)
+    pairs = match_candidates(df, id_col, text, threshold)
     for side in "xy":
         pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("s").alias(f"s_{side}")), side)
     common = F.size(F.array_intersect("s_x", "s_y"))
