@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .tokens import encoder, id_lists, list_crcs, per_batch, vocabulary_path
+from .tokens import encoder, gather, id_lists, list_crcs, per_batch, vocabulary_path
 
 CAPACITY, END_ID = 2048, 0
 
@@ -107,34 +107,33 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabul
 
     Null texts count as empty and give the end id alone. Only documents longer
     than ``capacity`` are cut, so that all pieces but the first are full.
+    Repeated rows are cut each, an empty table gives no rows, and other columns
+    are not read.
     ``block`` and ``nth`` name the task and the place of a piece among the
     task's pieces of its length; the result must be written before use.
     """
     vocabulary = vocabulary or vocabulary_path()
-    tail = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            ids, at, piece, start = [], [], [], []
-            for i, x in enumerate(encoder(vocabulary).encode(batch.column("text").to_pylist())):
-                x += tail
-                n = len(x) // 4
-                cuts = [0, *range(n % capacity or capacity, n, capacity), n]
-                for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    ids.append(x[4 * a : 4 * b])
-                    at.append(i)
-                    piece.append(k)
-                    start.append(a)
-            length = np.array([len(x) // 4 for x in ids], dtype=np.int32)
-            nth = np.empty(len(length), dtype=np.int64)
-            for i, n in enumerate(length.tolist()):
-                nth[i] = seen[n]
-                seen[n] += 1
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length), pa.array(np.full(len(length), block, np.int32)), pa.array(nth), id_lists(ids)],
-                names=["doc_id", "piece", "start", "length", "block", "nth", "ids"],
-            )
+            for first, upto, ids, n in encoder(vocabulary).encode(batch.column("text"), end_id):
+                pieces = -(-n // capacity)
+                at = np.repeat(np.arange(len(n)), pieces)
+                piece = gather(np.zeros(len(n), dtype=np.int64), pieces)
+                head = n[at] - (pieces[at] - 1) * capacity  # length of the first piece
+                length = np.where(piece == 0, head, capacity)
+                start = np.where(piece == 0, 0, head + (piece - 1) * capacity)
+                order = np.argsort(length, kind="stable")
+                places = np.bincount(length, minlength=capacity + 1)
+                nth = np.empty(len(length), dtype=np.int64)
+                nth[order] = gather(seen, places)
+                seen += places
+                doc_id = batch.column("doc_id").slice(first, upto - first).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays(
+                    [doc_id, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length.astype(np.int32)), pa.array(np.full(len(length), block, np.int32)), pa.array(nth), id_lists(ids, length)],
+                    names=["doc_id", "piece", "start", "length", "block", "nth", "ids"],
+                )
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, _PIECES)
 

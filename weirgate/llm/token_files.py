@@ -34,19 +34,17 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
     columns are not read. An empty table gives an empty folder of files.
     """
     vocabulary = vocabulary or vocabulary_path()
-    tail = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [x + tail for x in encoder(vocabulary).encode(batch.column("text").to_pylist())]
-            n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-            start = at + np.cumsum(n) - n
-            at += int(n.sum())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.full(len(n), block, np.int32)), pa.array(start), pa.array(n.astype(np.int32)), id_lists(ids)],
-                names=["doc_id", "block", "local_start", "n_tokens", "ids"],
-            )
+            for a, b, ids, n in encoder(vocabulary).encode(batch.column("text"), end_id):
+                start = at + np.cumsum(n) - n
+                at += len(ids)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(a, b - a), pa.array(np.full(len(n), block, np.int32)), pa.array(start), pa.array(n.astype(np.int32)), id_lists(ids, n)],
+                    names=["doc_id", "block", "local_start", "n_tokens", "ids"],
+                )
 
     (
         docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections.abc import Callable, Iterable, Iterator
-from struct import pack
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Runs between spaces whose ids a worker keeps, about 180 bytes each; with more, it starts over.
-CACHE_RUNS = 900_000
-#: Characters of a run that is worth keeping.
-CACHE_CHARS = 64
+#: Runs between spaces whose ids a worker keeps, and the ids of them all; with more, it starts over.
+CACHE_RUNS, CACHE_IDS = 900_000, 8_000_000
+#: Bytes of texts that are encoded at once; one longer text is encoded alone.
+TEXT_BYTES = 8_000_000
 
-_PARTS = re.compile(r"\n|[^\W\d_]+|[!-&(-/:-@\[-`{-~]+")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -26,89 +25,104 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _parts(run: str) -> list[str] | None:
-    """Cuts a run where letters meet ASCII marks or a line ends; None if it holds anything else."""
-    found = _PARTS.findall(run)
-    if "\n\n" in run or run[-1] == "\n" or sum(map(len, found)) != len(run) or not all(x.isalpha() for x in found if not x.isascii()):
-        return None
-    return found
+def by_bytes(column: pa.Array, limit: int = TEXT_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of a string column with up to ``limit`` bytes each, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = done = 0
+    while at < len(ends):
+        upto = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
+        yield at, upto
+        at, done = upto, int(ends[upto - 1])
+
+
+def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places ``start, start + 1, ...`` of runs of some lengths, one run after another."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
 
 
 class Encoder:
-    """Encodes with the ``tokenizers`` library, once for each distinct part of text.
+    """Encodes with the ``tokenizers`` library, once for each distinct run of text between spaces.
 
-    A byte-level BPE file cuts text by a pattern before it merges. A single
+    A byte-level BPE file cuts text by a pattern before it merges, and a single
     space before a character that is no white space always starts a new part
-    there, and so does a change between letters and ASCII marks other than the
-    apostrophe. So a text's ids are those of such parts in a row, each taking
-    the space before it. New parts go to the library as lines of one text.
-    Texts with a space before white space or at the end are encoded whole.
+    there. So a text's ids are those of its runs in a row, each with the space
+    before it. New runs go to the library as one batch. Texts with a space
+    before white space or at the end are encoded whole, also in one batch.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.line_end = self._encode("\n")
-        self.runs: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> bytes:
-        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-        return pack("<%dI" % len(ids), *ids)
-
-    def _encode_lines(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of parts that hold no line end and end in no white space."""
-        if not parts:
-            return {}
-        ids = self._encode("\n".join(parts))
-        ends = np.flatnonzero(np.frombuffer(ids, "<u4") == np.frombuffer(self.line_end, "<u4")) * 4
-        return {x: ids[a:b] for x, a, b in zip(parts, [0, *(ends + 4).tolist()], [*ends.tolist(), len(ids)], strict=True)}
-
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of runs, each with the space before it."""
-        runs = self.runs
-        cut = {x: y for x in new if not x.isalpha() and (y := _parts(x))}
-        lines = {" " + x for x in new if x.isalpha()}
-        for y in cut.values():
-            if y[0] not in runs:
-                lines.add(" " + y[0])
-            lines.update(y[1:])
-        lines.discard("\n")
-        ids = self._encode_lines(list(lines))
-        ids["\n"] = self.line_end
-        made = {}
-        for x in new:
-            if y := cut.get(x):
-                head = runs[y[0]] if y[0] in runs else ids[" " + y[0]]
-                made[x] = head + b"".join([ids[z] for z in y[1:]])
-            else:
-                made[x] = ids[" " + x] if x.isalpha() else self._encode(" " + x)
-        return made
-
-    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        runs = self.runs
-        for text in texts:
-            if not text:
-                yield b""
-                continue
-            first, *rest = text.split(" ")
-            new, odd = set(rest).difference(runs), {}
-            if new:
-                if any(not x or x[0].isspace() for x in new):
-                    yield self._encode(text)
-                    continue
-                if len(runs) > CACHE_RUNS:
-                    runs.clear()
-                    new = set(rest)
-                made = self._learn(new)
-                odd = {k: v for k, v in made.items() if len(k) > CACHE_CHARS}
-                for k in odd:
-                    del made[k]
-                runs.update(made)
-            body = b"".join([odd[x] if x in odd else runs[x] for x in rest] if odd else map(runs.__getitem__, rest))
-            yield self._encode(first) + body if first else body
+        self._clear()
+
+    def _clear(self) -> None:
+        self.runs: dict[str, int] = {}
+        self.starts = self.lengths = np.zeros(0, dtype=np.int64)
+        self.values = np.zeros(0, dtype="<u4")
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of texts in a row, and their numbers."""
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), dtype="<u4"), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+
+    def _slots(self, runs: list[str]) -> np.ndarray:
+        """Where the cache has the ids of runs; new ones are learned."""
+        if len(self.runs) > CACHE_RUNS or len(self.values) > CACHE_IDS:
+            self._clear()
+        new = [x for x in runs if x not in self.runs]
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            values, lengths = self._encode([" " + x for x in some])
+            self.runs.update(zip(some, range(len(self.runs), len(self.runs) + len(some)), strict=True))
+            self.starts = np.concatenate((self.starts, len(self.values) + np.cumsum(lengths) - lengths))
+            self.lengths = np.concatenate((self.lengths, lengths))
+            self.values = np.concatenate((self.values, values))
+        return np.fromiter(map(self.runs.__getitem__, runs), dtype=np.int64, count=len(runs))
+
+    def _some(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.split_pattern(texts, " ")
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        bounds, coded = bounds - bounds[0], lists.flatten().dictionary_encode()
+        runs, token = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        heads = bounds[:-1]
+        odd_run = np.fromiter((not x or x[0].isspace() for x in runs), dtype=bool, count=len(runs))
+        odd_token = odd_run[token]
+        odd_token[heads] = False
+        odd = np.logical_or.reduceat(odd_token, heads)
+        # An odd text is one entry, its whole ids; of another the first run has no space before it.
+        in_rest = np.ones(len(token), dtype=bool)
+        in_rest[heads] = False
+        in_rest &= ~np.repeat(odd, np.diff(bounds))
+        wanted = np.unique(token[in_rest])
+        slot = np.zeros(len(runs), dtype=np.int64)
+        slot[wanted] = self._slots([runs[i] for i in wanted.tolist()])
+        first = [runs[i] for i in token[heads].tolist()]
+        for i in np.flatnonzero(odd).tolist():
+            first[i] = texts[i].as_py()
+        values, lengths = self._encode(first)
+        n = len(self.starts)
+        starts = np.concatenate((self.starts, len(self.values) + np.cumsum(lengths) - lengths, [len(self.values) + len(values)]))
+        lengths = np.concatenate((self.lengths, lengths, [1]))
+        values = np.concatenate((self.values, values, np.array([end], dtype="<u4")))
+        # Of each text the entries: the first one, the runs after it, the end.
+        of_token = slot[token]
+        of_token[heads] = n + np.arange(len(heads))
+        keep = in_rest.copy()
+        keep[heads] = True
+        after = np.cumsum(np.add.reduceat(keep, heads, dtype=np.int64))
+        entries = np.insert(of_token[keep], after, len(starts) - 1)
+        n_ids = lengths[entries]
+        ids = values[gather(starts[entries], n_ids)]
+        last = np.cumsum(n_ids)[after + np.arange(len(after))]
+        return ids, np.diff(last, prepend=0)
+
+    def encode(self, column: pa.Array, end: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Ranges of rows with their ids in a row and the number of each row's; null counts as empty, ``end`` closes each text."""
+        texts = pc.fill_null(column.cast(pa.large_string()), "")
+        for a, b in by_bytes(texts):
+            yield (a, b, *self._some(texts.slice(a, b - a), end))
 
 
 def encoder(path: str) -> Encoder:
@@ -118,13 +132,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def id_lists(ids: list[bytes]) -> pa.ListArray:
-    """An Arrow column of int32 lists from packed ids."""
-    offsets = np.zeros(len(ids) + 1, dtype=np.int64)
-    np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
-    if offsets[-1] > np.iinfo(np.int32).max:
-        raise ValueError("a batch holds more ids than an Arrow list can; lower spark.sql.execution.arrow.maxRecordsPerBatch")
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+def id_lists(ids: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
+    """An Arrow column of int32 lists from ids in a row."""
+    if len(ids) > np.iinfo(np.int32).max:
+        raise ValueError("a text holds more ids than an Arrow list can")
+    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view("<i4")))
 
 
 def list_crcs(column: pa.ListArray) -> np.ndarray:
@@ -139,6 +152,15 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def word_lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of texts with A-Z lower-cased, one after another, and where each text's begin and end."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.cast(pa.large_string()), "")))
+    bounds, flat = lists.offsets.to_numpy().astype(np.int64), lists.flatten()
+    keep = pc.greater(pc.binary_length(flat), 0)
+    before = np.concatenate(([0], np.cumsum(keep.to_numpy(zero_copy_only=False))))
+    return before[bounds - bounds[0]], flat.filter(keep)
+
+
 def words(text: bytes | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; both hold for bytes of UTF-8."""
     return (text or b"").lower().split()
