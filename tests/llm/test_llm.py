@@ -137,57 +137,91 @@ def test_registers_merge_and_estimate():
     assert near_dedup.estimate(r[:1], r[:1], n, n)[0] == 1.0
 
 
+def brute_model(sequences):
+    """Counts of pairs as the filter holds them, sums and numbers of following words, exact counts, the discount."""
+    np = lm_score.np
+    pairs = Counter(p for ws in sequences for p in zip(ws, ws[1:]))
+    c = Counter()
+    q, s, t = {}, Counter(), Counter()
+    for (v, w), n in pairs.items():
+        q[v, w] = int(lm_score.twice_counted(lm_score.level(np.array([n])))[0]) / 2
+        c[v] += n
+        s[v] += q[v, w]
+        t[v] += 1
+    once, twice = (sum(n == k for n in pairs.values()) for k in (1, 2))
+    return q, s, t, c, once / (once + 2 * twice) if once and twice else 0.5
+
+
 def test_lm_scores(spark, sf, docs):
+    """Every column against brute force; false hits of the filter move few scores, and those a little."""
     got = {r["doc_id"]: r for r in lm_score.op3_lm_score(spark, sf).collect()}
-    rows = docs.collect()
     out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    words = {r["doc_id"]: [*tokens.words(r["text"].encode()), lm_score.END] for r in rows}
-    c = Counter(w for i, ws in words.items() if not out(i) for w in ws)
+    words = {r["doc_id"]: [b"\n", *tokens.words(r["text"].encode()), b"\n"] for r in docs.collect()}
+    q, s, t, c, d = brute_model([ws for i, ws in words.items() if not out(i)])
     n, v = sum(c.values()), len(c)
+    near = 0
     for i, ws in words.items():
-        assert (got[i]["held_out"], got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (out(i), len(ws), sum(c[w] > 0 for w in ws), n)
-        assert got[i]["base_score"] == pytest.approx(sum(log10((c[w] + 1) / (n + v + 1)) for w in ws))
+        base = {w: (c[w] + 1) / (n + v + 1) for w in ws}
+        assert (got[i]["held_out"], got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (out(i), len(ws) - 1, sum(c[w] > 0 for w in ws[1:]), n)
+        assert got[i]["base_score"] == pytest.approx(sum(log10(base[w]) for w in ws[1:]))
+        want = sum(log10((max(q.get((a, b), 0) - d, 0) + d * t[a] * base[b]) / s[a] if s[a] else base[b]) for a, b in zip(ws, ws[1:]))
+        near += got[i]["score"] == pytest.approx(want, rel=1e-9)
+        assert got[i]["score"] == pytest.approx(want, rel=0.05)
+    assert near > 0.75 * len(words)
     held = [r for r in got.values() if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_lm_probabilities_sum_to_one(spark):
+    """Over all words, the end and an unknown word, after each word."""
+    vocabulary = [f"w{i}" for i in range(20)]
+    texts = [" ".join(vocabulary[(i * k) % 20] for i in range(1, 30)) for k in range(1, 9)]
+    rows = [(k, t, True) for k, t in enumerate(texts)]
+    asked = [(1000 + 100 * i + j, f"{v} {w}".strip(), False) for i, v in enumerate(vocabulary) for j, w in enumerate([*vocabulary, "unknown"])]
+    asked += [(10_000 + i, v, False) for i, v in enumerate(vocabulary)]
+    df = spark.createDataFrame([*rows, *asked], "doc_id long, text string, learn boolean")
+    got, _ = lm_score.scores(df, lm_score.F.col("learn"), Scratch(spark, "t3"))
+    score = {r["doc_id"]: r["score"] for r in got.collect()}
+    q, s, t, c, d = brute_model([["\n", *x.split(), "\n"] for x in texts])
+    total = sum(c.values()) + len(c) + 1
+    p = lambda a, b: (max(q.get((a, b), 0) - d, 0) + d * t[a] * (c[b] + 1) / total) / s[a]
+    for i, v in enumerate(vocabulary):
+        after = [10 ** score[1000 + 100 * i + j] / p("\n", v) / p(w, "\n") for j, w in enumerate(vocabulary)]
+        unknown = 10 ** score[1000 + 100 * i + 20] / p("\n", v) / ((c["\n"] + 1) / total)
+        end = 10 ** score[10_000 + i] / p("\n", v)
+        assert sum(after) + unknown + end == pytest.approx(1)
+
+
+def test_lm_scores_of_odd_rows(spark, odd):
+    got, model = lm_score.scores(odd, lm_score.F.col("doc_id") > 0, Scratch(spark, "t3o"))
+    rows = got.collect()
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in rows) == Counter((i, len((t or "").split()) + 1) for i, t, *_ in ODD)
+    assert len({r["score"] for r in rows if r["doc_id"] in (1, 2) and r["n_tokens"] == 8}) == 1
+    assert lm_score.scores(odd.limit(0), lm_score.F.lit(True))[0].count() == 0
+    assert {r["score"] for r in lm_score.scores(odd, lm_score.F.lit(False))[0].collect()} == {0.0}
+
+
 def test_filter_never_loses_an_entry():
     np = lm_score.np
-    h = np.arange(1, 2000, dtype=np.uint64) * np.uint64(2654435761)
-    data, bits = np.zeros(64 * 1024 // 8, dtype=np.uint8), 64 * 1024
-    for at in (1, 2):
-        e = lm_score.entries(h[: 2000 // at], at)
-        for k in range(lm_score.PROBES):
-            w = lm_score._places(e, bits, k)
-            np.bitwise_or.at(data, (w >> np.uint64(3)).astype(np.int64), np.left_shift(1, (w & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-    found = lm_score.LogFrequencyFilter(data, bits).levels(h)
-    assert (found >= 1).all() and (found[:1000] >= 2).all()
-
-
-def test_filter_keeps_every_pair(spark, docs):
-    """However small its slices may be, the filter has room for all pairs, and documents meet their levels."""
-    np, scratch = lm_score.np, Scratch(spark, "t3")
-    model = lm_score.train(docs, scratch, 2**14)
-    assert model.slices > 64 and model.bits // model.slices <= 2**14
-    sequences = {r["doc_id"]: [lm_score.END, *tokens.words((r["text"] or "").encode()), lm_score.END] for r in docs.collect()}
-    data = np.zeros(model.bits // 8, dtype=np.uint8)
-    size = len(data) // model.slices
-    for r in model.grams.collect():
-        data[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["bytes"], np.uint8)
-    grams = lm_score.LogFrequencyFilter(data, model.bits, model.slices)
-    pairs = Counter(p for ws in sequences.values() for p in zip(ws, ws[1:]))
-    hashed = lambda x: np.array([lm_score._hash(w) for w in x], dtype=np.uint64)
-    found = grams.levels(np.array([lm_score.pair_hashes(hashed(p))[0] for p in pairs], dtype=np.uint64))
-    real = lm_score.level(np.array(list(pairs.values()), dtype=np.float64))
-    assert (found >= real).all() and (found == real).mean() > 0.95
-    got = {r["doc_id"]: r["score"] for r in lm_score.score(docs, model, scratch).collect()}
-    for i, ws in sequences.items():
-        h = hashed(ws)
-        c = lm_score.counted(grams.levels(h))
-        pair, before = np.minimum(lm_score.counted(grams.levels(lm_score.pair_hashes(h))), c[:-1]), c[:-1]
-        trust = before / (before + 5 * np.sqrt(before) + 1) * np.where(pair > 0, 1.0, 0.5)
-        want = np.log10(trust * pair / np.maximum(before, 1) + (1 - trust) * (c[1:] + 1) / (model.tokens + model.types + 1)).sum()
-        assert got[i] == pytest.approx(want)
+    first, second = np.arange(1, 3000, dtype=np.uint64) * np.uint64(2654435761), np.arange(1, 3000, dtype=np.uint32)
+    real = 1 + np.arange(2999) % 7
+    grams = lm_score.LogFrequencyFilter.of(first, second, real)
+    found = grams.levels(first, second)
+    assert (found >= real).all() and (found == real).mean() > 0.99
+    assert (grams.levels(first, second + np.uint32(7_000)) > 0).mean() < 0.01
+
+
+@pytest.mark.parametrize("parts", [0.001, 64])
+def test_hot_words_are_spread(spark, docs, monkeypatch, parts):
+    """Which words count as hot doesn't change a score, but for false hits."""
+    learn = lm_score.F.lit(True)
+    want = {r["doc_id"]: r["score"] for r in lm_score.scores(docs, learn)[0].collect()}
+    monkeypatch.setattr(lm_score, "HOT_PARTS", parts)
+    out, model = lm_score.scores(docs, learn)
+    got = {r["doc_id"]: r["score"] for r in out.collect()}
+    assert (len(model.hot) > 20) == (parts == 64) and (len(model.hot) == 0) == (parts != 64)
+    assert sum(got[i] == pytest.approx(x) for i, x in want.items()) > 0.7 * len(want)
+    assert all(got[i] == pytest.approx(x, rel=0.05) for i, x in want.items())
 
 
 def test_packing(spark, odd, docs):

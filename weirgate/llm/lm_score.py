@@ -1,242 +1,110 @@
 """Operator 3: language-model scores from a log-frequency Bloom filter.
 
-Counts of words and word pairs are gathered over all training texts. A count c
-is quantised to the level 1 + floor(log2 c), and an n-gram enters the filter
-once for each level up to its own; a lookup probes level after level until one
-is missing. The filter grows with its entries and stays a table of slices: the
-distinct n-grams of a block of texts go to their slices by a shuffle, and their
-levels come back to the block by another. A pair's probability mixes its
-relative frequency with the word's own, by Witten-Bell-like weights.
+All pairs of neighbouring words of the training texts are counted. A count is
+quantised to the level 1 + floor(log2 count), and a pair enters the filter once
+for each level up to its own; a lookup probes level after level until one is
+missing. The filter is as large as its entries ask for, so it is a table of
+slices: pairs are dealt to slices by the first word, those of very frequent
+words by the second, and blocks of texts send the distinct pairs they have to
+the slices and get levels back. With q the count a level stands for,
+
+    P(w | v) = max(q(v, w) - D, 0) / S(v) + D * T(v) / S(v) * (c(w) + 1) / (N + V + 1)
+
+where S and T are the sum of q and the number of the words that follow v, c, N
+and V are exact counts, and D is Ney's discount. That sums to one over all words
+and one unknown word, apart from false hits of the filter.
 """
 
 from __future__ import annotations
 
 import gc
-import hashlib
-from collections import Counter
 from collections.abc import Iterator
-from math import log10
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .tokens import utf8, words
+from .tokens import by_bytes, word_lists
 
 #: Bits of the filter for each entry, and probes for each.
-BITS_PER_ENTRY, PROBES = 10, 5
-#: Slices of the filter, and the bits above which a slice is halved: 4 MB.
-SLICES, SLICE_BITS = 64, 2**25
-#: Most frequent words whose exact counts are sent to workers; others meet theirs in a join.
-HEAD_WORDS = 131_072
-#: Distinct words a worker counts, or keeps what it knows of, before it hands them on or starts over.
-CACHE_WORDS = 300_000
-#: Word pairs a task sums before it hands them on.
-PAIRS_AT_ONCE = 2_000_000
-#: Tokens of a block of texts that is scored at once.
-BLOCK_TOKENS = 500_000
-
-END = b"\n"  # no word holds it
-_UNIT = 0x9E3779B97F4A7C15
+BITS_PER_ENTRY, PROBES = 16, 8
+#: Slices at least; there are as many as shuffle partitions, if these are more.
+SLICES = 64
+#: Bytes of texts that make a block; one longer text is a block of its own.
+BLOCK_BYTES = 8_000_000
+#: Pairs a task gathers before it sums them.
+PAIRS_AT_ONCE = 4_000_000
+#: A word with a larger share of all words than one part of ``HOT_PARTS`` slices has its pairs spread over all slices.
+HOT_PARTS = 8
+
+END = "\n"  # no word holds it
+_UNIT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit values (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def _hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-
-
-def pair_hashes(h: np.ndarray) -> np.ndarray:
-    """Of each token after the first, with the one before it."""
-    return _mix(h[:-1] * np.uint64(3) + h[1:])
+def word_keys(words: list[str]) -> np.ndarray:
+    """64-bit digests; they stand for words, so counts are exact unless two words share one (V * V / 2**65 such pairs are expected)."""
+    return np.frombuffer(b"".join([xxhash.xxh3_64_digest(w) for w in words]), ">u8").astype(np.uint64)
 
 
 def level(count: np.ndarray) -> np.ndarray:
     """The quantised count."""
-    return 1 + np.floor(np.log2(count)).astype(np.int64)
-
-
-def _places(entries: np.ndarray, bits: int, probe: int, slices: int = SLICES) -> np.ndarray:
-    """Bit number of a probe: a slice by the entry, then a place in it."""
-    slice_bits = bits // slices
-    return (entries % np.uint64(slices)) * np.uint64(slice_bits) + _in_slice(entries, slice_bits, probe)
-
-
-def _in_slice(entries: np.ndarray, slice_bits: int, probe: int) -> np.ndarray:
-    return _mix(entries + np.uint64(probe * _UNIT % 2**64)) % np.uint64(slice_bits)
-
+    return np.frexp(count.astype(np.float64))[1].astype(np.int64)
 
-def entries(hashes: np.ndarray, at: int, slices: int = SLICES) -> np.ndarray:
-    """What the filter holds of n-grams at a level; those of one n-gram lie in one slice."""
-    return (_mix(hashes + np.uint64(at)) << np.uint64(slices.bit_length() - 1)) | (hashes % np.uint64(slices))
 
-
-def filter_size(n_entries: int, slice_bits: int = SLICE_BITS) -> tuple[int, int]:
-    """Bits of a filter for so many entries, and its slices, a power of two."""
-    slices = SLICES
-    while n_entries * BITS_PER_ENTRY > slices * slice_bits:
-        slices *= 2
-    return max(slices * 1024, -(-n_entries * BITS_PER_ENTRY // (slices * 64)) * slices * 64), slices
-
-
-def by_slice(hashes: np.ndarray, slices: int) -> np.ndarray:
-    """Numbers that stand for n-grams and sort by slice first."""
-    k = np.uint64(slices.bit_length() - 1)
-    return (hashes % np.uint64(slices)) << (np.uint64(64) - k) | hashes >> k
-
-
-def _from_slice(numbers: np.ndarray, slices: int) -> np.ndarray:
-    """The n-grams of ``by_slice``."""
-    k = np.uint64(slices.bit_length() - 1)
-    return numbers << k | numbers >> (np.uint64(64) - k)
+def twice_counted(levels: np.ndarray) -> np.ndarray:
+    """Twice the count a level stands for, the middle of its range; a whole number."""
+    return np.where(levels > 0, 3 * np.left_shift(1, np.maximum(levels, 1) - 1) - 1, 0)
 
 
 class LogFrequencyFilter:
-    """A whole filter, or one of its slices."""
-
-    def __init__(self, data: np.ndarray, bits: int, slices: int = SLICES, whole: bool = True):
-        self.data, self.bits, self.slices, self.whole = data, bits, slices, whole
-
-    def levels(self, hashes: np.ndarray) -> np.ndarray:
-        """The quantised counts of n-grams, 0 for those not seen; never too low."""
-        found = np.zeros(len(hashes), dtype=np.int64)
-        alive, at = np.arange(len(hashes)), 0
-        while len(alive):
+    """A slice of the filter: bits for pairs of a first word's key and a second word's short key."""
+
+    def __init__(self, data: np.ndarray):
+        self.data = data
+
+    @staticmethod
+    def _bits(first: np.ndarray, second: np.ndarray, at: int, bits: int) -> Iterator[np.ndarray]:
+        x = _mix(_mix(first + second.astype(np.uint64) * _UNIT) + np.uint64(at))
+        step = (x >> np.uint64(32)) | np.uint64(1)
+        for _ in range(PROBES):
+            yield (x % np.uint64(bits)).astype(np.int64)
+            x = x + step
+
+    @classmethod
+    def of(cls, first: np.ndarray, second: np.ndarray, levels: np.ndarray) -> LogFrequencyFilter:
+        bits = max(64, -(-int(levels.sum()) * BITS_PER_ENTRY // 8) * 8)
+        data = np.zeros(bits, dtype=bool)
+        for at in range(1, int(levels.max(initial=0)) + 1):
+            some = levels >= at
+            for where in cls._bits(first[some], second[some], at, bits):
+                data[where] = True
+        return cls(np.packbits(data, bitorder="little"))
+
+    def levels(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The quantised counts of pairs, 0 for those not seen; never too low."""
+        found = np.zeros(len(first), dtype=np.int64)
+        alive, at = np.arange(len(first)), 0
+        while len(alive) and at < 64:
             at += 1
-            e = entries(hashes[alive], at, self.slices)
-            for k in range(PROBES):
-                where = _places(e, self.bits, k, self.slices) if self.whole else _in_slice(e, self.bits // self.slices, k)
-                yes = (self.data[(where >> np.uint64(3)).astype(np.int64)] >> (where & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                alive, e = alive[yes], e[yes]
+            yes = np.ones(len(alive), dtype=bool)
+            for where in self._bits(first[alive], second[alive], at, 8 * len(self.data)):
+                yes &= (self.data[where >> 3] >> (where & 7).astype(np.uint8)) & 1 == 1
+            alive = alive[yes]
             found[alive] = at
-            if at == 64:
-                break
         return found
 
 
-def counted(levels: np.ndarray) -> np.ndarray:
-    """The count a level stands for: the middle of its range."""
-    return np.where(levels > 0, 0.75 * np.exp2(levels.astype(np.float64)), 0.0) * np.where(levels == 1, 2 / 3, 1.0)
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: Counter = Counter()
-
-    def out() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
-        total.clear()
-        return batch
-
-    for batch in batches:
-        for text in utf8(batch.column("text")):
-            total.update(words(text))
-            total[END] += 1
-            if len(total) > CACHE_WORDS:
-                yield out()
-    if total:
-        yield out()
-
-
-class _Words:
-    """Hashes of words, remembered."""
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {END: _hash(END)}
-
-    def hashes(self, found: list[bytes]) -> np.ndarray:
-        new = set(found).difference(self.known)
-        if new:
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-                new = set(found)
-            self.known.update((w, _hash(w)) for w in new)
-        return np.fromiter(map(self.known.__getitem__, found), dtype=np.uint64, count=len(found))
-
-
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known, held, size = _Words(), [], 0
-
-    def out() -> pa.RecordBatch:
-        h, n = np.unique(np.concatenate(held), return_counts=True)
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
-
-    for batch in batches:
-        for text in utf8(batch.column("text")):
-            h = pair_hashes(known.hashes([END, *words(text), END]))
-            held.append(h)
-            size += len(h)
-            if size > PAIRS_AT_ONCE:
-                yield out()
-                size = 0
-    if held:
-        yield out()
-
-
-class Model:
-    """What scoring needs of the training texts; the tables stay tables, only frequent words are sent."""
-
-    def __init__(self, vocabulary: DataFrame, head: dict[bytes, int], tokens: int, types: int, grams: DataFrame, bits: int, slices: int):
-        self.vocabulary, self.head, self.tokens, self.types = vocabulary, head, tokens, types
-        self.grams, self.bits, self.slices = grams, bits, slices  # grams(slice, bytes)
-
-
-def train(docs: DataFrame, scratch: Scratch, slice_bits: int = SLICE_BITS) -> Model:
-    """Learn from all of ``docs(text)``: every word and every pair is in the filter, however many there are."""
-    texts = docs.select("text")
-    vocabulary = scratch.write(texts.mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    pairs = scratch.write(texts.mapInArrow(_count_pairs, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")), "pairs")
-    tokens, types = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    head = {bytes(r["word"]): r["n"] for r in vocabulary.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).collect()}
-
-    of_level = F.floor(F.log2(F.col("n").cast("double"))).cast("int") + 1
-    n_entries = sum(t.agg(F.coalesce(F.sum(of_level), F.lit(0))).first()[0] for t in (vocabulary, pairs))
-    bits, slices = filter_size(n_entries, slice_bits)
-
-    def hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = np.array([_hash(w) for w in batch.column("word").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("n")], names=["gram", "n"])
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The slice's bytes with this task's entries set, for each slice the task has rows of."""
-        size = bits // slices // 8
-        mine: dict[int, np.ndarray] = {}
-        for batch in batches:
-            h = batch.column("gram").to_numpy().view(np.uint64)
-            top = level(batch.column("n").to_numpy().astype(np.float64))
-            for at in range(1, int(top.max(initial=0)) + 1):
-                e = entries(h[top >= at], at, slices)
-                part = (e % np.uint64(slices)).astype(np.int64)
-                chosen = [(mine.setdefault(int(p), np.zeros(size, dtype=np.uint8)), part == p) for p in np.unique(part)]
-                for k in range(PROBES):
-                    where = _in_slice(e, bits // slices, k)
-                    for data, of_part in chosen:
-                        w = where[of_part]
-                        np.bitwise_or.at(data, (w >> np.uint64(3)).astype(np.int64), np.left_shift(1, (w & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array(list(mine), pa.int32()), pa.array([x.tobytes() for x in mine.values()], pa.binary())], names=["slice", "bytes"])
-
-    grams = pairs.unionByName(vocabulary.mapInArrow(hash_words, "gram bigint, n bigint"))
-    grams = grams.repartition(slices, F.pmod(F.col("gram"), F.lit(slices)))
-    grams = scratch.write(grams.mapInArrow(places, "slice int, bytes binary"), "filter")
-    scratch.drop("pairs")
-    return Model(vocabulary, head, tokens, types, grams, bits, slices)
-
-
-_DOC = "struct<doc_id: bigint, n_tokens: bigint, n_head: bigint, head_score: double, tail: array<struct<word: binary, m: bigint>>>"
-#: A row is a block: hashes of its words by falling frequency, each token's place among them, and its documents.
-_BLOCK = f"block bigint, words binary, tokens binary, docs array<{_DOC}>"
-_DOC_ARROW = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head_score", pa.float64()), ("tail", pa.list_(pa.struct([("word", pa.binary()), ("m", pa.int64())])))])
-_BLOCK_ARROW = pa.schema([("block", pa.int64()), ("words", pa.binary()), ("tokens", pa.binary()), ("docs", pa.list_(_DOC_ARROW))])
-
-
 def _packed(numbers: np.ndarray) -> bytes:
     """Numbers as compressed bytes, all first bytes, then all second ones and so on."""
     planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T)
@@ -249,149 +117,298 @@ def _unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, len(planes) // size).T).view(kind).ravel()
 
 
-def _packed_hashes(hashes: np.ndarray) -> bytes:
-    """Hashes by their differences, which are short where they rise."""
-    return _packed(np.diff(hashes, prepend=np.uint64(0)))
+#: A row is a block: keys of its words by falling frequency, the place of each token among them, the ids and numbers
+#: of tokens of its documents, whether to learn from them, and words that may be hot.
+_BLOCK = "block bigint, keys binary, tokens binary, doc_ids array<bigint>, lengths array<int>, learn array<boolean>, hot array<struct<key: bigint, n: bigint>>"
+_HOT_ARROW = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())]))
 
 
-def _unpacked_hashes(data: bytes) -> np.ndarray:
-    return np.cumsum(_unpacked(data, np.uint64), dtype=np.uint64)
+def slices_of(spark: SparkSession) -> int:
+    """A power of two, no less than the shuffle partitions: more input asks for more partitions, so slices keep their size."""
+    n = max(SLICES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return 1 << (n - 1).bit_length()
 
 
-def _block_grams(words: np.ndarray, tokens: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A block's distinct n-grams by slice, and the places among them of its words and of each pair of tokens."""
-    numbers, at = np.unique(by_slice(np.concatenate([words, pair_hashes(words[tokens])]), slices), return_inverse=True)
-    return numbers, at[: len(words)], at[len(words) :]
+def read_blocks(docs: DataFrame, scratch: Scratch, name: str = "blocks") -> DataFrame:
+    """The texts of ``docs(doc_id, text, learn)`` as a written table of blocks of whole texts, each with an end before and after its words."""
+    share = 1 / (2 * HOT_PARTS * slices_of(docs.sparkSession))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            text = batch.column("text")
+            for a, b in by_bytes(text, BLOCK_BYTES):
+                at, words = word_lists(text.slice(a, b - a))
+                coded = words.dictionary_encode()
+                keys = word_keys([*coded.dictionary.to_pylist(), END])
+                found = coded.indices.to_numpy().astype(np.int64)
+                tokens = np.insert(found, np.repeat(at, [1, *[2] * (len(at) - 2), 1]), len(keys) - 1)
+                n = np.bincount(tokens, minlength=len(keys))
+                order = np.argsort(-n, kind="stable")
+                place = np.empty(len(order), dtype=np.uint32)
+                place[order] = np.arange(len(order), dtype=np.uint32)
+                keys, n = keys[order], n[order]
+                hot = int(np.searchsorted(-n, -share * len(tokens), side="right"))
+                row = [
+                    pa.array([block], pa.int64()),
+                    pa.array([_packed(keys)], pa.binary()),
+                    pa.array([_packed(place[tokens])], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column("doc_id").slice(a, b - a)),
+                    pa.array([(np.diff(at) + 2).astype(np.int32)], pa.list_(pa.int32())),
+                    pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column("learn").slice(a, b - a)),
+                    pa.array([[{"key": k, "n": m} for k, m in zip(keys[:hot].view(np.int64).tolist(), n[:hot].tolist(), strict=True)]], _HOT_ARROW),
+                ]
+                yield pa.RecordBatch.from_arrays(row, names=["block", "keys", "tokens", "doc_ids", "lengths", "learn", "hot"])
+                block += 1
+
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce("learn", F.lit(False)).alias("learn"))
+    return scratch.write(docs.mapInArrow(run, _BLOCK), name)
+
+
+class _Pairs:
+    """A block's distinct pairs by slice and first word."""
+
+    def __init__(self, keys: np.ndarray, first: np.ndarray, second: np.ndarray, hot: np.ndarray, slices: int):
+        n = np.uint64(len(keys))
+        code, self.at, self.counts = np.unique(first.astype(np.uint64) * n + second, return_inverse=True, return_counts=True)
+        words, seconds = code // n, code % n
+        short = (_mix(keys) >> np.uint64(32)).astype(np.uint32)
+        self.hot = np.isin(keys, hot)
+        part = np.where(self.hot[words], short[seconds], keys[words]) % np.uint64(slices)
+        order = np.argsort(part.astype(np.uint16 if slices <= 65_536 else np.uint32), kind="stable")
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        self.at, self.counts, part = place[self.at], self.counts[order], part[order]
+        self.words, self.seconds = words[order].astype(np.int64), seconds[order].astype(np.int64)
+        self.second_keys = short[self.seconds]
+        # Groups: the pairs of a first word in a slice.
+        change = np.ones(len(part), dtype=bool)
+        change[1:] = (part[1:] != part[:-1]) | (self.words[1:] != self.words[:-1])
+        self.starts = np.flatnonzero(change)
+        self.sizes = np.diff(self.starts, append=len(part)).astype(np.uint32)
+        self.group_words = self.words[self.starts]
+        self.group_keys = keys[self.group_words]
+        parts = part[self.starts].astype(np.int64)
+        ends = np.searchsorted(parts, np.arange(slices + 1))
+        self.slices = [(p, slice(a, b), slice(int(self.starts[a]), int(self.starts[b]) if b < len(parts) else len(part))) for p, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if a < b]
+
+
+def _neighbours(tokens: np.ndarray, lengths: np.ndarray, learn: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each token but the first of a text, after the one before it; of all texts or those to learn from."""
+    within = np.ones(len(tokens), dtype=bool)
+    within[np.cumsum(lengths) - 1] = False
+    if learn is not None:
+        within &= np.repeat(learn, lengths)
+    first = np.flatnonzero(within)
+    return tokens[first], tokens[first + 1]
+
+
+def _blocks_in(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Block number, keys, tokens, numbers of tokens and the row of each block."""
+    for i in range(batch.num_rows):
+        lengths = batch.column("lengths")[i].values.to_numpy(zero_copy_only=False)
+        yield batch.column("block")[i].as_py(), _unpacked(batch.column("keys")[i].as_py(), np.uint64), _unpacked(batch.column("tokens")[i].as_py(), np.uint32), lengths, i
+
+
+class _Counts:
+    """Counts of pairs of one slice, summed now and then."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size, self.summed = 0, 0
+
+    def add(self, first: np.ndarray, second: np.ndarray, n: np.ndarray) -> None:
+        self.held.append((first, second, n))
+        self.size += len(first)
+        if self.size > PAIRS_AT_ONCE + 2 * self.summed:
+            self.total()
+
+    def total(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First keys, second keys and counts of the distinct pairs, by first key."""
+        first, second, n = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((second, first))
+        first, second = first[order], second[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        starts = np.flatnonzero(new)
+        self.held = [(first[starts], second[starts], np.add.reduceat(n[order], starts))]
+        self.size = self.summed = len(starts)
+        return self.held[0]
+
+
+#: A slice: its part of the filter, keys of first words with exact counts, sums and numbers of following words, the same
+#: of its part of hot words, and how many pairs were seen once and twice.
+_SLICE = "slice int, filter binary, keys binary, stats binary, hot array<struct<key: bigint, c: bigint, s: bigint, t: bigint>>, tokens bigint, types bigint, once bigint, twice bigint"
+_HOT_STATS = pa.list_(pa.struct([("key", pa.int64()), ("c", pa.int64()), ("s", pa.int64()), ("t", pa.int64())]))
 
-def score(docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
-    """``doc_id, n_tokens, n_known, base_score, score`` for each row of ``docs(doc_id, text)``.
 
-    Null and empty texts have one token, the end. ``base_score`` and
-    ``n_known`` are exact. Frequent words' counts are at hand in every task;
-    each document's other words, once each, meet their counts in a join.
-    Levels of all words and pairs come from the filter's slices.
-    """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model.head)
-    tokens, types, bits, slices = model.tokens, model.types, model.bits, model.slices
+class Model:
+    """What scoring needs: the table of slices, hot words' statistics, at most 2 * HOT_PARTS a slice, and totals."""
+
+    def __init__(self, grams: DataFrame, slices: int, hot: np.ndarray, hot_stats: np.ndarray, tokens: int, types: int, discount: float):
+        self.grams, self.slices, self.hot, self.hot_stats = grams, slices, hot, hot_stats
+        self.tokens, self.types, self.discount = tokens, types, discount
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of whole texts, each after an end as the first word's context."""
-        head, known = sent.value, _Words()
-        block = TaskContext.get().partitionId() << 32
-        rows: list[dict] = []
-        held: list[np.ndarray] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            found, at, n = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
-            order = np.argsort(-n, kind="stable")
-            place = np.empty(len(order), dtype=np.uint32)
-            place[order] = np.arange(len(order), dtype=np.uint32)
-            row = {"block": block, "words": _packed_hashes(found[order]), "tokens": _packed(place[at]), "docs": rows}
-            batch = pa.RecordBatch.from_pylist([row], schema=_BLOCK_ARROW)
-            rows.clear()
-            held.clear()
-            return batch
 
+def train(blocks: DataFrame, scratch: Scratch) -> Model:
+    """Learn from the documents of ``read_blocks`` that are to be learned from: all their words and pairs, however many there are."""
+    spark = blocks.sparkSession
+    slices = slices_of(spark)
+    # A word of a larger share than one part of HOT_PARTS slices has half that share in blocks with at least half of all such words' tokens.
+    listed = blocks.select(F.inline("hot")).groupBy("key").agg(F.sum("n").alias("n"))
+    total = blocks.agg(F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x)), F.lit(0))).first()[0]
+    hot = np.sort(np.array([r["key"] for r in listed.where(F.col("n") > total / (2 * HOT_PARTS * slices)).collect()], dtype=np.int64).view(np.uint64))
+    sent = spark.sparkContext.broadcast(hot)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
-                found = [*words(text), END]
-                n_head, base, tail = 0, 0.0, []
-                for word, n in Counter(found).items():
-                    if (k := head.get(word)) is not None:
-                        n_head += n
-                        base += n * log10((k + 1) / (tokens + types + 1))
-                    else:
-                        tail.append({"word": word, "m": n})
-                rows.append({"doc_id": doc_id, "n_tokens": len(found), "n_head": n_head, "head_score": base, "tail": tail})
-                held.append(known.hashes([END, *found]))
-                size += len(found)
-                if size > BLOCK_TOKENS:
-                    yield out()
-                    block, size = block + 1, 0
-        if held:
-            yield out()
-
-    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each block's distinct n-grams, a row for each slice that it asks."""
+            for _, keys, tokens, lengths, i in _blocks_in(batch):
+                learn = batch.column("learn")[i].values.to_numpy(zero_copy_only=False).astype(bool)
+                if not learn.any():
+                    continue
+                p = _Pairs(keys, *_neighbours(tokens, lengths, learn), sent.value, slices)
+                rows = [(s, _packed(p.group_keys[g]), _packed(p.sizes[g]), _packed(p.second_keys[x]), _packed(p.counts[x].astype(np.uint32))) for s, g, x in p.slices]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["slice", "keys", "sizes", "seconds", "counts"])
+
+    def merged(at: int, counts: _Counts) -> pa.RecordBatch:
+        first, second, n = counts.total()
+        levels = level(n)
+        starts = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
+        keys = first[starts]
+        stats = np.stack([np.add.reduceat(x, starts) for x in (n, twice_counted(levels), np.ones_like(n))]).astype(np.int64)
+        is_hot = np.isin(keys, sent.value)
+        spread = [dict(zip("key c s t".split(), x, strict=True)) for x in zip(keys[is_hot].view(np.int64).tolist(), *stats[:, is_hot].tolist(), strict=True)]
+        own = stats[:, ~is_hot]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([at], pa.int32()),
+                pa.array([LogFrequencyFilter.of(first, second, levels).data.tobytes()], pa.binary()),
+                pa.array([_packed(keys[~is_hot])], pa.binary()),
+                pa.array([_packed(own.ravel())], pa.binary()),
+                pa.array([spread], _HOT_STATS),
+                *(pa.array([int(x)], pa.int64()) for x in (own[0].sum(), own.shape[1], (n == 1).sum(), (n == 2).sum())),
+            ],
+            names=["slice", "filter", "keys", "stats", "hot", "tokens", "types", "once", "twice"],
+        )
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, counts = None, _Counts()
+        for batch in batches:
+            for s, *data in zip(*(batch.column(x).to_pylist() for x in ("slice", "keys", "sizes", "seconds", "counts")), strict=True):
+                if s != at:
+                    if at is not None:
+                        yield merged(at, counts)
+                    at, counts = s, _Counts()
+                keys, sizes, seconds, n = (_unpacked(x, kind) for x, kind in zip(data, (np.uint64, np.uint32, np.uint32, np.uint32), strict=True))
+                counts.add(np.repeat(keys, sizes), seconds, n.astype(np.int64))
+        if at is not None:
+            yield merged(at, counts)
+
+    counted = blocks.select("keys", "tokens", "lengths", "learn", "block").mapInArrow(count, "slice int, keys binary, sizes binary, seconds binary, counts binary")
+    grams = scratch.write(counted.repartition(slices, "slice").sortWithinPartitions("slice").mapInArrow(merge, _SLICE), "slices")
+    sums = grams.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("tokens", "types", "once", "twice"))).first()
+    by_key = {r["key"]: (r["c"], r["s"], r["t"]) for r in grams.select(F.inline("hot")).groupBy("key").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.sum("t").alias("t")).collect()}
+    hot_stats = np.array([by_key.get(k, (0, 0, 0)) for k in hot.view(np.int64).tolist()], dtype=np.int64).reshape(-1, 3)
+    once, twice = sums[2], sums[3]
+    discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once and twice else 0.5
+    return Model(grams.select("slice", "filter", "keys", "stats"), slices, hot, hot_stats, sums[0] + int(hot_stats[:, 0].sum()), sums[1] + int((hot_stats[:, 0] > 0).sum()), discount)
+
+
+def probabilities(levels: np.ndarray, twice_sum: np.ndarray, followers: np.ndarray, base: np.ndarray, discount: float) -> np.ndarray:
+    """P(w | v) of pairs: levels of the pairs, statistics of the first words, base probabilities of the second ones."""
+    s = twice_sum / 2
+    seen = np.maximum(twice_counted(levels) / 2 - discount, 0)
+    return np.where(s > 0, (seen + discount * followers * base) / np.maximum(s, 1), base)
+
+
+def score(blocks: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, n_tokens, n_known, base_score, score`` for each document of ``read_blocks``.
+
+    Null and empty texts have one token, the end. Repeated rows are scored
+    each; an empty table gives no rows, and without training texts every score
+    is 0, as all words are the unknown one.
+    """
+    spark, slices, discount = blocks.sparkSession, model.slices, model.discount
+    tokens_seen, types = model.tokens, model.types
+    sent = spark.sparkContext.broadcast((model.hot, model.hot_stats))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each block's distinct pairs, a row for each slice that it asks."""
         for batch in batches:
-            for block, w, t in zip(*(batch.column(x).to_pylist() for x in ("block", "words", "tokens")), strict=True):
-                numbers, _, _ = _block_grams(_unpacked_hashes(w), _unpacked(t, np.uint32), slices)
-                parts = (numbers >> np.uint64(65 - slices.bit_length())).astype(np.int64)
-                ends = np.searchsorted(parts, np.arange(slices + 1))
-                asked = [(block, p, _packed_hashes(numbers[a:b])) for p, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if a < b]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*asked, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "slice", "grams"])
+            for block, keys, tokens, lengths, _ in _blocks_in(batch):
+                p = _Pairs(keys, *_neighbours(tokens, lengths), sent.value[0], slices)
+                rows = [(block, s, _packed(p.group_keys[g]), _packed(p.sizes[g]), _packed(p.second_keys[x])) for s, g, x in p.slices]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), *[pa.binary()] * 3), strict=True)], names=["block", "slice", "keys", "a", "b"])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Levels of each block's n-grams; the slice itself, if it has entries, comes first, without a block."""
-        at, part = -1, None
+        """Levels of each block's pairs and statistics of their first words; the slice itself, if it has entries, comes first, without a block."""
+        at, grams, known, stats = -1, None, None, None
         for batch in batches:
-            levels = []
-            for block, p, data in zip(*(batch.column(x).to_pylist() for x in ("block", "slice", "grams")), strict=True):
+            rows = []
+            for block, s, keys, a, b in zip(*(batch.column(x).to_pylist() for x in ("block", "slice", "keys", "a", "b")), strict=True):
+                keys = _unpacked(keys, np.uint64)
                 if block is None:
-                    at, part = p, LogFrequencyFilter(np.frombuffer(data, np.uint8), bits, slices, whole=False)
+                    at, known, stats, grams = s, keys, _unpacked(b, np.int64).reshape(3, -1), LogFrequencyFilter(np.frombuffer(a, np.uint8))
                     continue
-                h = _from_slice(_unpacked_hashes(data), slices)
-                found = part.levels(h) if at == p else np.zeros(len(h), dtype=np.int64)
-                levels.append((block, p, found.astype(np.uint8).tobytes()))
-            if levels:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*levels, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "slice", "levels"])
+                sizes, seconds = _unpacked(a, np.uint32), _unpacked(b, np.uint32)
+                found = np.zeros((3, len(keys)), dtype=np.int64)
+                levels = np.zeros(len(seconds), dtype=np.int64)
+                if at == s:
+                    if len(known):
+                        where = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                        found = np.where(known[where] == keys, stats[:, where], 0)
+                    asked = np.flatnonzero(np.repeat((found[0] > 0) | np.isin(keys, sent.value[0]), sizes))
+                    levels[asked] = grams.levels(np.repeat(keys, sizes)[asked], seconds[asked])
+                rows.append((block, s, _packed(levels.astype(np.uint8)), _packed(found.ravel())))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), *[pa.binary()] * 2), strict=True)], names=["block", "slice", "levels", "stats"])
 
     def add_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each block's documents with their scores; its levels come first, by slice."""
-        of_block, levels = None, []
+        """Each block's documents with their scores; its answers come first, by slice."""
+        of_block, levels, stats = None, [], []
         for batch in batches:
             for i in range(batch.num_rows):
                 block = batch.column("block")[i].as_py()
                 if block != of_block:
-                    of_block, levels = block, []
+                    of_block, levels, stats = block, [], []
                 if batch.column("levels")[i].is_valid:
-                    levels.append(batch.column("levels")[i].as_py())
+                    levels.append(_unpacked(batch.column("levels")[i].as_py(), np.uint8))
+                    stats.append(_unpacked(batch.column("stats")[i].as_py(), np.int64).reshape(3, -1))
                     continue
-                w, found = _unpacked_hashes(batch.column("words")[i].as_py()), _unpacked(batch.column("tokens")[i].as_py(), np.uint32)
-                documents = batch.column("docs")[i].values
-                lengths = documents.field("n_tokens").to_numpy() + 1
-                _, words_at, pairs_at = _block_grams(w, found, slices)
-                of_gram = counted(np.frombuffer(b"".join(levels), np.uint8))
-                c = of_gram[words_at][found]
-                unigram = (c[1:] + 1) / (tokens + types + 1)
-                before = c[:-1]
-                pair = np.minimum(of_gram[pairs_at], before)
-                trust = before / (before + 5 * np.sqrt(before) + 1) * np.where(pair > 0, 1.0, 0.5)
-                p = np.log10(trust * pair / np.maximum(before, 1) + (1 - trust) * unigram)
-                starts = np.cumsum([0, *lengths[:-1]])
-                p = np.append(p, 0.0)  # one more, so that the last text's run ends like the others, before an end that starts a text
-                p[starts[1:] - 1] = 0.0
-                fields = [documents.field(x) for x in ("doc_id", "n_tokens", "n_head", "head_score", "tail")]
-                yield pa.RecordBatch.from_arrays([*fields, pa.array(np.add.reduceat(p, starts))], names=["doc_id", "n_tokens", "n_head", "head_score", "tail", "score"])
-
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = scratch.write(docs.mapInArrow(blocks, _BLOCK), "blocks")
-    asked = made.select("block", "words", "tokens").mapInArrow(probes, "block bigint, slice int, grams binary")
-    routed = asked.unionByName(model.grams.select(F.lit(None).cast("bigint").alias("block"), "slice", F.col("bytes").alias("grams")))
+                _, keys, tokens, lengths, _ = next(_blocks_in(batch.slice(i, 1)))
+                p = _Pairs(keys, *_neighbours(tokens, lengths), sent.value[0], slices)
+                of_word = np.zeros((3, len(keys)), dtype=np.int64)
+                of_word[:, p.group_words] = np.concatenate(stats, axis=1)
+                if p.hot.any():
+                    of_word[:, p.hot] = sent.value[1][np.searchsorted(sent.value[0], keys[p.hot])].T
+                base = (of_word[0] + 1) / (tokens_seen + types + 1)
+                pair = np.log10(probabilities(np.concatenate(levels).astype(np.int64), of_word[1][p.words], of_word[2][p.words], base[p.seconds], discount))
+                of_token = _neighbours(tokens, lengths)[1]
+                starts = np.cumsum(lengths - 1) - (lengths - 1)
+                columns = [lengths.astype(np.int64) - 1, np.add.reduceat((of_word[0] > 0)[of_token], starts, dtype=np.int64), np.add.reduceat(np.log10(base)[of_token], starts), np.add.reduceat(pair[p.at], starts)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[i].values, *map(pa.array, columns)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    asked = blocks.select("block", "keys", "tokens", "lengths").mapInArrow(ask, "block bigint, slice int, keys binary, a binary, b binary")
+    routed = asked.unionByName(model.grams.select(F.lit(None).cast("bigint").alias("block"), "slice", "keys", F.col("filter").alias("a"), F.col("stats").alias("b")))
     routed = routed.repartition(slices, "slice").sortWithinPartitions("slice", F.asc_nulls_first("block"))
-    levels = routed.mapInArrow(look_up, "block bigint, slice int, levels binary")
-    whole = made.withColumn("slice", F.lit(slices))
-    both = levels.unionByName(whole, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "slice")
-    part = both.mapInArrow(add_scores, "doc_id bigint, n_tokens bigint, n_head bigint, head_score double, tail array<struct<word: binary, m: bigint>>, score double")
-    part = scratch.write(part.withColumn("row", F.monotonically_increasing_id()), "scores")
-    scratch.drop("blocks")
-    tail = part.select("row", F.inline("tail")).join(model.vocabulary, "word", "left")
-    log_p = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(model.tokens + model.types + 1))
-    tail = tail.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("_known"), F.sum(F.col("m") * log_p).alias("_score"))
-    out = part.drop("tail").join(tail, "row", "left")
-    return out.select("doc_id", "n_tokens", (F.col("n_head") + F.coalesce("_known", F.lit(0))).alias("n_known"), (F.col("head_score") + F.coalesce("_score", F.lit(0.0))).alias("base_score"), "score")
+    answers = routed.mapInArrow(look_up, "block bigint, slice int, levels binary, stats binary")
+    whole = blocks.select("block", F.lit(slices).alias("slice"), "keys", "tokens", "lengths", "doc_ids")
+    both = answers.unionByName(whole, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "slice")
+    return both.mapInArrow(add_scores, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
 
 
-def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "op3")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").cast("string").alias("text"))
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
-    model = train(docs.where(~held_out), scratch)
+def scores(docs: DataFrame, learn: Column, scratch: Scratch | None = None) -> tuple[DataFrame, Model]:
+    """``score`` of all ``docs(doc_id, text, ...)`` by a model of those where ``learn`` holds; other columns are not read."""
+    spark = docs.sparkSession
+    scratch = scratch or Scratch(spark, "lm")
+    blocks = read_blocks(docs.select("doc_id", "text", learn.alias("learn")), scratch)
+    model = train(blocks, scratch)
     gc.collect()
     spark._jvm.System.gc()  # Spark deletes shuffle files of plans that nothing holds any more
-    out = score(docs, model, scratch)
-    scratch.drop("filter")
+    return score(blocks, model), model
+
+
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    out, model = scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), ~held_out, Scratch(spark, "op3"))
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")

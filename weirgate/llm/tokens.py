@@ -59,8 +59,22 @@ class Encoder:
 
     def _clear(self) -> None:
         self.runs: dict[str, int] = {}
-        self.starts = self.lengths = np.zeros(0, dtype=np.int64)
-        self.values = np.zeros(0, dtype="<u4")
+        # Entries and their ids, with room for more at the end.
+        self.n_entries, self.n_values = 0, 0
+        self.starts, self.lengths, self.values = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def _append(self, values: np.ndarray, lengths: np.ndarray) -> int:
+        """Add entries; the place of the first."""
+        first, upto, end = self.n_entries, self.n_entries + len(lengths), self.n_values + len(values)
+        if upto > len(self.starts):
+            self.starts, self.lengths = (np.concatenate((x, np.zeros(upto - len(x) + len(x) // 2, x.dtype))) for x in (self.starts, self.lengths))
+        if end > len(self.values):
+            self.values = np.concatenate((self.values, np.zeros(end - len(self.values) + len(self.values) // 2, "<u4")))
+        self.starts[first:upto] = self.n_values + np.cumsum(lengths) - lengths
+        self.lengths[first:upto] = lengths
+        self.values[self.n_values : end] = values
+        self.n_entries, self.n_values = upto, end
+        return first
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The library's ids of texts in a row, and their numbers."""
@@ -68,18 +82,16 @@ class Encoder:
         return np.fromiter(chain.from_iterable(ids), dtype="<u4"), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
 
     def _slots(self, runs: list[str]) -> np.ndarray:
-        """Where the cache has the ids of runs; new ones are learned."""
-        if len(self.runs) > CACHE_RUNS or len(self.values) > CACHE_IDS:
+        """Which entries the runs have; new ones are learned."""
+        if len(self.runs) > CACHE_RUNS or self.n_values > CACHE_IDS:
             self._clear()
-        new = [x for x in runs if x not in self.runs]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            values, lengths = self._encode([" " + x for x in some])
-            self.runs.update(zip(some, range(len(self.runs), len(self.runs) + len(some)), strict=True))
-            self.starts = np.concatenate((self.starts, len(self.values) + np.cumsum(lengths) - lengths))
-            self.lengths = np.concatenate((self.lengths, lengths))
-            self.values = np.concatenate((self.values, values))
-        return np.fromiter(map(self.runs.__getitem__, runs), dtype=np.int64, count=len(runs))
+        known = self.runs
+        new = [x for x in runs if x not in known]
+        for at in range(0, len(new), 10_000):
+            some = new[at : at + 10_000]
+            first = self._append(*self._encode([" " + x for x in some]))
+            known.update(zip(some, range(first, first + len(some)), strict=True))
+        return np.fromiter(map(known.__getitem__, runs), dtype=np.int64, count=len(runs))
 
     def _some(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.split_pattern(texts, " ")
@@ -101,20 +113,18 @@ class Encoder:
         first = [runs[i] for i in token[heads].tolist()]
         for i in np.flatnonzero(odd).tolist():
             first[i] = texts[i].as_py()
-        values, lengths = self._encode(first)
-        n = len(self.starts)
-        starts = np.concatenate((self.starts, len(self.values) + np.cumsum(lengths) - lengths, [len(self.values) + len(values)]))
-        lengths = np.concatenate((self.lengths, lengths, [1]))
-        values = np.concatenate((self.values, values, np.array([end], dtype="<u4")))
+        kept = self.n_entries, self.n_values
+        head = self._append(*self._encode(first))
+        closing = self._append(np.array([end], dtype="<u4"), np.ones(1, np.int64))
         # Of each text the entries: the first one, the runs after it, the end.
         of_token = slot[token]
-        of_token[heads] = n + np.arange(len(heads))
-        keep = in_rest.copy()
-        keep[heads] = True
-        after = np.cumsum(np.add.reduceat(keep, heads, dtype=np.int64))
-        entries = np.insert(of_token[keep], after, len(starts) - 1)
-        n_ids = lengths[entries]
-        ids = values[gather(starts[entries], n_ids)]
+        of_token[heads] = head + np.arange(len(heads))
+        in_rest[heads] = True
+        after = np.cumsum(np.add.reduceat(in_rest, heads, dtype=np.int64))
+        entries = np.insert(of_token[in_rest], after, closing)
+        n_ids = self.lengths[entries]
+        ids = self.values[gather(self.starts[entries], n_ids)]
+        self.n_entries, self.n_values = kept
         last = np.cumsum(n_ids)[after + np.arange(len(after))]
         return ids, np.diff(last, prepend=0)
 
