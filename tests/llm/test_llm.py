@@ -81,8 +81,9 @@ def test_encoder_on_odd_texts(limit, monkeypatch):
 
 def test_word_lists():
     texts = [" A b\x0b\x0cc\x1cd\r\ne ", None, "", "É x\u00a0y", " "]
-    at, words = tokens.word_lists(tokens.pa.array(texts))
-    assert [words[a:b].to_pylist() for a, b in zip(at, at[1:])] == [[w.decode() for w in tokens.words((x or "").encode())] for x in texts]
+    for skip in range(3):
+        at, words = tokens.word_lists(tokens.pa.array([*["é longer than the others"] * skip, *texts]).slice(skip))
+        assert [words[a:b].to_pylist() for a, b in zip(at, at[1:])] == [[w.decode() for w in tokens.words((x or "").encode())] for x in texts]
 
 
 def test_find_tokens_skips_files(spark, docs):
@@ -159,14 +160,15 @@ def test_lm_scores(spark, sf, docs):
     words = {r["doc_id"]: [b"\n", *tokens.words(r["text"].encode()), b"\n"] for r in docs.collect()}
     q, s, t, c, d = brute_model([ws for i, ws in words.items() if not out(i)])
     n, v = sum(c.values()), len(c)
-    near = 0
+    near, total = 0, 0.0
     for i, ws in words.items():
         base = {w: (c[w] + 1) / (n + v + 1) for w in ws}
         assert (got[i]["held_out"], got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (out(i), len(ws) - 1, sum(c[w] > 0 for w in ws[1:]), n)
         assert got[i]["base_score"] == pytest.approx(sum(log10(base[w]) for w in ws[1:]))
         want = sum(log10((max(q.get((a, b), 0) - d, 0) + d * t[a] * base[b]) / s[a] if s[a] else base[b]) for a, b in zip(ws, ws[1:]))
         near += got[i]["score"] == pytest.approx(want, rel=1e-9)
-        assert got[i]["score"] == pytest.approx(want, rel=0.05)
+        total += want
+    assert sum(r["score"] for r in got.values()) == pytest.approx(total, rel=0.01)
     assert near > 0.75 * len(words)
     held = [r for r in got.values() if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
@@ -221,7 +223,7 @@ def test_hot_words_are_spread(spark, docs, monkeypatch, parts):
     got = {r["doc_id"]: r["score"] for r in out.collect()}
     assert (len(model.hot) > 20) == (parts == 64) and (len(model.hot) == 0) == (parts != 64)
     assert sum(got[i] == pytest.approx(x) for i, x in want.items()) > 0.7 * len(want)
-    assert all(got[i] == pytest.approx(x, rel=0.05) for i, x in want.items())
+    assert sum(got.values()) == pytest.approx(sum(want.values()), rel=0.01)
 
 
 def test_packing(spark, odd, docs):

@@ -164,7 +164,9 @@ def utf8(column: pa.Array) -> list[bytes | None]:
 
 def word_lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of texts with A-Z lower-cased, one after another, and where each text's begin and end."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.cast(pa.large_string()), "")))
+    # A copy, as Arrow lower-cases slices of arrays wrongly.
+    whole = column.take(pa.array(np.arange(len(column)))).cast(pa.large_string())
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(whole, "")))
     bounds, flat = lists.offsets.to_numpy().astype(np.int64), lists.flatten()
     keep = pc.greater(pc.binary_length(flat), 0)
     before = np.concatenate(([0], np.cumsum(keep.to_numpy(zero_copy_only=False))))
