@@ -357,19 +357,78 @@ def test_html_unclosed(before):
     assert html_text.blocks(page) == [("main", "One two"), ("main", "three"), ("other", "Four"), ("other", "Five")]
 
 
-def test_language(spark, sf, odd):
+def test_language(spark, sf, odd, docs):
     got = language_id.op10_language_id(spark, sf).toPandas()
     real = pd.read_parquet(f"{sf}/documents.parquet")[["doc_id", "lang"]]
     held = got.merge(real, on="doc_id").query("held_out")
-    assert (held.lang == held.lang_pred).mean() > 0.95
+    assert (held.lang == held.lang_pred).mean() > 0.95 and got.score.between(0, 1).all()
+    assert [bool(x) for x in got.held_out] == [zlib.crc32(str(i).encode()) % 4 == 2 for i in got.doc_id]
     model = (["de", "en"], language_id.np.full((len(language_id.pieces_of()) + 1, 2), 1e-4))
-    out = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(odd, model).collect()}
-    assert out[3] == out[4] == out[5] == "und" and out[6] == "de"
+    out = language_id.identify(odd, model).collect()
+    assert Counter((r["doc_id"], r["lang_pred"]) for r in out) == Counter((i, "de" if any(map(str.isalpha, t or "")) else "und") for i, t, *_ in ODD)
+    assert language_id.identify(odd.limit(0), model).count() == 0
+    assert language_id.fit(odd.limit(0))[0] == [] and {r["lang_pred"] for r in language_id.identify(odd, language_id.fit(odd.where("lang IS NULL"))).collect()} == {"und"}
+
+
+def test_language_sample_is_bounded(spark, docs, monkeypatch):
+    """However many labelled rows there are, so many of each language reach the fit."""
+    monkeypatch.setattr(language_id, "fit_language", lambda words, pieces: language_id.np.full(pieces.n, float(sum(words.values()))))
+    _, p = language_id.fit(docs.withColumn("text", language_id.F.lit("one word")), sample=7)
+    assert (p[:-1] == 14).all()
+
+
+def brute_log(word, index, p):
+    """The sum over all segmentations, one character at a time, in exact fractions of logarithms."""
+    from math import exp, log
+
+    marked = "▁" + word
+    out = []
+    for lang in range(p.shape[1]):
+        a = [float("-inf")] * (len(marked) + 1)
+        a[0] = 0.0
+        for i in range(len(marked)):
+            for j in range(i + 1, min(len(marked), i + 20) + 1):
+                part = marked[i:j]
+                q = p[index[part], lang] if part in index else p[-1, lang] if j == i + 1 else 0
+                if q:
+                    x, y = a[i] + log(q), a[j]
+                    a[j] = max(x, y) + log(1 + exp(-abs(x - y))) if y > float("-inf") else x
+        out.append(a[-1])
+    return out
 
 
 def test_forward_sums_all_segmentations():
     np = language_id.np
-    index = {"▁a": 0, "a": 1, "▁": 2, "b": 3, "ab": 4, "▁ab": 5}
+    names = ["▁a", "a", "▁", "b", "ab", "▁ab"]
     p = np.array([[0.1], [0.2], [0.3], [0.15], [0.05], [0.2], [language_id.UNKNOWN]])
     want = 0.2 + 0.1 * 0.15 + 0.3 * 0.05 + 0.3 * 0.2 * 0.15
-    assert language_id.forward(["ab"], index, p)[0, 0] == pytest.approx(np.log(want))
+    assert language_id.log_probabilities(["ab"], language_id.Pieces(names), p)[0, 0] == pytest.approx(np.log(want))
+
+
+def test_forward_on_real_pieces_and_long_words():
+    """Words of any length, in any company, against brute force; very unlikely ones don't underflow."""
+    np = language_id.np
+    names = language_id.pieces_of()
+    index = {x: i for i, x in enumerate(names)}
+    rng = np.random.default_rng(5)
+    p = np.concatenate([rng.dirichlet(np.full(len(names), 0.05), 2).T + 1e-9, np.full((1, 2), language_id.UNKNOWN)])
+    words = ["the", "zusammengehörigkeit", "x" * 60, "日本語", "\U0001f600a", "a\0b", "z" * 700, "tion" * 300, *("".join(rng.choice(list("abcdeéß"), k)) for k in range(1, 120))]
+    got = language_id.log_probabilities(words, language_id.Pieces(names), p)
+    for w, row in zip(words, got, strict=True):
+        assert row.tolist() == pytest.approx(brute_log(w, index, p), rel=1e-9)
+
+
+def test_expected_pieces():
+    """Expected counts are what changes of a piece's probability do to the likelihood."""
+    np = language_id.np
+    pieces = language_id.Pieces(["▁a", "a", "▁", "b", "ab", "▁ab"])
+    p = np.array([0.1, 0.2, 0.3, 0.15, 0.05, 0.2, language_id.UNKNOWN])
+    words, n = ["ab", "aab", "cab", "ab" * 90], np.array([3.0, 1.0, 2.0, 1.0])
+    got = pieces.lattice(words).expected(p, n)
+    like = lambda q: (language_id.log_probabilities(words, pieces, q[:, None])[:, 0] * n).sum()
+    for k in range(len(p)):
+        step = p[k] * 1e-5
+        up, down = p.copy(), p.copy()
+        up[k] += step
+        down[k] -= step
+        assert got[k] == pytest.approx((like(up) - like(down)) / (2e-5), rel=1e-4, abs=1e-6)
