@@ -1,11 +1,17 @@
 """Small tables made by hand."""
 
+import datetime
+import random
+from math import log
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from weirgate.operators import baseline as B
 from weirgate.operators import contracts as C
 from weirgate.operators import identity as I
+from weirgate.operators import schema as S
 
 
 def test_null_fails_only_not_null(spark):
@@ -41,6 +47,103 @@ def test_crosswalk_merges_splits_and_news(spark):
     assert got[1] == (1, "same") and got[9] == (9, "new") and got[2] == (2, "merge") and got[4] == (3, "same")
 
 
+def test_crosswalk_gives_no_id_twice(spark):
+    old = spark.createDataFrame([(1, 1), (2, 1), (5, 2)], "id long, stable_id long")
+    new = spark.createDataFrame([(1, 1), (2, 2), (5, 5)], "id long, cluster_id long")
+    got = {r["id"]: (r["stable_id"], r["change"]) for r in I.update_crosswalk(old, new).collect()}
+    assert got[1] == (1, "same") and got[5] == (2, "same") and got[2][1] == "split"
+    assert len({x for x, _ in got.values()}) == 3
+
+
+def test_crosswalk_of_random_turns(spark):
+    pick = random.Random(3)
+    stable = {i: i for i in range(30)}
+    for _ in range(4):
+        of = {i: pick.randrange(12) for i in range(30)}
+        smallest = {k: min(i for i in of if of[i] == k) for k in of.values()}
+        new = [(i, smallest[of[i]]) for i in of]
+        old = spark.createDataFrame(list(stable.items()), "id long, stable_id long")
+        rows = I.update_crosswalk(old, spark.createDataFrame(new, "id long, cluster_id long")).collect()
+        now = {r["id"]: r["stable_id"] for r in rows}
+        assert len(set(now.values())) == len(set(smallest.values())) and len(now) == 30
+        assert all(len({now[i] for i in of if of[i] == k}) == 1 for k in of.values())
+        stable = now
+
+
+def test_crosswalk_without_a_past(spark):
+    old = spark.createDataFrame([], "id long, stable_id long")
+    got = I.update_crosswalk(old, spark.createDataFrame([(1, 1), (2, 1), (7, 7)], "id long, cluster_id long")).collect()
+    assert {r["id"]: (r["stable_id"], r["change"]) for r in got} == {1: (1, "new"), 2: (1, "new"), 7: (7, "new")}
+
+
+def test_record_id_of_values_with_marks(spark):
+    rows = [("a\u001fb", "c"), ("a", "b\u001fc"), (None, "c"), ("\u0000", "c"), ("\\n", "c"), ("\\", "c")]
+    df = spark.createDataFrame(rows, "x string, y string")
+    assert df.select(I.record_id("x", "y").alias("i")).distinct().count() == len(rows)
+    groups = I.exact_groups(spark.createDataFrame([(1, None), (2, "\u0000"), (3, None)], "i long, x string"), "i", ["x"]).collect()
+    assert sorted((r["id"], r["n"]) for r in groups) == [(1, 2), (2, 1)]
+
+
+def test_json_types(spark):
+    rows = ['{"a": "123", "b.c": 1, "d": "true"}', '{"a": 1.5, "e": "{x", "f": {"g": 1}, "h": [1], "i": null, "j": true}', "[1]", "no json", None, "3"]
+    got = {(r["path"], r["json_type"], r["n"]) for r in S.json_shape(spark.createDataFrame([(x,) for x in rows], "j string"), "j").collect()}
+    assert got == {("a", "string", 1), ("a", "number", 1), ("b.c", "integer", 1), ("d", "string", 1), ("e", "string", 1), ("f", "object", 1), ("h", "array", 1), ("i", "null", 1), ("j", "boolean", 1)}
+
+
+def test_drift_of_negative_values(spark):
+    before = spark.createDataFrame([("a", -5.0), ("a", -30.0)], "e string, v double")
+    after = spark.createDataFrame([("a", 10.0), ("a", None)], "e string, v double")
+    p, q = [2.5, 0.5, 0.5, 0.5], [0.5, 1.5, 0.5, 0.5]
+    p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+    want = sum((b - a) * log(b / a) for a, b in zip(p, q))
+    got = B.drift(before, spark.createDataFrame([("a", 10.0)], "e string, v double"), "e", "v", 10.0, 4).collect()
+    assert got[0]["psi"] == pytest.approx(want) and B.drift(before, after, "e", "v", 10.0, 4).collect()[0]["psi"] == pytest.approx(want)
+
+
+def test_trailing_periods_that_are_missing(spark):
+    day = lambda i: datetime.datetime(2024, 1, i)
+    df = spark.createDataFrame([("a", day(1), 10), ("a", day(2), 20), ("a", day(9), 5), ("a", day(10), 7)], "e string, period timestamp_ntz, n long")
+    got = {r["period"].day: r["mean"] for r in B.fit_trailing(df, "e", 7).collect()}
+    assert got == {1: None, 2: 10.0, 9: 20.0, 10: 5.0}
+
+
+@pytest.mark.parametrize("p", [0.0, 0.25, 0.5, 0.95, 1.0])
+def test_quantiles(spark, p):
+    pick = random.Random(9)
+    rows = [("many", pick.choice([1.0, 2.0, pick.random()])) for _ in range(501)] + [("one", 4.0), ("two", 1.0), ("two", 2.0), ("same", 3.0), ("same", 3.0), ("gone", None), (None, 8.0), ("wide", -1e300), ("wide", 1e300), ("wide", 5.0)]
+    got = {r["e"]: r["q"] for r in B.fit_quantiles(spark.createDataFrame(rows, "e string, v double"), "e", "v", {"q": p}).collect()}
+    by: dict = {}
+    for e, v in rows:
+        if v is not None:
+            by.setdefault(e, []).append(v)
+    assert got == {e: pytest.approx(float(np.quantile(v, p))) for e, v in by.items()}
+
+
+def test_sequences_with_holes(spark):
+    df = spark.createDataFrame([("a", 0), ("a", 1), ("a", 3), ("b", 0)], "g string, s int")
+    assert [tuple(r) for r in C.sequence_steps(df, "g", "s").collect()] == [("a", 3, 1)]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from weirgate.sources.shared import shared_folder
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        shared_folder(Session())
+
+
 def test_scores_without_spread(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("b", 2.0)], "e string, v double")
     got = B.score(df, B.fit(df, ["e"], "v"), "e", "v", 3.0).collect()
@@ -50,5 +153,5 @@ def test_scores_without_spread(spark):
 def test_entry_and_imports(spark):
     import __spark_entry__ as entry
 
-    assert entry.entry(spark).count() == 4
+    assert entry.entry(spark).count() == 6
     assert set(entry.oracle_sql()) <= set(entry.queries())

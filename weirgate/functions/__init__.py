@@ -1 +1 @@
-"""Part of the library; see the modules."""
+"""Column functions; see the modules."""

@@ -26,21 +26,53 @@ def fit_seasonal(df: DataFrame, entity: str, season: Column, metric: str) -> Dat
     return fit(df, [entity, season.alias("season")], metric)
 
 
-def fit_trailing(rolled: DataFrame, entity: str, k: int, metric: str = "n") -> DataFrame:
-    """Mean and sd of the ``k`` periods before each; the own one is not in."""
-    w = Window.partitionBy(entity).orderBy("period").rowsBetween(-k, -1)
+def fit_trailing(rolled: DataFrame, entity: str, k: int, metric: str = "n", period_seconds: int = 86_400) -> DataFrame:
+    """Mean and sd of the ``k`` periods before each; the own one is not in. Periods without a row don't count: fill them first to count them as 0."""
+    seconds = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01', period)")
+    w = Window.partitionBy(entity).orderBy(seconds).rangeBetween(-k * period_seconds, -1)
     return rolled.select("*", F.avg(metric).over(w).alias("mean"), F.stddev_samp(metric).over(w).alias("sd"))
 
 
-def fit_robust(df: DataFrame, entity: str, metric: str) -> DataFrame:
-    """``median, mad`` by entity, exact."""
-    med = df.groupBy(entity).agg(F.percentile(metric, 0.5).alias("median"))
-    off = df.join(med, entity).groupBy(entity, "median").agg(F.percentile(F.abs(F.col(metric) - F.col("median")), 0.5).alias("mad"))
-    return off.select(entity, "median", "mad")
+#: Cells of an entity's values; only the cells that hold a quantile are sorted.
+CELLS = 4096
 
 
 def fit_quantiles(df: DataFrame, entity: str, metric: str, ps: dict[str, float]) -> DataFrame:
-    return df.groupBy(entity).agg(*(F.percentile(metric, p).alias(name) for name, p in ps.items()))
+    """``entity`` and a column for each name in ``ps``: exact quantiles, between two values by their distance.
+
+    Values are counted by cells between an entity's least and greatest one, and
+    counts of distinct values settle the cells where quantiles fall, so no task
+    holds or sorts all values of an entity. Nulls and NaN don't count; an
+    entity without values has no row.
+    """
+    values = df.select(entity, F.col(metric).cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
+    counts = values.groupBy(entity, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    range_of = counts.groupBy(F.col(entity).alias("_e")).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))
+    width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
+    placed = counts.join(range_of, F.col(entity).eqNullSafe(F.col("_e"))).withColumn("_cell", F.least(F.floor(width * CELLS), F.lit(CELLS - 1)).cast("int"))
+    cells = placed.groupBy("_e", "_all", "_cell").agg(F.sum("_n").alias("_in"))
+    cells = cells.withColumn("_before", F.sum("_in").over(Window.partitionBy("_e").orderBy("_cell")) - F.col("_in"))
+    place = {name: F.lit(float(p)) * (F.col("_all") - 1) for name, p in ps.items()}
+    wanted = F.lit(False)
+    for x in place.values():
+        for rank in (F.floor(x), F.ceil(x)):
+            wanted = wanted | ((rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_in")))
+    few = cells.where(wanted).select(F.col("_e").alias("_w"), F.col("_cell").alias("_c"), "_before")
+    inside = placed.join(few, F.col("_e").eqNullSafe(F.col("_w")) & (F.col("_cell") == F.col("_c")))
+    upto = F.sum("_n").over(Window.partitionBy("_e", "_cell").orderBy("_v")) + F.col("_before")
+    ranked = inside.select("_e", "_v", "_all", (upto - F.col("_n")).alias("_from"), upto.alias("_to"))
+    at = lambda rank: F.max(F.when((rank >= F.col("_from")) & (rank < F.col("_to")), F.col("_v")))
+    ends = ranked.groupBy("_e", "_all").agg(*(at(f(x)).alias(f"{side}_{name}") for name, x in place.items() for side, f in (("_a", F.floor), ("_b", F.ceil))))
+    between = lambda name, x: F.col(f"_a_{name}") + (x - F.floor(x)) * (F.col(f"_b_{name}") - F.col(f"_a_{name}"))
+    return ends.select(F.col("_e").alias(entity), *(between(name, x).alias(name) for name, x in place.items()))
+
+
+def fit_robust(df: DataFrame, entity: str, metric: str) -> DataFrame:
+    """``median, mad`` by entity, exact."""
+    med = fit_quantiles(df, entity, metric, {"median": 0.5}).withColumnRenamed(entity, "_m")
+    off = df.join(med, F.col(entity).eqNullSafe(F.col("_m"))).select(entity, F.abs(F.col(metric) - F.col("median")).alias("_off"))
+    mad = fit_quantiles(off, entity, "_off", {"mad": 0.5}).withColumnRenamed(entity, "_o")
+    return med.join(mad, F.col("_m").eqNullSafe(F.col("_o"))).select(F.col("_m").alias(entity), "median", "mad")
 
 
 def score(df: DataFrame, baseline: DataFrame, entity: str, metric: str, k: float) -> DataFrame:
@@ -58,8 +90,9 @@ def shadow_sweep(scores: DataFrame, thresholds: list[float]) -> DataFrame:
 
 
 def drift(before: DataFrame, after: DataFrame, entity: str, metric: str, width: float, bins: int) -> DataFrame:
-    """``entity, psi`` between two histograms of ``bins`` bins, the last open, with half a row added to each."""
-    b = F.least(F.floor(F.col(metric) / width), F.lit(bins - 1)).cast("int")
+    """``entity, psi`` between two histograms of ``bins`` bins, the first and the last open, with half a row added to each. Nulls don't count."""
+    before, after = (x.where(F.col(metric).isNotNull()) for x in (before, after))
+    b = F.greatest(F.least(F.floor(F.col(metric) / width), F.lit(bins - 1)), F.lit(0)).cast("int")
     rows = before.select(entity, b.alias("bin"), F.lit(0).alias("side")).unionByName(after.select(entity, b.alias("bin"), F.lit(1).alias("side")))
     counts = rows.groupBy(entity, "bin").agg(F.count_if(F.col("side") == 0).alias("p"), F.count_if(F.col("side") == 1).alias("q"))
     grid = rows.select(entity).distinct().select(entity, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))

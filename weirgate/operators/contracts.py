@@ -121,6 +121,18 @@ def contract_summary(df: DataFrame, rules: list[RowRule]) -> DataFrame:
     return df.agg(*aggs).select(F.inline(rows))
 
 
+def found_violations(rule_id: str, broken: DataFrame, key: Column, observed: Column) -> DataFrame:
+    """``rule_id, key, observed`` of what ``unique``, ``references``, ``reconciles`` or ``sequence_complete`` found, to be appended to ``violations``."""
+    return broken.select(F.lit(rule_id).alias("rule_id"), key.cast("string").alias("key"), observed.cast("string").alias("observed"))
+
+
+def found_summary(rule_id: str, checked: DataFrame, broken: DataFrame) -> DataFrame:
+    """A row as of ``contract_summary`` from the rows or groups that were checked and those that broke a rule."""
+    rows = checked.select(F.lit(0).alias("_b")).unionByName(broken.select(F.lit(1).alias("_b")))
+    counts = rows.agg(F.count_if(F.col("_b") == 0).alias("n_checked"), F.count_if(F.col("_b") == 1).alias("n_violations"))
+    return counts.select(F.lit(rule_id).alias("rule_id"), "n_checked", "n_violations", (F.col("n_violations") == 0).alias("passed"))
+
+
 def quarantine(df: DataFrame, rules: list[RowRule]) -> tuple[DataFrame, DataFrame]:
     """The rows that keep all rules, and the others with ``_reasons``."""
     marked = df.withColumn("_reasons", F.filter(F.array(*(F.when(r.broken(), F.lit(r.rule_id)) for r in rules)), lambda x: x.isNotNull()))

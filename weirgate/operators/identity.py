@@ -6,20 +6,16 @@ from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SEPARATOR, _NULL = "\u001f", "\u0000"
+from ..functions.keys import URL_RULES, canonical_key, content_digest, record_id  # noqa: F401
+
 #: Keeps rounding from making a bound on counts of shingles too strict.
 _SLACK = 1e-6
 
 
-def record_id(*cols: str) -> Column:
-    """A SHA-256 of the normalised key columns; nulls keep their place."""
-    parts = [F.coalesce(F.lower(F.trim(F.col(c).cast("string"))), F.lit(_NULL)) for c in cols]
-    return F.sha2(F.concat_ws(_SEPARATOR, *parts), 256)
-
-
 def exact_groups(df: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
     """``digest, id, n``: groups of equal content with the smallest id."""
-    return df.groupBy(record_id(*cols).alias("digest") if len(cols) > 1 else F.sha2(F.coalesce(F.col(cols[0]).cast("string"), F.lit(_NULL)), 256).alias("digest")).agg(F.min(id_col).alias("id"), F.count(F.lit(1)).alias("n"))
+    digest = record_id(*cols) if len(cols) > 1 else content_digest(cols[0])
+    return df.groupBy(digest.alias("digest")).agg(F.min(id_col).alias("id"), F.count(F.lit(1)).alias("n"))
 
 
 def shingle_sets(df: DataFrame, id_col: str, text: str, n: int = 3) -> DataFrame:
@@ -37,40 +33,54 @@ def _classes(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def _representatives(classes: DataFrame) -> DataFrame:
-    """``id, s``: of equal sets, the smallest id."""
+    """``class, id, s``: of equal sets, the smallest id."""
     return classes.groupBy("class").agg(F.min_by("s", "id").alias("s"), F.min("id").alias("id"))
 
 
-def match_candidates(df: DataFrame, id_col: str, text: str, threshold: float = 0.8) -> DataFrame:
-    """``x, y`` with ``x < y``: all pairs that may reach the threshold, by an exact prefix filter.
+def _members(classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """``x, y``: each further member of a class with its representative."""
+    return classes.select("class", F.col("id").alias("y")).join(sets.select("class", F.col("id").alias("x")), "class").where("x < y").select("x", "y")
 
-    Equal shingle sets are one class; its smallest id stands for it, and pairs
-    are those of representatives. Sets are ordered from the rarest shingle on;
-    two that reach the threshold share a shingle of their first ones, so many
-    that the rest alone is too few, and from the first shared one on both still
-    hold as many as they must have in common.
+
+def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """``x, y``: pairs of representatives by an exact prefix filter.
+
+    Sets are ordered from the rarest shingle on; two that reach the threshold
+    share a shingle of their first ones, so many that the rest alone is too
+    few, and from the first shared one on both still hold as many as they must
+    have in common.
     """
-    grams = _representatives(_classes(df, id_col, text)).select("id", F.explode("s").alias("g"))
+    grams = sets.select("id", F.explode("s").alias("g"))
     seen = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    sets = grams.join(seen, "g").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("s")).withColumn("size", F.size("s"))
+    ordered = grams.join(seen, "g").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("s")).withColumn("size", F.size("s"))
     first = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - _SLACK).cast("int") + 1
-    rare = sets.select("id", "size", F.posexplode(F.slice("s", F.lit(1), first)).alias("at", "v")).where("v.n > 1").select(F.col("v.g").alias("g"), "id", "size", (F.col("size") - F.col("at")).alias("left"))
+    rare = ordered.select("id", "size", F.posexplode(F.slice("s", F.lit(1), first)).alias("at", "v")).where("v.n > 1").select(F.col("v.g").alias("g"), "id", "size", (F.col("size") - F.col("at")).alias("left"))
     left, right = (rare.select("g", F.col("id").alias(k), F.col("size").alias(f"size_{k}"), F.col("left").alias(f"left_{k}")) for k in "xy")
     common = F.lit(threshold / (1 + threshold)) * (F.col("size_x") + F.col("size_y")) - _SLACK
     return left.join(right, "g").where((F.col("x") < F.col("y")) & (F.least("left_x", "left_y") >= common)).select("x", "y").distinct()
 
 
+def match_candidates(df: DataFrame, id_col: str, text: str, threshold: float = 0.8) -> DataFrame:
+    """``x, y`` with ``x < y``: all pairs that may reach the threshold.
+
+    Equal shingle sets are one class. Its smallest id stands for it in pairs
+    with other classes, and each other member is paired with that one.
+    """
+    classes = _classes(df, id_col, text).checkpoint()
+    sets = _representatives(classes)
+    return _prefix_pairs(sets, threshold).unionByName(_members(classes, sets))
+
+
 def match_pairs(df: DataFrame, id_col: str, text: str, threshold: float) -> DataFrame:
-    """``x, y, jaccard``: candidates confirmed on their full shingle sets, and each other member of a class with its representative."""
-    classes = _classes(df, id_col, text)
+    """``x, y, jaccard``: pairs of representatives confirmed on their full shingle sets, and each other member of a class with its representative."""
+    classes = _classes(df, id_col, text).checkpoint()
     sets = _representatives(classes)
-    pairs = match_candidates(df, id_col, text, threshold)
+    pairs = _prefix_pairs(sets, threshold)
     for side in "xy":
         pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("s").alias(f"s_{side}")), side)
     common = F.size(F.array_intersect("s_x", "s_y"))
     scored = pairs.select("x", "y", (common / (F.size("s_x") + F.size("s_y") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
-    members = classes.select("class", F.col("id").alias("y")).join(sets.select("class", F.col("id").alias("x")), "class").where("x < y")
-    return scored.unionByName(members.select("x", "y", F.lit(1.0).alias("jaccard")))
+    return scored.unionByName(_members(classes, sets).withColumn("jaccard", F.lit(1.0)))
 
 
 def clusters(pairs: DataFrame) -> DataFrame:
@@ -97,15 +107,22 @@ def update_crosswalk(previous: DataFrame, new: DataFrame) -> DataFrame:
     """``id, stable_id, change`` from the ids before and ``clusters`` now.
 
     A cluster takes the smallest id that its members had; if several clusters
-    share that one (a split), the one with the smallest member keeps it and the
-    others are named by their smallest member. ``change`` is same, merge, split or new.
+    share that one (a split), the one with the smallest member keeps it. Others
+    get their smallest member's number that never was a stable id, or where all
+    were, a new one above all numbers in use. So no two clusters share an id.
+    ``change`` is same, merge, split or new.
     """
     joined = new.join(previous.select("id", F.col("stable_id").alias("_old")), "id", "left")
     by = joined.groupBy("cluster_id").agg(F.min("_old").alias("_old"), F.count_distinct("_old").alias("_olds"))
-    w = Window.partitionBy("_old").orderBy("cluster_id")
-    named = by.withColumn("_rank", F.when(F.col("_old").isNotNull(), F.row_number().over(w)))
-    change = F.when(F.col("_old").isNull(), "new").when(F.col("_olds") > 1, "merge").when(F.col("_rank") > 1, "split").otherwise("same")
-    named = named.select("cluster_id", F.when(F.col("_rank") == 1, F.col("_old")).otherwise(F.col("cluster_id")).alias("stable_id"), change.alias("change"))
+    keeps = by.where("_old IS NOT NULL").groupBy("_old").agg(F.min("cluster_id").alias("cluster_id")).withColumn("_keeps", F.lit(True))
+    used = previous.select(F.col("stable_id").alias("id")).distinct()
+    free = new.join(used, "id", "left_anti").groupBy("cluster_id").agg(F.min("id").alias("_free"))
+    top = new.select("id").unionByName(used).agg(F.max("id").alias("_top"))
+    low = new.agg(F.min("cluster_id").alias("_low"))
+    named = by.join(keeps.drop("_old"), "cluster_id", "left").join(free, "cluster_id", "left").crossJoin(F.broadcast(top)).crossJoin(F.broadcast(low))
+    own = F.coalesce("_free", F.col("_top") + 1 + F.col("cluster_id") - F.col("_low"))
+    change = F.when(F.col("_old").isNull(), "new").when(F.col("_olds") > 1, "merge").when(F.col("_keeps"), "same").otherwise("split")
+    named = named.select("cluster_id", F.when(F.col("_keeps"), F.col("_old")).otherwise(own).alias("stable_id"), change.alias("change"))
     return new.join(named, "cluster_id").select("id", "stable_id", "change")
 
 
@@ -114,15 +131,3 @@ def attribute_history(df: DataFrame, entity: str, ts: str, attr: str, tie: str)
     w = Window.partitionBy(entity).orderBy(ts, tie)
     changed = df.select(entity, ts, tie, F.col(attr).alias("value"), F.lag(attr).over(w).alias("_was"), F.row_number().over(w).alias("_n")).where((F.col("_n") == 1) | ~F.col("value").eqNullSafe(F.col("_was")))
     return changed.select(entity, "value", F.col(ts).alias("valid_from"), F.lead(ts).over(w).alias("valid_to"))
-
-
-def canonical_key(col: Column, rules: list[tuple[str, str]]) -> Column:
-    """Lower case, then each pattern replaced in turn."""
-    out = F.lower(col)
-    for pattern, by in rules:
-        out = F.regexp_replace(out, pattern, by)
-    return out
-
-
-#: Scheme, leading www or m, query, fragment, last slash.
-URL_RULES = [(r"^[a-z]+://", ""), (r"^(www|m)\.", ""), (r"[?#].*$", ""), (r"/$", "")]

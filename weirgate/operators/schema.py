@@ -26,12 +26,17 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def json_shape(df: DataFrame, col: str) -> DataFrame:
-    """``path, json_type, n``: top-level keys of a JSON column with their types. Values that are no JSON object have no keys."""
-    keys = df.select(F.col(col).alias("_j"), F.explode(F.json_object_keys(col)).alias("path"))
-    typed = keys.select("path", F.expr("get_json_object(_j, concat('$.', path))").alias("_v"))
-    v = F.col("_v")
-    kind = F.when(v.isNull(), "null").when(v.rlike(r"^-?\d+$"), "integer").when(v.rlike(r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$"), "number").when(v.isin("true", "false"), "boolean").when(v.startswith("{"), "object").when(v.startswith("["), "array").otherwise("string")
-    return typed.groupBy("path", kind.alias("json_type")).agg(F.count(F.lit(1)).alias("n"))
+    """``path, json_type, n``: top-level keys of a JSON column with their types.
+
+    Values that are no JSON object, no JSON, or name a key twice have no keys.
+    A whole number beyond 64 bits is a number, not an integer.
+    """
+    parsed = df.select(F.try_parse_json(F.col(col).cast("string")).alias("_v"))
+    keys = parsed.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_v").outer())).where("key IS NOT NULL AND schema_of_variant(_v) LIKE 'OBJECT%'")
+    kind = F.regexp_extract(F.schema_of_variant("value"), r"^\w+", 0)
+    names = {"VOID": "null", "BIGINT": "integer", "DECIMAL": "number", "DOUBLE": "number", "BOOLEAN": "boolean", "OBJECT": "object", "ARRAY": "array"}
+    named = F.coalesce(F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[kind], F.lit("string"))
+    return keys.groupBy(F.col("key").alias("path"), named.alias("json_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def shape_drift(before: DataFrame, after: DataFrame, factor: float = 0.5) -> DataFrame:
@@ -56,10 +61,11 @@ def shape_drift(before: DataFrame, after: DataFrame, factor: float = 0.5) -> Dat
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """``column, n_rows, n_nulls, n_distinct`` in one pass."""
+    """``column, n_rows, n_nulls, n_distinct`` in one pass; texts go through the shuffle as digests of 16 bytes."""
     aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, c in enumerate(df.columns):
-        aggs += [F.count_if(F.col(c).isNull()).alias(f"_n{i}"), F.count_distinct(F.col(c)).alias(f"_d{i}")]
+    for i, (c, kind) in enumerate(df.dtypes):
+        value = F.unhex(F.md5(F.col(c).cast("binary"))) if kind in ("string", "binary") else F.col(c)
+        aggs += [F.count_if(F.col(c).isNull()).alias(f"_n{i}"), F.count_distinct(value).alias(f"_d{i}")]
     one = df.agg(*aggs)
     rows = F.array(*(F.struct(F.lit(c).alias("column"), F.col("_rows").alias("n_rows"), F.col(f"_n{i}").alias("n_nulls"), F.col(f"_d{i}").alias("n_distinct")) for i, c in enumerate(df.columns)))
     return one.select(F.inline(rows))

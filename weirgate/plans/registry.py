@@ -52,16 +52,22 @@ def s1_conform(spark, sf):
     return out.select("c_custkey", "c_name", "c_phone", F.size("_cast_errors").alias("n_errors"))
 
 
-_SHAPE = """SELECT k AS path, CASE json_type(props, '$.' || k) WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'null' END AS json_type, count(*) AS n
-FROM (SELECT props, unnest(json_keys(props)) AS k FROM events) GROUP BY 1, 2"""
+def _shape_sql(rows: str) -> str:
+    return f"""SELECT k AS path, CASE json_type(props, '$."' || k || '"') WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'null' END AS json_type, count(*) AS n
+FROM (SELECT props, unnest(json_keys(props)) AS k FROM ({rows})) GROUP BY 1, 2"""
 
 
-@query(_SHAPE)
+@query(_shape_sql("SELECT props FROM events"))
 def s2_json_shape(spark, sf):
     return S.json_shape(table(spark, sf, "events"), "props")
 
 
-@query("SELECT * FROM (VALUES ('extra', 'added'), ('k', 'retyped')) t(path, change) WHERE EXISTS (SELECT 1 FROM events WHERE ts >= TIMESTAMP '2024-01-22')")
+@query(f"""WITH b AS ({_shape_sql("SELECT props FROM events WHERE ts < TIMESTAMP '2024-01-22'")}),
+a AS ({_shape_sql("SELECT json_object('k', 'v' || event_id, 'extra', event_id) AS props FROM events WHERE ts >= TIMESTAMP '2024-01-22'")}),
+bs AS (SELECT path, string_agg(DISTINCT json_type, ',' ORDER BY json_type) AS types, sum(n) / (SELECT sum(n) FROM b) AS share FROM b GROUP BY 1),
+as_ AS (SELECT path, string_agg(DISTINCT json_type, ',' ORDER BY json_type) AS types, sum(n) / (SELECT sum(n) FROM a) AS share FROM a GROUP BY 1)
+SELECT * FROM (SELECT path, CASE WHEN bs.types IS NULL THEN 'added' WHEN as_.types IS NULL THEN 'removed' WHEN bs.types <> as_.types THEN 'retyped' WHEN abs(as_.share - bs.share) > 0.5 * bs.share THEN 'frequency' END AS change
+FROM bs FULL JOIN as_ USING (path)) WHERE change IS NOT NULL""")
 def s3_shape_drift(spark, sf):
     after = _scored(spark, sf).withColumn("props", F.expr("to_json(named_struct('k', concat('v', event_id), 'extra', event_id))"))
     return S.shape_drift(S.json_shape(_train(spark, sf), "props"), S.json_shape(after, "props"))
@@ -123,6 +129,11 @@ def c9_sequence_complete(spark, sf):
     return C.sequence_complete(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber")
 
 
+@query("SELECT l_orderkey, l_linenumber, was AS before FROM (SELECT l_orderkey, l_linenumber, lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS was FROM lineitem) WHERE l_linenumber - was <> 1")
+def c9_sequence_steps(spark, sf):
+    return C.sequence_steps(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber")
+
+
 _DENSE = """WITH g AS (SELECT event_type, unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY)) AS period FROM (SELECT DISTINCT event_type FROM events)),
 r AS (SELECT event_type, date_trunc('day', ts) AS period, count(*) AS n, sum(value::DECIMAL(18,2))::DOUBLE AS total FROM events GROUP BY 1, 2)
 """
@@ -153,14 +164,36 @@ UNION ALL SELECT 'tax below discount', l_orderkey::VARCHAR FROM lineitem WHERE l
 UNION ALL SELECT 'line has a part', l_orderkey::VARCHAR FROM lineitem WHERE l_partkey IS NULL"""
 
 
-@query(_BROKEN)
+_FOUND = """SELECT 'line key' AS rule_id, l_orderkey || '|' || l_linenumber AS key FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
+UNION ALL SELECT 'order has a customer', o_orderkey::VARCHAR FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 50 <> 0)
+UNION ALL SELECT 'order total', o_orderkey::VARCHAR FROM orders JOIN (SELECT l_orderkey, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS s FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE abs(o_totalprice::DECIMAL(18,2)::DOUBLE - s) > 0.01
+UNION ALL SELECT 'line numbers', l_orderkey::VARCHAR FROM lineitem GROUP BY l_orderkey HAVING min(l_linenumber) <> 1 OR max(l_linenumber) <> count(DISTINCT l_linenumber)"""
+
+
+@query(f"{_BROKEN} UNION ALL {_FOUND}")
 def c11_violations(spark, sf):
-    return C.violations(table(spark, sf, "lineitem"), _line_rules(), F.col("l_orderkey")).select("rule_id", "key")
+    """Row rules in one scan, and what key, reference, total and sequence rules found."""
+    lines, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    parts = [
+        C.found_violations("line key", C.unique(lines, ["l_orderkey", "l_linenumber"]), F.concat_ws("|", "l_orderkey", "l_linenumber"), F.col("n")),
+        C.found_violations("order has a customer", C.references(orders, "o_custkey", table(spark, sf, "customer").where("c_custkey % 50 <> 0"), "c_custkey"), F.col("o_orderkey"), F.col("o_custkey")),
+        C.found_violations("order total", C.reconciles(orders, lines, "o_orderkey", "l_orderkey", "o_totalprice", F.col("l_extendedprice")), F.col("key"), F.col("summed")),
+        C.found_violations("line numbers", C.sequence_complete(lines, "l_orderkey", "l_linenumber"), F.col("l_orderkey"), F.concat_ws("-", "lo", "hi")),
+    ]
+    out = C.violations(lines, _line_rules(), F.col("l_orderkey"))
+    for x in parts:
+        out = out.unionByName(x)
+    return out.select("rule_id", "key")
 
 
-@query(f"SELECT r.rule_id, (SELECT count(*) FROM lineitem) AS n_checked, count(b.key) AS n_violations, count(b.key) = 0 AS passed FROM (VALUES ('line has a part'), ('discount'), ('return flag'), ('tax below discount')) r(rule_id) LEFT JOIN ({_BROKEN}) b USING (rule_id) GROUP BY 1")
+@query(f"""SELECT r.rule_id, (SELECT count(*) FROM lineitem) AS n_checked, count(b.key) AS n_violations, count(b.key) = 0 AS passed FROM (VALUES ('line has a part'), ('discount'), ('return flag'), ('tax below discount')) r(rule_id) LEFT JOIN ({_BROKEN}) b USING (rule_id) GROUP BY 1
+UNION ALL SELECT 'line key', n, b, b = 0 FROM (SELECT count(*) AS n, count(*) FILTER (k > 1) AS b FROM (SELECT count(*) AS k FROM lineitem GROUP BY l_orderkey, l_linenumber))
+UNION ALL SELECT 'line has an order', n, b, b = 0 FROM (SELECT count(l_orderkey) AS n, count(l_orderkey) FILTER (l_orderkey NOT IN (SELECT o_orderkey FROM orders)) AS b FROM lineitem)""")
 def c12_contract_summary(spark, sf):
-    return C.contract_summary(table(spark, sf, "lineitem"), _line_rules())
+    lines = table(spark, sf, "lineitem")
+    keys = C.found_summary("line key", lines.select("l_orderkey", "l_linenumber").dropna().distinct(), C.unique(lines, ["l_orderkey", "l_linenumber"]))
+    orders = C.found_summary("line has an order", lines.where("l_orderkey IS NOT NULL"), C.references(lines, "l_orderkey", table(spark, sf, "orders"), "o_orderkey"))
+    return C.contract_summary(lines, _line_rules()).unionByName(keys).unionByName(orders)
 
 
 @query("SELECT l_orderkey, l_linenumber, (CASE WHEN l_partkey IS NULL THEN 1 ELSE 0 END + CASE WHEN l_discount > 0.09 THEN 1 ELSE 0 END + CASE WHEN l_returnflag NOT IN ('A', 'N') THEN 1 ELSE 0 END + CASE WHEN l_tax > l_discount THEN 1 ELSE 0 END)::INTEGER AS n_reasons FROM lineitem")
@@ -194,17 +227,40 @@ def _spread(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism)
 
 
-@query()
+# Distinct 3-word shingles of texts, classes of equal sets and their representatives; all pairs that share a shingle are counted.
+_CLASSES = """w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+q AS (SELECT id, CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END AS g FROM w WHERE len(w) > 0),
+c AS (SELECT id, list_sort(list_distinct(g)) AS s FROM q),
+r AS (SELECT s, min(id) AS id, len(s) AS size FROM c GROUP BY s),
+m AS (SELECT r.id AS x, c.id AS y FROM c JOIN r USING (s) WHERE r.id < c.id),
+g AS (SELECT id, size, unnest(s) AS g FROM r)"""
+_ALL_PAIRS = _CLASSES + """,
+p AS (SELECT a.id AS x, b.id AS y, count(*) / (any_value(a.size) + any_value(b.size) - count(*)) AS jaccard FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
+pairs AS (SELECT x, y, jaccard FROM p WHERE jaccard >= 0.8 UNION ALL SELECT x, y, 1.0::DOUBLE FROM m)"""
+
+
+def _clusters_sql(name: str, pairs: str) -> str:
+    return f"""{name}_e AS (SELECT x AS a, y AS b FROM ({pairs}) UNION SELECT y, x FROM ({pairs})),
+{name}_r(id, near) AS (SELECT a, a FROM {name}_e UNION SELECT r.id, e.b FROM {name}_r r JOIN {name}_e e ON e.a = r.near),
+{name} AS (SELECT id, min(near) AS cluster_id FROM {name}_r GROUP BY id)"""
+
+
+@query(f"""WITH {_CLASSES}, n AS (SELECT g, count(*) AS n FROM g GROUP BY g),
+o AS (SELECT id, size, g, n, row_number() OVER (PARTITION BY id ORDER BY n, g) - 1 AS place FROM g JOIN n USING (g)),
+f AS (SELECT g, id, size, size - place AS left_ FROM o WHERE place < size - ceil(0.8::DOUBLE * size - 1e-6) + 1 AND n > 1)
+SELECT DISTINCT a.id AS x, b.id AS y FROM f a JOIN f b ON a.g = b.g AND a.id < b.id WHERE least(a.left_, b.left_) >= 0.8::DOUBLE / 1.8 * (a.size + b.size) - 1e-6 UNION ALL SELECT x, y FROM m""")
 def i3_match_candidates(spark, sf):
+    fresh(spark, "i3")
     return I.match_candidates(_spread(spark, sf), "doc_id", "text")
 
 
-@query()
+@query(f"WITH {_ALL_PAIRS} SELECT x, y, jaccard FROM pairs")
 def i4_match_pairs(spark, sf):
+    fresh(spark, "i4")
     return I.match_pairs(_spread(spark, sf), "doc_id", "text", 0.8)
 
 
-@query()
+@query(f"WITH RECURSIVE {_ALL_PAIRS}, {_clusters_sql('k', 'SELECT x, y FROM pairs')} SELECT id, cluster_id FROM k")
 def i5_clusters(spark, sf):
     fresh(spark, "i5")
     return I.clusters(I.match_pairs(_spread(spark, sf), "doc_id", "text", 0.8))
@@ -215,10 +271,12 @@ def i6_golden_record(spark, sf):
     return I.golden_record(table(spark, sf, "customer"), "c_nationkey", [F.col("c_acctbal")], "c_custkey").select("c_nationkey", "c_custkey", "c_acctbal")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ALL_PAIRS}, {_clusters_sql("old", "SELECT x, y FROM pairs WHERE jaccard >= 0.9")}, {_clusters_sql("new", "SELECT x, y FROM pairs")},
+j AS (SELECT new.cluster_id, min(old.cluster_id) AS o, count(DISTINCT old.cluster_id) AS n FROM new LEFT JOIN old USING (id) GROUP BY 1)
+SELECT id, coalesce(o, cluster_id) AS stable_id, CASE WHEN o IS NULL THEN 'new' WHEN n > 1 THEN 'merge' ELSE 'same' END AS change FROM new JOIN j USING (cluster_id)""")
 def i7_update_crosswalk(spark, sf):
     fresh(spark, "i7")
-    pairs = I.match_pairs(_spread(spark, sf), "doc_id", "text", 0.8).persist()
+    pairs = I.match_pairs(_spread(spark, sf), "doc_id", "text", 0.8).checkpoint()
     before = I.clusters(pairs.where("jaccard >= 0.9")).select("id", F.col("cluster_id").alias("stable_id"))
     return I.update_crosswalk(before, I.clusters(pairs))
 
@@ -268,9 +326,9 @@ def b4_fit_seasonal(spark, sf):
     return _rounded(B.fit_seasonal(_train(spark, sf), "event_type", F.hour("ts"), "value"), "mean", "sd")
 
 
-@query(_DENSE + "SELECT event_type, period::TIMESTAMP AS period, n, total, round(avg(n) OVER w, 6) AS mean, round(stddev_samp(n) OVER w, 6) AS sd FROM r WINDOW w AS (PARTITION BY event_type ORDER BY period ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)")
+@query(_DENSE + "SELECT event_type, period::TIMESTAMP AS period, coalesce(n, 0) AS n, coalesce(total, 0) AS total, round(avg(coalesce(n, 0)) OVER w, 6) AS mean, round(stddev_samp(coalesce(n, 0)) OVER w, 6) AS sd FROM g LEFT JOIN r USING (event_type, period) WINDOW w AS (PARTITION BY event_type ORDER BY period ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)")
 def b5_fit_trailing(spark, sf):
-    return _rounded(B.fit_trailing(B.rollup(table(spark, sf, "events"), "event_type", "ts", "1 day", "value"), "event_type", 7), "mean", "sd")
+    return _rounded(B.fit_trailing(_dense(spark, sf, "event_type"), "event_type", 7), "mean", "sd")
 
 
 @query("SELECT event_type, round(m, 6) AS median, round(quantile_cont(abs(value - m), 0.5), 6) AS mad FROM events JOIN (SELECT event_type, quantile_cont(value, 0.5) AS m FROM events GROUP BY 1) USING (event_type) GROUP BY 1, m")
@@ -344,7 +402,14 @@ def b14_stream_score(spark, sf):
     return _rounded(X.drain(spark, stream, fresh(spark, "b14"), fresh(spark, "b14-checkpoint")).select("event_id", "event_type", "z", "flagged"), "z")
 
 
-@query()
+@query(f"SELECT user_id, session_start, n FROM ({_SESSIONS.replace('count(*) AS n FROM n', 'max(ts) AS last, count(*) AS n FROM n')}) WHERE last + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
+def b13_stream_sessions(spark, sf):
+    stream = X.stream_sessions(X.table_stream(spark, f"{sf}/events.parquet"), "user_id", "ts", "6 hours", "1 day")
+    return X.drain(spark, stream, fresh(spark, "b13s"), fresh(spark, "b13s-checkpoint"))
+
+
+@query("""SELECT user_id, was AS last_seen FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events) WHERE ts > was + INTERVAL 24 HOUR
+UNION ALL SELECT user_id, max(ts) AS last_seen FROM events GROUP BY 1 HAVING epoch_ms(max(ts)) + 86400000 + 1 <= (SELECT epoch_ms(max(ts)) - 3600000 FROM events)""")
 def b15_stream_silence(spark, sf):
     """Reports that no other follows within a day, as far as the watermark came."""
     key = "spark.sql.streaming.stateStore.providerClass"
@@ -352,7 +417,7 @@ def b15_stream_silence(spark, sf):
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         stream = X.stream_silence(X.table_stream(spark, f"{sf}/events.parquet"), "user_id", "ts", 86_400, "1 hour")
-        return X.drain(spark, stream, fresh(spark, "b15"), fresh(spark, "b15-checkpoint"))
+        return X.drain(spark, stream, fresh(spark, "b15"), fresh(spark, "b15-checkpoint")).withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
     finally:
         spark.conf.set(key, before)
 

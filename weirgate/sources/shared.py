@@ -1,4 +1,4 @@
-"""A fresh path in the folder that all machines share."""
+"""The folder that all machines share."""
 
 from __future__ import annotations
 
@@ -8,10 +8,22 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def fresh(spark: SparkSession, label: str) -> str:
-    """Below the session's checkpoint folder; one is set only where none is."""
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir`` or checkpoint folder.
+
+    Where neither is set, a session on one machine gets a fresh local folder as
+    its checkpoint folder; on a cluster, where such a folder would lose data,
+    this raises an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
         folder = spark.sparkContext.getCheckpointDir()
-    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def fresh(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"

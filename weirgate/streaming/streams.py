@@ -44,6 +44,13 @@ def stream_rollup(stream: DataFrame, entity: str, ts: str, period: str, metric:
     return by.select(entity, F.col("_w.start").cast("timestamp_ntz").alias("period"), "n", "total")
 
 
+def stream_sessions(stream: DataFrame, entity: str, ts: str, gap: str, delay: str) -> DataFrame:
+    """``entity, session_start, n`` of closed sessions; those split by ``gap`` or more without a report."""
+    timed = stream.select(entity, F.col(ts).cast("timestamp").alias(ts)).withWatermark(ts, delay)
+    by = timed.groupBy(entity, F.session_window(ts, gap).alias("_s")).agg(F.count(F.lit(1)).alias("n"))
+    return by.select(entity, F.col("_s.start").cast("timestamp_ntz").alias("session_start"), "n")
+
+
 def stream_score(stream: DataFrame, baseline: DataFrame, entity: str, metric: str, k: float) -> DataFrame:
     """``score`` of a stream against a fixed baseline."""
     return score(stream, baseline, entity, metric, k)
@@ -53,28 +60,28 @@ class _Silence(StatefulProcessor):
     """Keeps the last report of an entity; says so once when none follows in time."""
 
     def __init__(self, entity: str, ts: str, seconds: int):
-        self.entity, self.ts, self.ms = entity, ts, seconds * 1000
+        self.entity, self.ts, self.limit = entity, ts, seconds * 1_000_000  # microseconds, as Spark's timestamps
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "at bigint, told boolean")
 
     def _out(self, key: Any, at: int) -> pd.DataFrame:
-        return pd.DataFrame({self.entity: [key[0]], "last_seen": [pd.Timestamp(at, unit="ms")]})
+        return pd.DataFrame({self.entity: [key[0]], "last_seen": [pd.Timestamp(at, unit="us")]})
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        times = sorted(int(x.timestamp() * 1000) for pdf in rows for x in pdf[self.ts])
+        times = sorted(x.value // 1000 for pdf in rows for x in pdf[self.ts])
         state = self.last.get() if self.last.exists() else None
         at, told = (state[0], state[1]) if state else (None, False)
         for t in times:
-            if at is not None and t - at > self.ms and not told:
+            if at is not None and t - at > self.limit and not told:
                 yield self._out(key, at)
             if at is None or t > at:
                 at, told = t, False
         for x in self.handle.listTimers():
             self.handle.deleteTimer(x)
         self.last.update((at, told))
-        self.handle.registerTimer(at + self.ms + 1)
+        self.handle.registerTimer((at + self.limit) // 1000 + 1)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         at, told = self.last.get()
