@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .scratch import Scratch
+from .scratch import Scratch, whole_rows
 from .tokens import per_batch, utf8, words
 
 SHINGLE, PERCENT = 5, 75
@@ -340,10 +340,14 @@ def near_groups(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each group, with all columns."""
+    """The rows of ``docs`` that stay, one document of each group, with their columns as they are, whatever their names.
+
+    Rows without a ``doc_id`` stay, as do empty texts. Rows that repeat an id
+    stay or go together. An empty table gives no rows.
+    """
     scratch = scratch or Scratch(docs.sparkSession, "near")
-    gone = scratch.write(near_groups(docs, scratch).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
+    gone = scratch.write(near_groups(docs, scratch).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    return whole_rows(docs, F.col("doc_id").cast("bigint").alias("id")).join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

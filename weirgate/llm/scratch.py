@@ -2,24 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``.
-
-    Only where neither that setting nor a checkpoint folder exists (local
-    tests) a fresh local folder is made and set as the checkpoint folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
+from ..sources.shared import fresh
 
 
 class Scratch:
@@ -27,7 +13,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        self.root = fresh(spark, label)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -43,3 +29,8 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def whole_rows(df: DataFrame, *columns: Column) -> DataFrame:
+    """``row``, a struct of all columns, and some more; so no name among the columns can clash with one that is added."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *columns)
