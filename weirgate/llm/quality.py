@@ -14,14 +14,14 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, whole_rows
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Posterior probability from which a document stays; rounds of estimation.
-KEEP_FROM, ROUNDS = 0.5, 40
-#: A rule's bad votes are meant to be sure: bounds of its share of good votes on good documents, and of bad
-#: votes on bad documents, which may be few since each rule knows one kind of fault.
-RIGHT_ON_GOOD, RIGHT_ON_BAD = (0.99, 0.999), (0.05, 0.95)
+KEEP_FROM, ROUNDS = 0.5, 60
+#: Where estimation begins, which also says which class is the good one: how often a rule votes good on good documents
+#: and bad on bad ones (each rule knows one kind of fault, so few), and the share of good documents.
+BEGIN_GOOD, BEGIN_BAD, BEGIN_SHARE = 0.95, 0.3, 0.8
 
 _SPACE = r"[\x20\x09-\x0D]+"
 #: Bits of a packed number that hold a word's place; texts of more words take the plain way.
@@ -97,21 +97,20 @@ def fit(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = ROUNDS
 
     ``patterns`` are votes with their numbers of documents. A rule's accuracy on
     good and on bad documents is estimated apart, over the documents it votes
-    on, within the bounds above; these also keep the classes from changing places.
+    on, with one made-up vote for and against, so that no chance is 0.
     """
     k = len(patterns[0][0]) if patterns else 0
-    right = [(RIGHT_ON_GOOD[0], 0.5)] * k  # P(vote good | good), P(vote bad | bad)
-    good = 0.8
+    right = [(BEGIN_GOOD, BEGIN_BAD)] * k  # P(vote good | good), P(vote bad | bad)
+    good = BEGIN_SHARE
     total = sum(n for _, n in patterns)
-    within = lambda x, bounds: min(bounds[1], max(bounds[0], x))
     weights = lambda: (log(good / (1 - good)), [(log(g / (1 - b)), log((1 - g) / b)) for g, b in right])
     for _ in range(rounds if total else 0):
         prior, add = weights()
-        sums = [[1.0, 1.0, 0.5, 1.0] for _ in range(k)]
-        all_good = 0.0
+        sums = [[1.0, 2.0, 1.0, 2.0] for _ in range(k)]
+        all_good = 1.0
         for votes, n in patterns:
             z = prior + sum(add[j][0] if v else add[j][1] for j, v in enumerate(votes) if v is not None)
-            p = 1 / (1 + exp(-z))
+            p = 1 / (1 + exp(-max(-500.0, min(500.0, z))))
             all_good += n * p
             for j, v in enumerate(votes):
                 if v is not None:
@@ -120,8 +119,8 @@ def fit(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = ROUNDS
                     s[1] += n * p
                     s[2] += n * (1 - p) * (1 - v)
                     s[3] += n * (1 - p)
-        good = within(all_good / total, (0.05, 0.95))
-        right = [(within(a / b, RIGHT_ON_GOOD), within(c / d, RIGHT_ON_BAD)) for a, b, c, d in sums]
+        good = all_good / (total + 2)
+        right = [(a / b, c / d) for a, b, c, d in sums]
     return weights()
 
 
@@ -160,14 +159,16 @@ def judge(voted: DataFrame, model: tuple[float, list[tuple[float, float]]]) -> D
 
 
 def keep_good(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """The rows of ``docs(text, ...)`` that the rules keep, with their columns.
+    """The rows of ``docs(text, ...)`` that the rules keep, with their columns as they are, whatever their names.
+
+    A null or empty text fails. Repeated rows are judged each; an empty table gives no rows.
 
     The votes are written first: a filter on them would otherwise move below
     the measures and repeat them.
     """
     scratch = scratch or Scratch(docs.sparkSession, "quality")
-    voted = scratch.write(vote(docs), "votes")
-    return judge(voted, learn(voted)).where("kept").select(docs.columns)
+    voted = scratch.write(vote(whole_rows(docs, F.col("text"))).drop("text"), "votes")
+    return judge(voted, learn(voted)).where("kept").select("row.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
