@@ -1,10 +1,12 @@
 """Operator 7: WARC archives that store equal payloads once.
 
 Payloads are grouped by SHA-256 and compared byte by byte; the page with the
-smallest id is a response record, the others revisit it. Archives are written
-by Spark's text writer: a record is text in UTF-8, and the two line ends that
-close it are the writer's line separator. A reader takes records by their
-content lengths.
+smallest id is a response record, the others revisit it. So the archives are
+the store of payloads, each once, named by its digest; the exact headers of all
+records are also a table of their own, and a join of both by digest gives back
+every record. Archives are written by Spark's text writer: a record is text in
+UTF-8, and the two line ends that close it are the writer's line separator. A
+reader takes records by their content lengths and verifies their digests.
 """
 
 from __future__ import annotations
@@ -26,31 +28,43 @@ from .tokens import per_batch
 ARCHIVE_BYTES = 8_000_000
 DATE = "2024-01-01T00:00:00Z"
 
-_RECORD = "archive string, page_id bigint, row bigint, record_type string, refers_to bigint, headers string, payload binary"
+_RECORD = "archive string, page_id bigint, record_type string, refers_to bigint, digest string, headers string, payload binary"
 
 
-def _record(url: Column, payload: Column) -> Column:
-    """The text of a WARC record without the line ends that close it."""
+def _record_id(page_id: Column, row: Column | None = None) -> Column:
+    """A response is named by its payload's digest and its page, which no other response shares; a revisit also by its row."""
+    parts = [F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(":"), F.col("digest")]
+    return F.concat(*parts, *([F.lit(":"), row.cast("string")] if row is not None else []), F.lit(">"))
+
+
+def _headers() -> Column:
+    """The headers of a record with the line that ends them."""
+    revisit = F.col("record_type") == "revisit"
+    url = F.col("url")
+    for mark, code in (("\r", "%0D"), ("\n", "%0A")):
+        url = F.replace(url, F.lit(mark), F.lit(code))
     head = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), "record_type"),
-        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), F.col("row").cast("string"), F.lit(">")),
+        F.concat(F.lit("WARC-Record-ID: "), F.when(revisit, _record_id(F.col("page_id"), F.col("row"))).otherwise(_record_id(F.col("page_id")))),
         F.lit(f"WARC-Date: {DATE}"),
-        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce(url, F.lit("")), r"[\r\n]+", "")),
+        F.concat(F.lit("WARC-Target-URI: "), F.coalesce(url, F.lit(""))),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), "sha1"),
-        F.when(F.col("record_type") == "revisit", F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), F.col("keep_id").cast("string"), F.lit(">"))),
+        F.when(revisit, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), _record_id(F.col("keep_id")))),
+        F.concat(F.lit("X-Payload-SHA256: "), "digest"),
         F.lit("Content-Type: text/html; charset=utf-8"),
-        F.concat(F.lit("Content-Length: "), F.octet_length(payload).cast("string")),
+        F.concat(F.lit("Content-Length: "), F.octet_length("body").cast("string")),
     ]
-    return F.concat(F.concat_ws("\r\n", *head), F.lit("\r\n\r\n"), payload)
+    return F.concat(F.concat_ws("\r\n", *head), F.lit("\r\n\r\n"))
 
 
 def write_archives(pages: DataFrame, path: str, scratch: Scratch) -> None:
-    """Write a record for each row of ``pages(page_id, url, html)``.
+    """Write a record for each row of ``pages(page_id, url, html)``: archives to ``path``/records, exact headers to ``path``/headers.
 
     A null html counts as empty. Of rows that agree in id and payload one is
-    the response. A url loses line ends. A null ``page_id`` gives a record
-    without an id; it is a response only where all of its group lack one.
+    the response. Line ends in a url are percent-encoded. A null ``page_id``
+    gives a record without a page; it is a response only where all of its group
+    lack one. Other columns are not read; an empty table gives no records.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"))
@@ -87,10 +101,13 @@ def write_archives(pages: DataFrame, path: str, scratch: Scratch) -> None:
         if held:
             yield pa.RecordBatch.from_pydict({"value": ["\r\n\r\n".join(held)]})
 
-    typed = typed.select("page_id", "row", "record_type", "keep_id", "url", body.alias("body"), "sha1")
+    typed = typed.select("page_id", "row", "record_type", "keep_id", "digest", "url", body.alias("body"), "sha1")
     typed = typed.mapInArrow(per_batch(base32), typed.schema)
-    records = typed.select(_record(F.col("url"), F.col("body")).alias("record"))
-    records.mapInArrow(bundle, "value string").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+    records = scratch.write(typed.select("digest", _headers().alias("headers"), "body"), "records")
+    records.select("digest", "headers").write.option("compression", "zstd").parquet(f"{path}/headers")
+    bundled = records.select(F.concat("headers", "body").alias("record")).mapInArrow(bundle, "value string")
+    bundled.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 1).option("compression", "gzip").text(f"{path}/records")
+    scratch.drop("records")
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[bytes, bytes]]:
@@ -104,33 +121,45 @@ def parse_archive(data: bytes) -> Iterator[tuple[bytes, bytes]]:
         at = end + 8 + length
 
 
+def _fields(headers: str) -> dict[str, str]:
+    return dict(x.partition(": ")[::2] for x in headers.split("\r\n"))
+
+
+def _page(record_id: str) -> int | None:
+    page = record_id.removeprefix("<urn:page:").partition(":")[0]
+    return int(page) if page else None
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """``archive, page_id, row, record_type, refers_to, headers, payload``: a row for each record, a revisit's payload null."""
+    """``archive, page_id, record_type, refers_to, digest, headers, payload``: a row for each record, a revisit's payload null.
+
+    A payload that doesn't have the digests its headers name raises an error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 columns: list[list] = [[] for _ in range(7)]
                 for headers, payload in parse_archive(gzip.decompress(content)):
-                    fields = dict(x.partition(": ")[::2] for x in headers.decode().split("\r\n"))
-                    page, _, row = fields["WARC-Record-ID"][len("<urn:page:") : -1].partition(":")
-                    to = fields.get("WARC-Refers-To", "")[len("<urn:page:") : -1]
+                    fields = _fields(headers.decode())
                     revisit = fields["WARC-Type"] == "revisit"
-                    for column, x in zip(columns, (name, int(page) if page else None, int(row), fields["WARC-Type"], int(to) if to else None, headers.decode(), None if revisit else payload), strict=True):
+                    digest = fields["X-Payload-SHA256"]
+                    if not revisit and (hashlib.sha256(payload).hexdigest() != digest or base64.b32encode(hashlib.sha1(payload).digest()).decode() != fields["WARC-Payload-Digest"][5:]):
+                        raise ValueError(f"a payload in {name} is not the one that was stored: {fields['WARC-Record-ID']}")
+                    to = _page(fields["WARC-Refers-To"]) if revisit else None
+                    for column, x in zip(columns, (name, _page(fields["WARC-Record-ID"]), fields["WARC-Type"], to, digest, headers.decode(), None if revisit else payload), strict=True):
                         column.append(x)
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["archive", "page_id", "row", "record_type", "refers_to", "headers", "payload"])
+                kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["archive", "page_id", "record_type", "refers_to", "digest", "headers", "payload"])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content").mapInArrow(run, _RECORD)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(f"{path}/records").select("path", "content").mapInArrow(run, _RECORD)
 
 
-def restore(records: DataFrame) -> DataFrame:
-    """The records with the payload of a revisit taken from the response it names by the payload digest in its headers."""
-    digest = F.regexp_extract("headers", r"WARC-Payload-Digest: sha1:(\w+)", 1)
-    keyed = records.withColumn("_digest", digest)
-    stored = keyed.where("record_type = 'response'").select(F.col("_digest").alias("_d"), F.col("page_id").alias("_p"), F.col("payload").alias("_payload"))
-    match = (F.col("_digest") == F.col("_d")) & F.col("refers_to").eqNullSafe(F.col("_p")) & (F.col("record_type") == "revisit")
-    return keyed.join(stored, match, "left").withColumn("payload", F.coalesce("payload", "_payload")).select(records.columns)
+def restore(spark: SparkSession, path: str) -> DataFrame:
+    """``headers, payload`` of every record: the table of headers joined with the stored payloads by digest."""
+    stored = read_archives(spark, path).where("record_type = 'response'").select("digest", "payload")
+    headers = spark.read.schema("digest string, headers string").parquet(f"{path}/headers")
+    return headers.join(stored, "digest").select("headers", "payload")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,13 +169,14 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         payloads = batch.column("payload").to_pylist()
         digests = [None if x is None else base64.b32encode(hashlib.sha1(x).digest()).decode() for x in payloads]
-        said = [h.partition("\r\nWARC-Payload-Digest: sha1:")[2].partition("\r\n")[0] for h in batch.column("headers").to_pylist()]
-        arrays = [batch.column("page_id"), batch.column("record_type"), batch.column("refers_to"), pa.array([None if x is None else len(x) for x in payloads], pa.int64()), pa.array(digests, pa.string()), pa.array(said)]
-        return pa.RecordBatch.from_arrays(arrays, names=["page_id", "record_type", "refers_to", "n", "digest", "said"])
+        arrays = [*(batch.column(x) for x in ("page_id", "record_type", "refers_to", "digest")), pa.array([None if x is None else len(x) for x in payloads], pa.int64()), pa.array(digests, pa.string())]
+        return pa.RecordBatch.from_arrays(arrays, names=["page_id", "record_type", "refers_to", "digest", "n", "sha1"])
 
-    found = read_archives(spark, scratch.path("archives")).mapInArrow(per_batch(measure), "page_id bigint, record_type string, refers_to bigint, n bigint, digest string, said string")
+    found = read_archives(spark, scratch.path("archives")).mapInArrow(per_batch(measure), "page_id bigint, record_type string, refers_to bigint, digest string, n bigint, sha1 string")
     found = scratch.write(found, "found")
-    stored = found.where("record_type = 'response'").select(F.col("page_id").alias("_p"), F.col("digest").alias("_digest"), F.col("n").alias("_n"))
-    match = (F.col("said") == F.col("_digest")) & F.col("refers_to").eqNullSafe(F.col("_p")) & (F.col("record_type") == "revisit")
-    out = found.join(stored, match, "left")
-    return out.select("page_id", F.coalesce("n", "_n").alias("payload_bytes"), F.coalesce("digest", "_digest").alias("payload_digest"), "record_type", "refers_to")
+    # Only digests that are revisited go through the join.
+    revisits = found.where("record_type = 'revisit'")
+    stored = found.where("record_type = 'response'").select("digest", F.col("n").alias("_n"), F.col("sha1").alias("_sha1"))
+    of_group = revisits.select("page_id", "record_type", "refers_to", "digest").join(stored, "digest").select("page_id", F.col("_n").alias("n"), F.col("_sha1").alias("sha1"), "record_type", "refers_to")
+    out = found.where("record_type = 'response'").select("page_id", "n", "sha1", "record_type", "refers_to").unionByName(of_group)
+    return out.select("page_id", F.col("n").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), "record_type", "refers_to")
