@@ -1,8 +1,10 @@
 """Operator 8: mixing sources to target weights, with DataFrame functions only.
 
-Each document has an expected number of copies, its source's target over its
-source's size. The whole part is taken for certain. For the rest, documents are
-ranked by Pareto order sampling: random odds u / (1 - u) divided by the odds
+Each document has an expected number of copies, so that a source's expected
+words are its target: a level of the source times a weight that grows with the
+document's length, as longer texts give longer contexts, up to the most copies
+a document may have. The whole part is taken for certain. For the rest, documents
+are ranked by Pareto order sampling: random odds u / (1 - u) divided by the odds
 p / (1 - p) of inclusion; the first ones are taken until the source's words are
 reached. Random numbers come from a digest of the id, so that reruns agree.
 """
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, whole_rows
 
 #: Weights of the sources in order, repeating; the share of all words to take; copies of a document at most.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -64,17 +66,42 @@ def _odds(doc_id: Column, seed: str) -> Column:
     return F.when(p > 0, u / (1 - u) / (p / (1 - p)))
 
 
+def length_class(size: Column) -> Column:
+    """The binary digits of a number of words: a document's weight."""
+    return F.length(F.bin(size))
+
+
+def expected_copies(by_source: DataFrame, classes: DataFrame, most: int = MOST) -> DataFrame:
+    """``_s, source_size, target, _class, _expected, _words`` for each source and length class.
+
+    ``least(most, level * class)`` copies of each document, with the level for
+    which a source's expected words are its target: the first, from the longest
+    class on, that leaves no class above ``most`` but those before it.
+    """
+    longer = Window.partitionBy("_s").orderBy(F.desc("_class")).rowsBetween(Window.unboundedPreceding, -1)
+    rest = Window.partitionBy("_s").orderBy(F.desc("_class")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    whole = Window.partitionBy("_s")
+    both = classes.join(by_source, F.col("_s").eqNullSafe(F.col("source")))
+    level = (F.col("target") - most * F.coalesce(F.sum("_words").over(longer), F.lit(0))) / F.nullif(F.sum(F.col("_words") * F.col("_class")).over(rest), F.lit(0))
+    fits = both.withColumn("_level", level).withColumn("_fits", (F.col("_level") >= 0) & (F.col("_level") * F.col("_class") <= most))
+    chosen = fits.withColumn("_l", F.max(F.when(F.col("_fits"), F.struct("_class", "_level"))).over(whole)["_level"])
+    copies = F.when(F.col("target") >= most * F.col("source_size"), F.when(F.col("source_size") > 0, float(most)).otherwise(0.0)).otherwise(F.least(F.lit(float(most)), F.col("_l") * F.col("_class")))
+    return chosen.select("_s", "source_size", "target", "_class", copies.alias("_expected"), "_words")
+
+
 def plan_sources(sizes: DataFrame, scratch: Scratch, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """``source, source_size, target, _expected, _cut`` from ``sizes(doc_id, source, size)``, one row a source.
+    """``_s, source_size, target, _class, _expected, _cut`` from ``sizes(doc_id, source, size)``, a row for each source and length class.
 
     Documents with odds up to ``_cut`` get one copy more. The cut is where the
     words taken come nearest to the target. Sums by cell find the cell it falls
     in; only that cell's rows are sorted.
     """
-    by_source = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    by_source = scratch.write(by_source.withColumn("_expected", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), "sources")
-    asked = by_source.select(F.col("source").alias("_s"), "_expected", (F.col("target") - F.floor("_expected") * F.col("source_size")).alias("_rest"))
-    ranked = sizes.join(asked, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_odds", _odds(F.col("doc_id"), seed)).where("_odds IS NOT NULL")
+    classes = scratch.write(sizes.groupBy(F.col("source").alias("_s"), length_class(F.col("size")).alias("_class")).agg(F.sum("size").alias("_words")), "classes")
+    by_source = targets(classes.groupBy(F.col("_s").alias("source")).agg(F.sum("_words").alias("source_size")), weights, share, most)
+    copies = scratch.write(expected_copies(by_source, classes, most), "copies")
+    rest = copies.groupBy(F.col("_s").alias("_t")).agg((F.max("target") - F.sum(F.floor("_expected") * F.col("_words"))).alias("_rest"))
+    asked = copies.join(rest, F.col("_s").eqNullSafe(F.col("_t"))).select("_s", "_class", "_expected", "_rest")
+    ranked = sizes.join(asked, F.col("source").eqNullSafe(F.col("_s")) & (length_class(F.col("size")) == F.col("_class"))).withColumn("_odds", _odds(F.col("doc_id"), seed)).where("_odds IS NOT NULL")
     ranked = ranked.withColumn("_cell", F.floor(F.col("_odds") / (1 + F.col("_odds")) * CELLS).cast("int")).select("_s", "_rest", "_cell", "_odds", "size")
     in_order = Window.partitionBy("_s").orderBy("_cell")
     cells = ranked.groupBy("_s", "_rest", "_cell").agg(F.sum("size").alias("_words"))
@@ -87,7 +114,8 @@ def plan_sources(sizes: DataFrame, scratch: Scratch, seed: str = "mix", weights:
     cut = ties.select("_s", "_odds", (reached <= F.col("_rest")).alias("_in")).groupBy("_s").agg(F.max(F.when(F.col("_in"), F.col("_odds"))).alias("_cut"), F.min("_odds").alias("_least"))
     # With no row of the last cell in, the cut lies before all of them.
     cut = cut.select("_s", F.coalesce("_cut", F.col("_least") * (1 - 2.0**-40)).alias("_cut"))
-    return scratch.write(by_source.join(cut, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"), "plan")
+    cut = cut.withColumnRenamed("_s", "_of")
+    return scratch.write(copies.join(cut, F.col("_s").eqNullSafe(F.col("_of")), "left").drop("_of", "_words"), "plan")
 
 
 def _copies(seed: str) -> Column:
@@ -96,7 +124,7 @@ def _copies(seed: str) -> Column:
 
 
 def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, scratch: Scratch | None = None) -> DataFrame:
-    """The rows of ``docs(doc_id, text, source, ...)``, each as often as the mix takes it; all columns stay.
+    """The rows of ``docs(doc_id, text, source, ...)``, each as often as the mix takes it; all columns stay as they are, whatever their names.
 
     A null text has no words, and a null source is a source of its own. Rows
     with one ``doc_id`` in a source have one random number, so they are taken
@@ -105,9 +133,10 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS,
     """
     scratch = scratch or Scratch(docs.sparkSession, "mix")
     sizes = scratch.write(measure(docs), "sizes")
-    plan = plan_sources(sizes, scratch, seed, weights, share, most).select(F.col("source").alias("_source"), "_expected", "_cut")
-    taken = docs.join(plan, F.col("source").cast("string").eqNullSafe(F.col("_source"))).withColumn("_copies", _copies(seed))
-    return taken.where("_copies > 0").withColumn("_copy", F.explode(F.expr("array_repeat(1, cast(_copies AS int))"))).select(docs.columns)
+    plan = plan_sources(sizes, scratch, seed, weights, share, most)
+    rows = whole_rows(docs, F.col("doc_id"), F.col("source").cast("string").alias("_source"), length_class(n_words(F.col("text").cast("string"))).alias("_length"))
+    taken = rows.join(plan, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_length") == F.col("_class"))).withColumn("_copies", _copies(seed))
+    return taken.where("_copies > 0").withColumn("_copy", F.explode(F.expr("array_repeat(1, cast(_copies AS int))"))).select("row.*")
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -118,8 +147,8 @@ def measure(docs: DataFrame) -> DataFrame:
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op8")
     sizes = scratch.write(measure(spark.read.parquet(f"{sf_dir}/documents.parquet")), "sizes")
-    plan = plan_sources(sizes, scratch).withColumnRenamed("source", "_source")
-    out = sizes.join(plan, F.col("source").eqNullSafe(F.col("_source")))
+    plan = plan_sources(sizes, scratch)
+    out = sizes.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (length_class(F.col("size")) == F.col("_class")))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * _copies("mix")).alias("taken"))
 
 
@@ -138,18 +167,27 @@ WITH d AS (
   SELECT *, (1.5::DOUBLE * total - 2 * full_size) / (ws - full_w) AS level FROM f
 ), t AS (
   SELECT source, source_size, coalesce(least(2 * source_size::DOUBLE, (SELECT level FROM l WHERE level * w <= 2 * source_size ORDER BY full_size, full_w LIMIT 1) * w), 2 * source_size::DOUBLE) AS target FROM l
+), k AS (
+  SELECT source, length(bin(size)) AS class, sum(size)::BIGINT AS words FROM d GROUP BY ALL
+), v AS (
+  SELECT k.source, class, words, source_size, target,
+    (target - 2 * coalesce(sum(words) OVER (PARTITION BY k.source ORDER BY class DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT)
+    / nullif(sum(words * class) OVER (PARTITION BY k.source ORDER BY class DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT, 0) AS level
+  FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source
 ), e AS (
-  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS expected FROM t
+  SELECT source, class, source_size, target, CASE WHEN target >= 2 * source_size THEN CASE WHEN source_size > 0 THEN 2 ELSE 0 END
+    ELSE least(2, max_by(level, class) FILTER (level >= 0 AND level * class <= 2) OVER (PARTITION BY source) * class) END::DOUBLE AS expected, words FROM v
 ), r AS (
   SELECT doc_id, size, d.source, source_size, target, floor(expected) AS whole, expected - floor(expected) AS p,
+    target - (SELECT sum(floor(y.expected) * y.words) FROM e y WHERE y.source IS NOT DISTINCT FROM d.source) AS rest,
     ((('0x' || substr(md5('mix' || doc_id::VARCHAR), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496 AS u
-  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source AND length(bin(size)) = class
 ), o AS (
   SELECT *, CASE WHEN p > 0 THEN u / (1 - u) / (p / (1 - p)) END AS odds FROM r
 ), c AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds) - size / 2 AS reached FROM o
+  SELECT *, sum(size) OVER (PARTITION BY source, odds IS NULL ORDER BY odds) - size / 2 AS reached FROM o
 )
 SELECT doc_id, size, source_size, target,
-       (size * (whole + CASE WHEN odds IS NOT NULL AND reached <= target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+       (size * (whole + CASE WHEN odds IS NOT NULL AND reached <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM c
 """
