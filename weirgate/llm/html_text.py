@@ -4,8 +4,11 @@ Tags say where an article is and what is never text. Elsewhere on a page, text
 that other pages of the host have too is boilerplate: token streams of all
 pages of a host give suffixes, equal ones up to ``RUN`` tokens meet in a shuffle
 by host and suffix, and tokens in a run that several distinct pages have are
-covered. Covered tokens go and all others stay, on pages with an article too;
-an article's own text stays whole, as copies of an article are its text.
+covered; neighbouring runs make the longest repeats. Covered tokens go and all
+others stay, on pages with an article too. Articles of a host share passages
+that are their text, so within an article the tags are the stronger evidence:
+a block goes only if the suffix that starts it is the same over the whole block
+on half of the host's pages or more.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-#: Tokens of a run that counts, and distinct pages that make it boilerplate.
-RUN, MIN_PAGES = 6, 3
+#: Tokens of a run that counts, distinct pages that make it boilerplate, and the share of a host's pages that makes a block of an article so.
+RUN, MIN_PAGES, ARTICLE_SHARE = 6, 3, 0.5
 
 # Element names by their role in HTML, and words in class, id or role that name furniture of a page.
 RAW = {"script", "style", "textarea", "title"}
@@ -142,25 +145,29 @@ def suffixes(tokens: list[str]) -> list[int]:
     return [int.from_bytes(hashlib.blake2b("\n".join(tokens[i : i + RUN]).encode(), digest_size=8).digest(), "little", signed=True) for i in range(max(1, len(tokens) - RUN + 1))]
 
 
-_PAGE = "page_id bigint, url string, host string, text string, parts array<string>, own array<array<bigint>>, suffixes array<bigint>"
+def whole_block(tokens: list[str]) -> int:
+    """A number for a block's first suffix up to the block's end; no suffix of ``RUN`` tokens has it."""
+    return int.from_bytes(hashlib.blake2b("\n".join(["", *tokens]).encode(), digest_size=8).digest(), "little", signed=True)
+
+
+#: ``own``: the numbers of each part's suffixes, or of an article's block as a whole.
+_PAGE = "page_id bigint, url string, host string, kinds array<string>, parts array<string>, own array<array<bigint>>, suffixes array<bigint>, articles array<bigint>"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A page whose text lies all in articles has it as ``text``; any other has ``parts`` in order, with suffixes of those outside."""
+    """A page's parts that may be text, in order, with the numbers that tell whether they are repeated."""
     for batch in batches:
-        columns: list[list] = [[] for _ in range(5)]
+        columns: list[list] = [[] for _ in range(6)]
         for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
             found = blocks(page or "")
             kept = [(k, t) for k, t in found if k != "furniture"]
-            asks = any(k == "other" for k, _ in kept)
-            text = "" if asks else " ".join(t for _, t in kept)
-            parts = [t for _, t in kept] if asks else []
-            own = [suffixes(t.split()) if k == "other" else [] for k, t in kept] if asks else []
-            every = {x for k, t in found if k != "main" for x in suffixes(t.split())}
-            for column, x in zip(columns, (host_of(url), text, parts, own, sorted(every)), strict=True):
+            own = [[] if k == "main" else suffixes(t.split()) for k, t in kept]
+            every = {x for k, t in found if k == "furniture" for x in suffixes(t.split())}.union(*own)
+            articles = {whole_block(t.split()) for k, t in kept if k == "main"}
+            for column, x in zip(columns, (host_of(url), [k for k, _ in kept], [t for _, t in kept], own, sorted(every), sorted(articles)), strict=True):
                 column.append(x)
-        kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["page_id", "url", "host", "text", "parts", "own", "suffixes"])
+        kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["page_id", "url", "host", "kinds", "parts", "own", "suffixes", "articles"])
 
 
 def uncovered(words: list[str], own: list[int], repeated: set[int]) -> list[str]:
@@ -176,9 +183,10 @@ def uncovered(words: list[str], own: list[int], repeated: set[int]) -> list[str]
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for parts, own, repeated in zip(*(batch.column(x).to_pylist() for x in ("parts", "own", "repeated")), strict=True):
+        for kinds, parts, own, repeated in zip(*(batch.column(x).to_pylist() for x in ("kinds", "parts", "own", "repeated")), strict=True):
             known = set(repeated or ())
-            texts.append(" ".join(t for t in (" ".join(uncovered(t.split(), o, known)) for t, o in zip(parts, own, strict=True)) if t))
+            rest = [("" if known and whole_block(t.split()) in known else t) if k == "main" else " ".join(uncovered(t.split(), o, known)) for k, t, o in zip(kinds, parts, own, strict=True)]
+            texts.append(" ".join(t for t in rest if t))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -186,22 +194,32 @@ def extract(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``page_id, url, text, n_chars`` for each row of ``pages(page_id, url, html)``.
 
     A null or empty html gives an empty text; a null url is a host of its own.
-    Repeated rows are extracted each and count as distinct pages.
+    Repeated rows are extracted each and count as distinct pages. Other columns
+    are not read; an empty table gives no rows.
     """
     scratch = scratch or Scratch(pages.sparkSession, "html")
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     parsed = scratch.write(pages.mapInArrow(_parse, _PAGE).withColumn("row", F.monotonically_increasing_id()), "parsed")
-    # Pages with text outside articles ask which of its suffixes other pages of the host have.
-    asked = parsed.where(F.size("own") > 0).select("row", "host", F.explode(F.array_distinct(F.flatten("own"))).alias("suffix"))
-    wanted = asked.select("host", "suffix").distinct()
-    array = parsed.select("host", F.explode("suffixes").alias("suffix"))
-    repeated = scratch.write(array.join(wanted, ["host", "suffix"], "left_semi").groupBy("host", "suffix").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= MIN_PAGES), "repeated")
-    of_page = asked.join(repeated, ["host", "suffix"]).groupBy("row").agg(F.collect_list("suffix").alias("repeated"))
-    asking = parsed.where(F.size("own") > 0).join(of_page, "row", "left").select("page_id", "url", "parts", "own", "repeated")
-    assembled = asking.mapInArrow(_assemble, "page_id bigint, url string, text string, n_chars bigint")
-    # The others have their whole text and go through no shuffle.
-    whole = parsed.where(F.size("own") == 0).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
-    return whole.unionByName(assembled)
+    # Suffixes outside articles that pages ask for, and blocks of all articles, each once a page.
+    outside = F.array_distinct(F.flatten("own"))
+    asked = parsed.select("row", "host", F.explode(outside).alias("suffix"))
+    array = parsed.select("host", F.explode("suffixes").alias("suffix")).join(asked.select("host", "suffix").distinct(), ["host", "suffix"], "left_semi")
+    runs = array.groupBy("host", "suffix").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= MIN_PAGES)
+    in_articles = parsed.select("row", "host", F.explode("articles").alias("suffix"))
+    sizes = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("all"))
+    # A block on fewer pages than MIN_PAGES can't be on a share of the host's pages that counts; what is left is small.
+    shared = in_articles.groupBy("host", "suffix").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= MIN_PAGES)
+    common = scratch.write(shared.join(sizes, "host").where(F.col("pages") >= ARTICLE_SHARE * F.col("all")).select("host", "suffix"), "common")
+    hits = asked.join(runs.select("host", "suffix"), ["host", "suffix"])
+    if not common.isEmpty():
+        hits = hits.unionByName(in_articles.join(common, ["host", "suffix"]))
+    hits = scratch.write(hits.groupBy("row").agg(F.collect_list("suffix").alias("repeated")), "hits")
+    fields = ["kinds", "parts", "own", "repeated"]
+    if hits.isEmpty():  # then no page has to be brought together with its hits
+        joined = parsed.withColumn("repeated", F.array().cast("array<bigint>"))
+    else:
+        joined = parsed.join(hits, "row", "left")
+    return joined.select("page_id", "url", *fields).mapInArrow(_assemble, "page_id bigint, url string, text string, n_chars bigint")
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
