@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import struct
+import time
 import zlib
 from collections import Counter
 from math import log10
@@ -541,6 +542,13 @@ def test_html_of_odd_rows(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page", ["<a " * 200_000, '<a "' * 100_001, "<p>x" * 100_000 + "<a '", "<a b='" * 100_001 + ">", "<!--" * 100_000, "<b><" * 100_000])
+def test_html_of_broken_pages_takes_linear_time(page):
+    began = time.process_time()
+    html_text.blocks(page)
+    assert time.process_time() - began < 20
+
+
 @pytest.mark.parametrize("before", ["<form><datalist><option value=a><option value=b></datalist></form>", "<button>Go", "<svg><path d=x>", "<object>", "<noscript>No", "<div><iframe>x</div>", "<select><option>x</select>", "<template><article>No</article></template>"])
 def test_html_unclosed(before):
     page = f"<body>{before}<article><p>One <button>x</button>two</p><select><option>y<option>z</select>three</article><div>Four<svg></div><p>Five</body>"
