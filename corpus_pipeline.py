@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again for the next one. All but the last return the columns
 of documents.
+
+Rows with nulls, empty or very long texts, ties and repeated rows are handled
+as the operators' docstrings say: a null text counts as empty, so ``quality``
+drops it; repeated rows leave one in ``exact``; an empty table stays empty; and
+further columns, whatever their names, come through to the last stage but one.
 """
 
 from __future__ import annotations
