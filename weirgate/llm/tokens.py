@@ -11,9 +11,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Runs between spaces whose ids a worker keeps, and the ids of them all; with more, it starts over.
-CACHE_RUNS, CACHE_IDS = 900_000, 8_000_000
-#: Bytes of texts that are encoded at once; one longer text is encoded alone.
-TEXT_BYTES = 8_000_000
+CACHE_RUNS, CACHE_IDS = 600_000, 4_000_000
+#: Bytes of texts that are encoded at once, and characters that the library gets in one call, which takes some hundred bytes for each; one longer text is encoded alone.
+TEXT_BYTES, CALL_CHARS = 3_000_000, 100_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -78,8 +78,15 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The library's ids of texts in a row, and their numbers."""
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.fromiter(chain.from_iterable(ids), dtype="<u4"), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        values, lengths, at = [np.zeros(0, "<u4")], np.zeros(len(texts), np.int64), 0
+        ends = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))
+        while at < len(texts):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CALL_CHARS, side="right")))
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts[at:upto], add_special_tokens=False)]
+            values.append(np.fromiter(chain.from_iterable(ids), dtype="<u4"))
+            lengths[at:upto] = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            at = upto
+        return np.concatenate(values), lengths
 
     def _slots(self, runs: list[str]) -> np.ndarray:
         """Which entries the runs have; new ones are learned."""
@@ -97,9 +104,10 @@ class Encoder:
         lists = pc.split_pattern(texts, " ")
         bounds = lists.offsets.to_numpy().astype(np.int64)
         bounds, coded = bounds - bounds[0], lists.flatten().dictionary_encode()
-        runs, token = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        runs, token = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy().astype(np.int64)
         heads = bounds[:-1]
-        odd_run = np.fromiter((not x or x[0].isspace() for x in runs), dtype=bool, count=len(runs))
+        head = pc.utf8_slice_codeunits(coded.dictionary, 0, 1)
+        odd_run = pc.or_(pc.equal(head, ""), pc.utf8_is_space(head)).to_numpy(zero_copy_only=False)
         odd_token = odd_run[token]
         odd_token[heads] = False
         odd = np.logical_or.reduceat(odd_token, heads)
@@ -107,18 +115,20 @@ class Encoder:
         in_rest = np.ones(len(token), dtype=bool)
         in_rest[heads] = False
         in_rest &= ~np.repeat(odd, np.diff(bounds))
-        wanted = np.unique(token[in_rest])
+        asked = np.zeros(len(runs), dtype=bool)
+        asked[token[in_rest]] = True
+        wanted = np.flatnonzero(asked)
         slot = np.zeros(len(runs), dtype=np.int64)
-        slot[wanted] = self._slots([runs[i] for i in wanted.tolist()])
-        first = [runs[i] for i in token[heads].tolist()]
+        slot[wanted] = self._slots(runs[wanted].tolist())
+        first = runs[token[heads]].tolist()
         for i in np.flatnonzero(odd).tolist():
             first[i] = texts[i].as_py()
         kept = self.n_entries, self.n_values
-        head = self._append(*self._encode(first))
+        opening = self._append(*self._encode(first))
         closing = self._append(np.array([end], dtype="<u4"), np.ones(1, np.int64))
         # Of each text the entries: the first one, the runs after it, the end.
         of_token = slot[token]
-        of_token[heads] = head + np.arange(len(heads))
+        of_token[heads] = opening + np.arange(len(heads))
         in_rest[heads] = True
         after = np.cumsum(np.add.reduceat(in_rest, heads, dtype=np.int64))
         entries = np.insert(of_token[in_rest], after, closing)
