@@ -73,7 +73,7 @@ def test_encoder_on_odd_texts(limit, monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_RUNS", 3)
     monkeypatch.setattr(tokens, "CALL_CHARS", limit)
     ids_of, e = brute_ids(), tokens.Encoder(tokens.vocabulary_path())
-    texts = ["", None, " ", "  a", "a  b", "a <|endoftext|> b", "x<|endoftext|>y z", "a\n", "a \n b", "\n\n x", "it's 'tis don't", "a b c  d", "é ü 12,5!! x ", "\x1c a \x1cb", "日本 語", "a\u00a0 b", "q" * 300 + " z"]
+    texts = ["", None, " ", "  a", "a  b", "a <|endoftext|> b", "x<|endoftext|>y z", "a\n", "a \n b", "\n\n x", "it's 'tis don't", "a b c  d", "é ü 12,5!! x ", "\x1c a \x1cb", "日本 語", "a\u00a0 b", "q" * 300 + " z", "One, two. (Three) a,b été! don't. x... y' é, 5, !, ,", "a, a, one, one. <|endoftext|>, b"]
     got = []
     for a, b, ids, n in e.encode(tokens.pa.array(texts), 7):
         ends = n.cumsum()

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Runs between spaces whose ids a worker keeps, and the ids of them all; with more, it starts over.
-CACHE_RUNS, CACHE_IDS = 600_000, 4_000_000
+CACHE_RUNS, CACHE_IDS = 750_000, 5_000_000
 #: Bytes of texts that are encoded at once, and characters that the library gets in one call, which takes some hundred bytes for each; one longer text is encoded alone.
 TEXT_BYTES, CALL_CHARS = 3_000_000, 100_000
 
