@@ -127,6 +127,18 @@ def test_near_groups(spark, docs):
     assert got == brute_components([(r["doc_id"], r["text"]) for r in every.collect()])
 
 
+@pytest.mark.parametrize(("small", "part"), [(32, 1024), (2, 3)])
+def test_near_groups_in_parts(spark, monkeypatch, small, part):
+    """Texts of the same passages with tails of their own, from far below the threshold to far above it."""
+    monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "PART", part)
+    passages = [" ".join(f"p{i}x{j}" for j in range(20)) for i in range(6)]
+    texts = [" ".join([*(passages[(k + i) % 6] for i in range(4)), *(f"t{k}y{j}" for j in range(k % 25))]) for k in range(90)]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_groups(made).collect()}
+    assert got == brute_components(enumerate(texts))
+
+
 def test_near_groups_of_odd_rows(odd, spark):
     assert near_dedup.near_groups(odd).count() == len(ODD)
     assert near_dedup.near_groups(odd.limit(0)).count() == 0

@@ -10,8 +10,10 @@ Equal sets are one class first. Within a bucket members are paired with a hub,
 not with each other; links merge labels, and only buckets with several labels
 go on. Small ones pair members of different labels. Members of large ones, as a
 frequent passage makes them, get new buckets: the rarest shingles of each set,
-as many as a linked pair cannot all differ in. So no group yields all its pairs,
-and none is cut short.
+as many as a linked pair cannot all differ in. Pairs are sought from the smaller
+set, whose own part of these shingles is shorter still, and members of a hot
+bucket are dealt over parts, so no task compares all of them. No bucket is cut
+short.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ REGISTERS, BAND, BASE, RATE = 128, 4, 1.02, 20.0
 ESTIMATE_FROM = 0.6
 #: Buckets up to this size pair all members of different labels.
 SMALL = 32
+#: Members of a bucket that one part of it holds; each part is compared with the whole bucket apart.
+PART = 1024
 #: Counters by which shingles of large buckets' members are ordered from rare to frequent, and tasks that fill a set of them.
 COUNTERS, COUNTING_TASKS = 65_536, 64
 #: Distinct words whose hash a worker keeps.
@@ -286,11 +290,20 @@ class _Matcher:
         return True
 
     def among(self, rows: DataFrame, mixed: DataFrame) -> None:
-        """Pair the members of different labels of some buckets."""
-        rows = rows.join(mixed.select("bucket"), "bucket")
-        other = rows.select("bucket", F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("left").alias("_left"), F.col("label").alias("_label"))
-        pairs = rows.join(other, "bucket").where((F.col("id") < F.col("_id")) & (F.col("label") != F.col("_label")) & self.may_link())
-        pairs = self.scratch.write(pairs.select(F.col("id").alias("a"), F.col("_id").alias("b")).distinct(), self.name("pairs"))
+        """Pair the members of different labels of some buckets.
+
+        The smaller set of a pair (at a tie the one with the smaller id) has as
+        many shingles from the shared one on as two sets of its size need in
+        common; the larger is in one of the bucket's parts.
+        """
+        parts = mixed.select("bucket", F.ceil(F.col("_size") / PART).cast("int").alias("_parts"))
+        rows = rows.join(parts, "bucket")
+        smaller = rows.where((100 + PERCENT) * F.col("left") >= 2 * PERCENT * F.col("n")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        part = F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int").alias("_part")
+        other = rows.select("bucket", part, F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("left").alias("_left"), F.col("label").alias("_label"))
+        in_order = (F.col("n") < F.col("_n")) | ((F.col("n") == F.col("_n")) & (F.col("id") < F.col("_id")))
+        pairs = smaller.join(other, ["bucket", "_part"]).where(in_order & (F.col("label") != F.col("_label")) & self.may_link())
+        pairs = self.scratch.write(pairs.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct(), self.name("pairs"))
         if not pairs.isEmpty():
             self.confirm(pairs)
 
