@@ -12,6 +12,7 @@ from weirgate.operators import baseline as B
 from weirgate.operators import contracts as C
 from weirgate.operators import identity as I
 from weirgate.operators import schema as S
+from weirgate.operators.neighbours import with_neighbour
 
 
 def test_null_fails_only_not_null(spark):
@@ -155,3 +156,27 @@ def test_entry_and_imports(spark):
 
     assert entry.entry(spark).count() == 6
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("later", [False, True])
+def test_neighbours_over_cells(spark, later):
+    """A hot entity, entities of one row, null entities and null times."""
+    r = random.Random(5)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(r.choice([None, 1, 1, 1, 2, 3 + i]), r.choice([None, start + datetime.timedelta(hours=r.randrange(200))]), i) for i in range(200)]
+    df = spark.createDataFrame(rows, "entity long, ts timestamp_ntz, tie long")
+    got = with_neighbour(df, "entity", ["ts", "tie"], F.struct("tie"), F.to_date("ts"), later)
+    got = {x["tie"]: x["_beside"] and x["_beside"]["tie"] for x in got.collect()}
+    ordered = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or start, x[2]), reverse=later)
+    want = {b[2]: a[2] if a is not None and a[0] == b[0] else None for a, b in zip([None, *ordered], ordered)}
+    assert got == want
+
+
+def test_history_of_odd_rows(spark):
+    day = datetime.datetime(2024, 1, 1)
+    at = [day + datetime.timedelta(hours=12 * k) for k in range(6)]
+    rows = [(1, at[0], 0, None), (1, at[1], 1, None), (1, at[2], 2, "a"), (1, at[4], 3, "a"), (1, at[5], 4, None), (2, at[3], 5, "b")]
+    df = spark.createDataFrame(rows, "user long, ts timestamp_ntz, n long, kind string")
+    got = {tuple(x) for x in I.attribute_history(df, "user", "ts", "kind", "n").collect()}
+    assert got == {(1, None, at[0], at[2]), (1, "a", at[2], at[5]), (1, None, at[5], None), (2, "b", at[3], None)}
+    assert I.attribute_history(df.limit(0), "user", "ts", "kind", "n").count() == 0

@@ -29,8 +29,9 @@ def rows():
     return rows
 
 
-@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.8, 0.9])
-def test_pairs_and_clusters(spark, rows, threshold):
+@pytest.mark.parametrize(("threshold", "part"), [(0.5, 1024), (0.7, 1024), (0.8, 1024), (0.9, 1024), (0.5, 2), (0.8, 3)])
+def test_pairs_and_clusters(spark, rows, threshold, part, monkeypatch):
+    monkeypatch.setattr(I, "_PART", part)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     sets = brute_sets(rows)
     by_set: dict = {}

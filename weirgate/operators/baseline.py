@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .neighbours import with_neighbour
+
 
 def rollup(df: DataFrame, entity: str, ts: str, period: str, metric: str) -> DataFrame:
     """``entity, period, n, total`` by tumbling period; money is summed as decimal."""
@@ -103,9 +105,10 @@ def drift(before: DataFrame, after: DataFrame, entity: str, metric: str, width:
 
 
 def silence(df: DataFrame, entity: str, ts: str, tie: str, seconds: int) -> DataFrame:
-    """``entity, last_seen, seen_again``: gaps between reports longer than ``seconds``."""
-    w = Window.partitionBy(entity).orderBy(ts, tie)
-    gaps = df.select(entity, F.lag(ts).over(w).alias("last_seen"), F.col(ts).alias("seen_again"))
+    """``entity, last_seen, seen_again``: gaps between reports longer than ``seconds``. A hot entity is sorted by days."""
+    rows = df.select(F.col(entity).alias("entity"), F.col(ts).alias("ts"), F.col(tie).alias("tie"))
+    gaps = with_neighbour(rows, "entity", ["ts", "tie"], F.struct("ts"), F.to_date("ts"))
+    gaps = gaps.select(F.col("entity").alias(entity), F.col("_beside.ts").alias("last_seen"), F.col("ts").alias("seen_again"))
     return gaps.where(F.col("seen_again") > F.col("last_seen") + F.expr(f"interval {seconds} seconds"))
 
 

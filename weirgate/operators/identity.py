@@ -7,9 +7,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import URL_RULES, canonical_key, content_digest, record_id  # noqa: F401
+from .neighbours import with_neighbour
 
 #: Keeps rounding from making a bound on counts of shingles too strict.
 _SLACK = 1e-6
+#: Sets with a common shingle that one part of them holds; each part is compared with all of them apart.
+_PART = 1024
 
 
 def exact_groups(df: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
@@ -48,16 +51,23 @@ def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     Sets are ordered from the rarest shingle on; two that reach the threshold
     share a shingle of their first ones, so many that the rest alone is too
     few, and from the first shared one on both still hold as many as they must
-    have in common.
+    have in common. The smaller of two sets then holds as many as two sets of
+    its size need; the larger is in one part of those with a hot shingle.
     """
     grams = sets.select("id", F.explode("s").alias("g"))
     seen = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     ordered = grams.join(seen, "g").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("s")).withColumn("size", F.size("s"))
     first = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - _SLACK).cast("int") + 1
-    rare = ordered.select("id", "size", F.posexplode(F.slice("s", F.lit(1), first)).alias("at", "v")).where("v.n > 1").select(F.col("v.g").alias("g"), "id", "size", (F.col("size") - F.col("at")).alias("left"))
-    left, right = (rare.select("g", F.col("id").alias(k), F.col("size").alias(f"size_{k}"), F.col("left").alias(f"left_{k}")) for k in "xy")
-    common = F.lit(threshold / (1 + threshold)) * (F.col("size_x") + F.col("size_y")) - _SLACK
-    return left.join(right, "g").where((F.col("x") < F.col("y")) & (F.least("left_x", "left_y") >= common)).select("x", "y").distinct()
+    rare = ordered.select("id", "size", F.posexplode(F.slice("s", F.lit(1), first)).alias("at", "v")).where("v.n > 1")
+    parts = F.ceil(F.col("v.n") / _PART).cast("int")
+    rare = rare.select(F.col("v.g").alias("g"), "id", "size", (F.col("size") - F.col("at")).alias("left"), parts.alias("parts"))
+    share = threshold / (1 + threshold)
+    smaller = rare.where(F.col("left") >= F.lit(2 * share) * F.col("size") - _SLACK).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    larger = rare.select("g", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("_id"), F.col("size").alias("_size"), F.col("left").alias("_left"))
+    in_order = (F.col("size") < F.col("_size")) | ((F.col("size") == F.col("_size")) & (F.col("id") < F.col("_id")))
+    common = F.lit(share) * (F.col("size") + F.col("_size")) - _SLACK
+    pairs = smaller.join(larger, ["g", "part"]).where(in_order & (F.least("left", "_left") >= common))
+    return pairs.select(F.least("id", "_id").alias("x"), F.greatest("id", "_id").alias("y")).distinct()
 
 
 def match_candidates(df: DataFrame, id_col: str, text: str, threshold: float = 0.8) -> DataFrame:
@@ -126,8 +136,13 @@ def update_crosswalk(previous: DataFrame, new: DataFrame) -> DataFrame:
     return new.join(named, "cluster_id").select("id", "stable_id", "change")
 
 
-def attribute_history(df: DataFrame, entity: str, ts: str, attr: str, tie: str) -> DataFrame:
-    """``entity, value, valid_from, valid_to``: runs of one value, in order of time and ``tie``; an open end is null."""
-    w = Window.partitionBy(entity).orderBy(ts, tie)
-    changed = df.select(entity, ts, tie, F.col(attr).alias("value"), F.lag(attr).over(w).alias("_was"), F.row_number().over(w).alias("_n")).where((F.col("_n") == 1) | ~F.col("value").eqNullSafe(F.col("_was")))
-    return changed.select(entity, "value", F.col(ts).alias("valid_from"), F.lead(ts).over(w).alias("valid_to"))
+def attribute_history(df: DataFrame, entity: str, ts: str, attr: str, tie: str, cell: Column | None = None) -> DataFrame:
+    """``entity, value, valid_from, valid_to``: runs of one value, in order of time and ``tie``; an open end is null.
+
+    A hot entity is sorted by cells of time: days, or ``cell`` where ``ts`` is no date or timestamp.
+    """
+    rows = df.select(F.col(entity).alias("entity"), F.col(ts).alias("ts"), F.col(tie).alias("tie"), F.col(attr).alias("value"), (F.to_date(ts) if cell is None else cell).alias("day"))
+    rows = with_neighbour(rows, "entity", ["ts", "tie"], F.struct("value"), F.col("day"))
+    changed = rows.where(F.col("_beside").isNull() | ~F.col("value").eqNullSafe(F.col("_beside.value"))).drop("_beside")
+    ends = with_neighbour(changed, "entity", ["ts", "tie"], F.struct("ts"), F.col("day"), later=True)
+    return ends.select(F.col("entity").alias(entity), "value", F.col("ts").alias("valid_from"), F.col("_beside.ts").alias("valid_to"))
