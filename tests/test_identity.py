@@ -11,14 +11,14 @@ def brute_sets(rows):
     sets = {}
     for i, text in rows:
         w = text.lower().split()
-        sets[i] = frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)]) if w else frozenset()
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)]) if w else frozenset()
     return {i: s for i, s in sets.items() if s}
 
 
 @pytest.fixture(scope="module")
 def rows():
     pick = random.Random(7)
-    rows = [(1, "Yes"), (2, "yes"), (3, "a b"), (4, "A  b"), (5, "a c"), (6, ""), (7, " "), (8, "a b c")]
+    rows = [(1, "Yes"), (2, "yes"), (3, "a b"), (4, "A  b"), (5, "a c"), (6, ""), (7, " "), (8, "a b c"), (9, "a b c d e"), (10, "A b c  d e")]
     for k in range(12):
         base = [f"w{pick.randrange(60)}" for _ in range(pick.choice([4, 12, 40, 90]))]
         for m in range(6):
@@ -29,7 +29,7 @@ def rows():
     return rows
 
 
-@pytest.mark.parametrize(("threshold", "part"), [(0.5, 1024), (0.7, 1024), (0.8, 1024), (0.9, 1024), (0.5, 2), (0.8, 3)])
+@pytest.mark.parametrize(("threshold", "part"), [(0.5, 1024), (0.75, 1024), (0.8, 1024), (0.9, 1024), (0.5, 2), (0.75, 3)])
 def test_pairs_and_clusters(spark, rows, threshold, part, monkeypatch):
     monkeypatch.setattr(I, "_PART", part)
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.keys import URL_RULES, canonical_key, content_digest, record_id  # noqa: F401
 from .neighbours import with_neighbour
 
+#: Words of a shingle, and the similarity from which two texts match.
+SHINGLE, THRESHOLD = 5, 0.75
 #: Keeps rounding from making a bound on counts of shingles too strict.
 _SLACK = 1e-6
 #: Sets with a common shingle that one part of them holds; each part is compared with all of them apart.
@@ -21,7 +23,7 @@ def exact_groups(df: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
     return df.groupBy(digest.alias("digest")).agg(F.min(id_col).alias("id"), F.count(F.lit(1)).alias("n"))
 
 
-def shingle_sets(df: DataFrame, id_col: str, text: str, n: int = 3) -> DataFrame:
+def shingle_sets(df: DataFrame, id_col: str, text: str, n: int = SHINGLE) -> DataFrame:
     """``id, g``: distinct n-word shingles of a text; a text of fewer words is one shingle, one without words has none."""
     words = df.select(F.col(id_col).alias("id"), F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda x: x != "").alias("_w"))
     grams = NGram(n=n, inputCol="_w", outputCol="_g").transform(words)
@@ -70,7 +72,7 @@ def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.select(F.least("id", "_id").alias("x"), F.greatest("id", "_id").alias("y")).distinct()
 
 
-def match_candidates(df: DataFrame, id_col: str, text: str, threshold: float = 0.8) -> DataFrame:
+def match_candidates(df: DataFrame, id_col: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
     """``x, y`` with ``x < y``: all pairs that may reach the threshold.
 
     Equal shingle sets are one class. Its smallest id stands for it in pairs
@@ -81,7 +83,7 @@ def match_candidates(df: DataFrame, id_col: str, text: str, threshold: float = 0
     return _prefix_pairs(sets, threshold).unionByName(_members(classes, sets))
 
 
-def match_pairs(df: DataFrame, id_col: str, text: str, threshold: float) -> DataFrame:
+def match_pairs(df: DataFrame, id_col: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
     """``x, y, jaccard``: pairs of representatives confirmed on their full shingle sets, and each other member of a class with its representative."""
     classes = _classes(df, id_col, text).checkpoint()
     sets = _representatives(classes)

@@ -227,16 +227,16 @@ def _spread(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism)
 
 
-# Distinct 3-word shingles of texts, classes of equal sets and their representatives; all pairs that share a shingle are counted.
+# Distinct 5-word shingles of texts, classes of equal sets and their representatives; all pairs that share a shingle are counted.
 _CLASSES = """w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
-q AS (SELECT id, CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END AS g FROM w WHERE len(w) > 0),
+q AS (SELECT id, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END AS g FROM w WHERE len(w) > 0),
 c AS (SELECT id, list_sort(list_distinct(g)) AS s FROM q),
 r AS (SELECT s, min(id) AS id, len(s) AS size FROM c GROUP BY s),
 m AS (SELECT r.id AS x, c.id AS y FROM c JOIN r USING (s) WHERE r.id < c.id),
 g AS (SELECT id, size, unnest(s) AS g FROM r)"""
 _ALL_PAIRS = _CLASSES + """,
 p AS (SELECT a.id AS x, b.id AS y, count(*) / (any_value(a.size) + any_value(b.size) - count(*)) AS jaccard FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
-pairs AS (SELECT x, y, jaccard FROM p WHERE jaccard >= 0.8 UNION ALL SELECT x, y, 1.0::DOUBLE FROM m)"""
+pairs AS (SELECT x, y, jaccard FROM p WHERE jaccard >= 0.75 UNION ALL SELECT x, y, 1.0::DOUBLE FROM m)"""
 
 
 def _clusters_sql(name: str, pairs: str) -> str:
@@ -247,8 +247,8 @@ def _clusters_sql(name: str, pairs: str) -> str:
 
 @query(f"""WITH {_CLASSES}, n AS (SELECT g, count(*) AS n FROM g GROUP BY g),
 o AS (SELECT id, size, g, n, row_number() OVER (PARTITION BY id ORDER BY n, g) - 1 AS place FROM g JOIN n USING (g)),
-f AS (SELECT g, id, size, size - place AS left_ FROM o WHERE place < size - ceil(0.8::DOUBLE * size - 1e-6) + 1 AND n > 1)
-SELECT DISTINCT a.id AS x, b.id AS y FROM f a JOIN f b ON a.g = b.g AND a.id < b.id WHERE least(a.left_, b.left_) >= 0.8::DOUBLE / 1.8 * (a.size + b.size) - 1e-6 UNION ALL SELECT x, y FROM m""")
+f AS (SELECT g, id, size, size - place AS left_ FROM o WHERE place < size - ceil(0.75::DOUBLE * size - 1e-6) + 1 AND n > 1)
+SELECT DISTINCT a.id AS x, b.id AS y FROM f a JOIN f b ON a.g = b.g AND a.id < b.id WHERE least(a.left_, b.left_) >= 0.75::DOUBLE / 1.75 * (a.size + b.size) - 1e-6 UNION ALL SELECT x, y FROM m""")
 def i3_match_candidates(spark, sf):
     fresh(spark, "i3")
     return I.match_candidates(_spread(spark, sf), "doc_id", "text")
@@ -257,13 +257,13 @@ def i3_match_candidates(spark, sf):
 @query(f"WITH {_ALL_PAIRS} SELECT x, y, jaccard FROM pairs")
 def i4_match_pairs(spark, sf):
     fresh(spark, "i4")
-    return I.match_pairs(_spread(spark, sf), "doc_id", "text", 0.8)
+    return I.match_pairs(_spread(spark, sf), "doc_id", "text")
 
 
 @query(f"WITH RECURSIVE {_ALL_PAIRS}, {_clusters_sql('k', 'SELECT x, y FROM pairs')} SELECT id, cluster_id FROM k")
 def i5_clusters(spark, sf):
     fresh(spark, "i5")
-    return I.clusters(I.match_pairs(_spread(spark, sf), "doc_id", "text", 0.8))
+    return I.clusters(I.match_pairs(_spread(spark, sf), "doc_id", "text"))
 
 
 @query("SELECT c_nationkey, c_custkey, c_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) WHERE r = 1")
@@ -276,7 +276,7 @@ j AS (SELECT new.cluster_id, min(old.cluster_id) AS o, count(DISTINCT old.cluste
 SELECT id, coalesce(o, cluster_id) AS stable_id, CASE WHEN o IS NULL THEN 'new' WHEN n > 1 THEN 'merge' ELSE 'same' END AS change FROM new JOIN j USING (cluster_id)""")
 def i7_update_crosswalk(spark, sf):
     fresh(spark, "i7")
-    pairs = I.match_pairs(_spread(spark, sf), "doc_id", "text", 0.8).checkpoint()
+    pairs = I.match_pairs(_spread(spark, sf), "doc_id", "text").checkpoint()
     before = I.clusters(pairs.where("jaccard >= 0.9")).select("id", F.col("cluster_id").alias("stable_id"))
     return I.update_crosswalk(before, I.clusters(pairs))
 
