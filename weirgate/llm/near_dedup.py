@@ -41,7 +41,7 @@ PART = 1024
 #: Counters by which shingles of large buckets' members are ordered from rare to frequent, and tasks that fill a set of them.
 COUNTERS, COUNTING_TASKS = 65_536, 64
 #: Distinct words whose hash a worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 
 _word_hashes: dict[bytes, int] = {}
 _rng = np.random.default_rng(20_240_229)
