@@ -61,7 +61,7 @@ class Encoder:
         self.runs: dict[str, int] = {}
         # Entries and their ids, with room for more at the end.
         self.n_entries, self.n_values = 0, 0
-        self.starts, self.lengths, self.values = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.starts, self.lengths, self.values = np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, "<u4")
 
     def _append(self, values: np.ndarray, lengths: np.ndarray) -> int:
         """Add entries; the place of the first."""
@@ -132,7 +132,7 @@ class Encoder:
         in_rest[heads] = True
         after = np.cumsum(np.add.reduceat(in_rest, heads, dtype=np.int64))
         entries = np.insert(of_token[in_rest], after, closing)
-        n_ids = self.lengths[entries]
+        n_ids = self.lengths[entries].astype(np.int64)
         ids = self.values[gather(self.starts[entries], n_ids)]
         self.n_entries, self.n_values = kept
         last = np.cumsum(n_ids)[after + np.arange(len(after))]
