@@ -10,6 +10,7 @@ from .mixing import OP8_SQL, op8_mix_sources
 from .near_dedup import op2_near_dedup
 from .packing import op4_best_fit_packing
 from .quality import op5_quality_rules
+from .runs import op13_periodic_runs
 from .token_files import op1_token_files
 from .warc import op7_warc
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_html_text": op9_html_text,
     "op10_language_id": op10_language_id,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": run,
 }
 ORACLES = {
