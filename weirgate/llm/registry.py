@@ -13,6 +13,7 @@ from .quality import op5_quality_rules
 from .runs import op13_periodic_runs
 from .token_files import op1_token_files
 from .warc import op7_warc
+from .whitening import op12_whitening
 
 QUERIES = {
     "op1_token_files": op1_token_files,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_html_text": op9_html_text,
     "op10_language_id": op10_language_id,
+    "op12_whitening": op12_whitening,
     "op13_periodic_runs": op13_periodic_runs,
     "pipeline": run,
 }
