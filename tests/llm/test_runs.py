@@ -88,7 +88,7 @@ def test_query_of_odd_rows(spark, tmp_path):
 
 
 def test_collapse_keeps_columns(spark):
-    df = spark.createDataFrame([(*x, 3, "r", "é") for x in ODD[:6]], "doc_id long, text string, period int, runs string, _row string")
+    df = spark.createDataFrame([(*x, 3, "r", "é", 1) for x in ODD[:6]], "doc_id long, text string, period int, runs string, _row string, `a.b` int")
     got = runs.collapse_runs(df).collect()
     assert [(r["doc_id"], r["text"], r["period"], r["_row"]) for r in got] == [(*x, 3, "é") for x in ODD[:6]]
     assert [[tuple(x) for x in r["runs"]] for r in got] == [[(1, 8, 2)], [(1, 8, 2)], [], [(0, 6, 1)], [], []]

@@ -57,7 +57,7 @@ def test_query(spark, sf):
 
 
 def test_odd_rows(spark):
-    df = spark.createDataFrame([(*x, "w", 1.5) for x in ODD], "vec_id long, embedding array<double>, whitened string, _v double")
+    df = spark.createDataFrame([(*x, "w", 1.5, 1) for x in ODD], "vec_id long, embedding array<double>, whitened string, _v double, `a.b` int")
     model = whitening.fit(df, "embedding", Scratch(spark, "t12"), 2)
     assert (model.n, model.size, len(model.values)) == (7, 3, 2)
     got = sorted((r["vec_id"] or 0, r["_v"], len(r["whitened"]), r["deviation"]) for r in whitening.whiten(df, "embedding", model).collect())

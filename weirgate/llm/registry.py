@@ -12,6 +12,7 @@ from .packing import op4_best_fit_packing
 from .quality import op5_quality_rules
 from .runs import op13_periodic_runs
 from .token_files import op1_token_files
+from .suffix_dedup import op11_repeated_passages
 from .warc import op7_warc
 from .whitening import op12_whitening
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_html_text": op9_html_text,
     "op10_language_id": op10_language_id,
+    "op11_repeated_passages": op11_repeated_passages,
     "op12_whitening": op12_whitening,
     "op13_periodic_runs": op13_periodic_runs,
     "pipeline": run,

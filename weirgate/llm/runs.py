@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tokens import by_bytes, gather
 
@@ -33,7 +34,7 @@ TIMES, LEAST = 4, 6
 _SHORT = 8
 _MIX, _TURN = np.uint64(0x9E3779B97F4A7C15), np.array([0xD6E8FEB86659FD93], np.uint64)
 
-_RUNS = "array<struct<start: bigint, length: bigint, period: bigint>>"
+_RUNS = T.ArrayType(T.StructType().add("start", "long").add("length", "long").add("period", "long"))
 
 
 def split_rare(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,8 +198,7 @@ def collapse_runs(docs: DataFrame, text: str = "text") -> DataFrame:
 
     others = [c for c in docs.columns if c not in ("runs", "collapsed")]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("_row"), F.col(f"`{text}`").cast("string").alias("_text"))
-    kind = rows.schema["_row"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"_row {kind}, runs {_RUNS}, collapsed string")
+    out = rows.mapInArrow(run, T.StructType().add(rows.schema["_row"]).add("runs", _RUNS).add("collapsed", "string"))
     return out.select("_row.*", "runs", "collapsed")
 
 

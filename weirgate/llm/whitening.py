@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import Scratch
 
@@ -233,7 +234,7 @@ def whiten(vectors: DataFrame, column: str, model: Whitening) -> DataFrame:
 
     others = [c for c in vectors.columns if c not in ("whitened", "deviation")]
     rows = vectors.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("_row"), F.col(f"`{column}`").cast("array<double>").alias("_v"))
-    out = rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, whitened array<double>, deviation bigint")
+    out = rows.mapInArrow(run, T.StructType().add(rows.schema["_row"]).add("whitened", T.ArrayType(T.DoubleType())).add("deviation", "long"))
     return out.select("_row.*", "whitened", "deviation")
 
 
