@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import URL_RULES, canonical_key, content_digest, record_id  # noqa: F401
+from .components import components
 from .neighbours import with_neighbour
 
 #: Words of a shingle, and the similarity from which two texts match.
@@ -96,17 +97,8 @@ def match_pairs(df: DataFrame, id_col: str, text: str, threshold: float = THRESH
 
 
 def clusters(pairs: DataFrame) -> DataFrame:
-    """``id, cluster_id``: components of ``pairs(x, y)``, named by their smallest member."""
-    edges = pairs.select("x", "y").unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct().checkpoint()
-    labels = edges.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("_m")).select("id", F.least("id", "_m").alias("cluster_id")).checkpoint()
-    while True:
-        near = edges.join(labels.select(F.col("id").alias("y"), "cluster_id"), "y").groupBy(F.col("x").alias("id")).agg(F.min("cluster_id").alias("_near"))
-        low = labels.join(near, "id").select("id", F.col("cluster_id").alias("_was"), F.least("cluster_id", "_near").alias("_low"))
-        jump = labels.select(F.col("id").alias("_low"), F.col("cluster_id").alias("_next"))
-        new = low.join(jump, "_low").select("id", "_was", F.least("_low", "_next").alias("cluster_id")).checkpoint()
-        labels = new.select("id", "cluster_id")
-        if new.where("cluster_id < _was").isEmpty():
-            return labels
+    """``id, cluster_id``: components of ``pairs(x, y)``, named by their smallest member; the turns this takes grow with the logarithm of the largest."""
+    return components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("id"), F.col("label").alias("cluster_id"))
 
 
 def golden_record(df: DataFrame, cluster: str, order: list[Column], id_col: str) -> DataFrame:
