@@ -15,8 +15,10 @@ one, and a stretch of strings with one anchor is one row:
    bytes, and a task sorts their suffixes. Previous and next smaller positions
    in that order give each suffix's longest previous factor, and the same from
    the other side the longest next one, up to ``least`` bytes.
-4. An anchor with very many classes is dealt over parts; suffixes that are
-   alone in their part meet those of other parts by 128-bit digests.
+4. An anchor with very many classes is dealt over parts. Each part names its
+   different strings by 128-bit digests, in blocks of strings at neighbouring
+   distances from the anchor; only blocks whose common bytes other parts have
+   too are unpacked, and their strings meet by their digests.
 
 With ``keep_first`` only places with an earlier match go, in order of
 ``doc_id``; otherwise all.
@@ -42,9 +44,12 @@ LEAST, PART, TEXT_BYTES, SORT_BYTES = 400, 1024, 1_000_000, 800_000
 _PLACE = np.uint64((1 << 21) - 1)  # room for a place in a piece of text; the rest of 64 bits orders grams
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
-_ANCHORS = "h bigint, d binary, r binary, doc_id bigint, n bigint, lo int, hi int, more array<int>"
-_STRETCHES = "h bigint, part int, parts int, r binary, doc_id bigint, lo int, n bigint, body binary"
-_FOUND = "kind int, r binary, doc_id bigint, lo int, hi int, d binary, n bigint"
+#: Strings of a block, at most; they need some bytes in common.
+BLOCK = 16
+
+_ANCHORS = "h bigint, d binary, r binary, doc_id bigint, n bigint, lo int, hi int, at int, more array<int>"
+_STRETCHES = "h bigint, part int, parts int, r binary, doc_id bigint, lo int, at int, n bigint, body binary"
+_FOUND = "r binary, doc_id bigint, part int, lo int, hi int, d binary, strings array<struct<lo: int, d: binary, n: bigint>>"
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,9 +140,9 @@ def anchors(rows: DataFrame, least: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(anchor[rows].view(np.int64)), pa.array([digests[k] for k in rows], pa.binary()), batch.column("r").take(of), batch.column("doc_id").take(of),
-                        pa.array([times[k] for k in rows], pa.int64()), pa.array([from_[k] for k in rows], pa.int32()), pa.array([to[k] for k in rows], pa.int32()), pa.array([more.get(k) for k in rows], pa.list_(pa.int32())),
+                        pa.array([times[k] for k in rows], pa.int64()), pa.array([from_[k] for k in rows], pa.int32()), pa.array([to[k] for k in rows], pa.int32()), pa.array((at - lo)[rows].astype(np.int32)), pa.array([more.get(k) for k in rows], pa.list_(pa.int32())),
                     ],
-                    names=["h", "d", "r", "doc_id", "n", "lo", "hi", "more"],
+                    names=["h", "d", "r", "doc_id", "n", "lo", "hi", "at", "more"],
                 )
 
     return rows.mapInArrow(run, _ANCHORS)
@@ -197,7 +202,8 @@ def previous_factors(position: np.ndarray, shared: np.ndarray) -> np.ndarray:
 
 
 def _sort_stretches(rows: DataFrame, least: int, keep_first: bool) -> DataFrame:
-    """Repeated places of the stretches of anchors, as ``kind`` 0; of anchors in several parts, each part's different strings, as ``kind`` 1."""
+    """Repeated places of the stretches of anchors, and of anchors in several parts each part's different strings, in blocks; ``d``, null else, names a block's common bytes."""
+    block = max(1, min(BLOCK, least // 4))
 
     def some(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         # Of equal rows in different tasks each gave its stretches.
@@ -227,21 +233,33 @@ def _sort_stretches(rows: DataFrame, least: int, keep_first: bool) -> DataFrame:
         begin = np.flatnonzero(edge)
         end = np.append(begin[1:], len(at)) - 1
         begin, end = begin[hit[begin]], end[hit[begin]]
-        found = [np.zeros(len(begin), np.int32), of[begin], place[begin], place[end], [None] * len(begin), np.zeros(len(begin), np.int64)]
+        rows = [(k, a, b, None, None) for k, a, b in zip(of[begin].tolist(), place[begin].tolist(), place[end].tolist(), strict=True)]
         if split.any():
-            # One row for each string of a part: its earliest place, and how often the part has it.
+            # Each string of a part once: its earliest place, and how often the part has it.
             group = np.concatenate(([0], np.cumsum(~shared)))
             lead = np.flatnonzero(~earlier & split[of[order]])
             total = np.bincount(group, weights=times[of[order]])[group[lead]].astype(np.int64)
-            held, where = memoryview(data), order[lead]
-            digests = [hashlib.blake2b(held[x : x + least], digest_size=16).digest() for x in at[where].tolist()]
-            more = [np.ones(len(lead), np.int32), of[where], place[where], place[where], digests, total]
-            found = [x + y if isinstance(x, list) else np.concatenate((x, y)) for x, y in zip(found, more, strict=True)]
-        if not len(found[0]):
+            where = order[lead]
+            back = batch.column("at").to_numpy()[of[where]] - (at - first[of])[where]
+            turn = np.lexsort((back, of[where]))
+            where, total, back = where[turn], total[turn], back[turn]
+            head = np.flatnonzero(np.concatenate(([True], (of[where][1:] != of[where][:-1]) | (back[1:] // block != back[:-1] // block)))[: len(where)])
+            held, hashed = memoryview(data), lambda x: hashlib.blake2b(x, digest_size=16).digest()
+            begins, places, totals = at[where].tolist(), place[where].tolist(), total.tolist()
+            for x, y in zip(head.tolist(), [*head[1:].tolist(), len(where)], strict=True):
+                nearest = begins[x] + int(back[x]) - int(back[x]) // block * block  # where the block's string next to the anchor starts
+                common = hashed(held[nearest : nearest - block + 1 + least])
+                strings = [{"lo": places[k], "d": hashed(held[begins[k] : begins[k] + least]), "n": totals[k]} for k in range(x, y)]
+                rows.append((int(of[where[x]]), None, None, common, strings))
+        if not rows:
             return None
-        kind, of, a, b, digest, n = found
-        of = pa.array(of)
-        return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), batch.column("r").take(of), ids.take(of), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(digest, pa.binary()), pa.array(n)], names=["kind", "r", "doc_id", "lo", "hi", "d", "n"])
+        which, a, b, common, strings = zip(*rows, strict=True)
+        which = pa.array(which)
+        kinds = pa.list_(pa.struct([("lo", pa.int32()), ("d", pa.binary()), ("n", pa.int64())]))
+        return pa.RecordBatch.from_arrays(
+            [batch.column("r").take(which), ids.take(which), batch.column("part").take(which), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(common, pa.binary()), pa.array(strings, kinds)],
+            names=["r", "doc_id", "part", "lo", "hi", "d", "strings"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -293,11 +311,11 @@ def repeated_places(rows: DataFrame, scratch: Scratch, least: int = LEAST, keep_
     shared = every.groupBy("h").agg(F.sum("n").alias("_n")).where("_n > 1").select("h")
     every = scratch.write(every.join(shared, "h", "left_semi"), "shared")
     scratch.drop("anchors")
-    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "r", "lo", "hi")).alias("first")
+    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "r", "lo", "hi", "at")).alias("first")
     classes = scratch.write(every.groupBy("d").agg(F.min("h").alias("h"), F.sum("n").alias("n"), first), "classes")
     groups = classes.groupBy("h").agg(F.count(F.lit(1)).alias("many"), F.min("n").alias("_least")).where("many > 1" if keep_first else "many > 1 AND _least = 1")
     parts = F.ceil(F.col("many") / PART).cast("int")
-    sought = classes.join(groups, "h").select("first.r", F.struct("h", F.pmod(F.xxhash64("d"), parts).cast("int").alias("part"), parts.alias("parts"), "first.lo", "first.hi", "n").alias("s"))
+    sought = classes.join(groups, "h").select("first.r", F.struct("h", F.pmod(F.xxhash64("d"), parts).cast("int").alias("part"), parts.alias("parts"), "first.lo", "first.hi", "first.at", "n").alias("s"))
     sought = sought.groupBy("r").agg(F.collect_list("s").alias("s"))
     found = scratch.write(_sort_stretches(_bodies(rows.join(sought, "r"), least), least, keep_first), "found")
 
@@ -307,12 +325,14 @@ def repeated_places(rows: DataFrame, scratch: Scratch, least: int = LEAST, keep_
     own = F.array(F.struct("lo", "hi"))
     spans = F.when((F.col("r") == F.col("_r")) & (F.col("lo") == F.col("_lo")), further).otherwise(F.concat(own, further)) if keep_first else F.concat(own, further)
     settled = members.select("r", F.inline(spans))
-    fine = found.where("kind = 0").select("r", "lo", "hi")
-    lone = found.where("kind = 1")
+    fine = found.where("d IS NULL").select("r", "lo", "hi")
+    blocks = found.where("d IS NOT NULL")
+    several = blocks.groupBy("d").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi")).where("_lo < _hi").select("d")
+    lone = scratch.write(blocks.join(several, "d", "left_semi").select("r", "doc_id", "part", F.inline("strings")), "lone")
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "r", "lo")
-    across = lone.groupBy("d").agg(F.sum("n").alias("_n"), F.min(order).alias("_first"), F.count(F.lit(1)).alias("_parts")).where("_n > 1 AND _parts > 1")
+    across = lone.groupBy("d").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_parts")).where("_parts > 1")
     gone = order != F.col("_first") if keep_first else F.col("n") == 1
-    apart = lone.join(across, "d").where(gone).select("r", "lo", "hi")
+    apart = lone.join(across, "d").where(gone).select("r", "lo", F.col("lo").alias("hi"))
     return settled.unionByName(fine).unionByName(apart).distinct().groupBy("r").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
@@ -329,10 +349,10 @@ def _bodies(rows: DataFrame, least: int) -> DataFrame:
                         continue
                     seen.add(r)
                     data = text.encode()
-                    out += [(s["h"], s["part"], s["parts"], r, doc_id, s["lo"], s["n"], data[s["lo"] : s["hi"] + least]) for s in sought]
+                    out += [(s["h"], s["part"], s["parts"], r, doc_id, s["lo"], s["at"], s["n"], data[s["lo"] : s["hi"] + least]) for s in sought]
                 for at in range(0, len(out), 2000):
-                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out[at : at + 2000], strict=True), kinds, strict=True)], names=["h", "part", "parts", "r", "doc_id", "lo", "n", "body"])
+                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out[at : at + 2000], strict=True), kinds, strict=True)], names=["h", "part", "parts", "r", "doc_id", "lo", "at", "n", "body"])
 
     return rows.select("r", "doc_id", "text", "s").mapInArrow(run, _STRETCHES)
 
