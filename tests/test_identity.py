@@ -5,6 +5,7 @@ import random
 import pytest
 
 from weirgate.operators import identity as I
+from weirgate.operators import similar
 
 
 def brute_sets(rows):
@@ -31,7 +32,7 @@ def rows():
 
 @pytest.mark.parametrize(("threshold", "part"), [(0.5, 1024), (0.75, 1024), (0.8, 1024), (0.9, 1024), (0.5, 2), (0.75, 3)])
 def test_pairs_and_clusters(spark, rows, threshold, part, monkeypatch):
-    monkeypatch.setattr(I, "_PART", part)
+    monkeypatch.setattr(similar, "_PART", part)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     sets = brute_sets(rows)
     by_set: dict = {}
@@ -47,3 +48,38 @@ def test_pairs_and_clusters(spark, rows, threshold, part, monkeypatch):
             label[x] = label[y] = min(label[x], label[y])
     linked = {i for pair in want for i in pair}
     assert {r["id"]: r["cluster_id"] for r in I.clusters(pairs).collect()} == {i: label[i] for i in linked}
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows of one id are texts of their own; the best of their pairs counts, and none is an id with itself."""
+    a, b, c = ("a b c d e f g h i j", "a b c d e f g h i k", "p q r s t u v w x y")
+    rows = [(1, a), (1, b), (2, b), (None, a), (3, None), (4, " "), (2, c), (5, c.upper()), (5, c), (None, None), (6, "a b c d e f g h i j l")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    texts = [(i, s) for i, t in rows if i and (s := brute_sets([(0, t or "")]).get(0))]
+    best: dict = {}
+    for i, s in texts:
+        for j, t in texts:
+            if i < j and (score := len(s & t) / len(s | t)) >= 0.75:
+                best[i, j] = max(best.get((i, j), 0), score)
+    got = {(r["x"], r["y"]): r["jaccard"] for r in I.match_pairs(df, "id", "text").collect()}
+    assert got == pytest.approx({(1, 2): 1.0, (2, 5): 1.0, (1, 6): 6 / 7})
+    assert set(got) <= set(best) and all(got[k] == pytest.approx(best[k]) for k in got)
+    label = {r["id"]: r["cluster_id"] for r in I.clusters(I.match_pairs(df, "id", "text")).collect()}
+    assert label == {1: 1, 2: 1, 5: 1, 6: 1} and {x for k in best for x in k} == set(label)
+    assert I.match_candidates(df.limit(0), "id", "text").count() == I.match_pairs(df.where("id IS NULL"), "id", "text").count() == 0
+    named = I.match_pairs(df.selectExpr("concat('k', id) AS id", "text"), "id", "text")
+    assert {(r["x"], r["y"]) for r in named.collect()} == {("k1", "k2"), ("k2", "k5"), ("k1", "k6")}
+
+
+def test_candidates_of_changed_copies(spark):
+    """Copies with so many changed words that none is similar: few of all pairs are candidates."""
+    pick, n = random.Random(1), 200
+    rows = []
+    for i in range(n):
+        words = [f"p{k}" for k in range(204)]
+        for k in pick.sample(range(204), 7):
+            words[k] = f"r{i}x{k}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "id long, text string")
+    assert I.match_candidates(df, "id", "text").count() * 20 < n * (n - 1) // 2
+    assert I.match_pairs(df, "id", "text").count() == 0

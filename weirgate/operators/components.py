@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import shared
+
 
 def _kept(df: DataFrame, name: str) -> DataFrame:
-    return df.checkpoint()
+    return shared.keep(df)
 
 
 def components(links: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = _kept) -> DataFrame:
@@ -22,7 +24,7 @@ def components(links: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = _
     turns grow with the logarithm of the largest component and the work is
     that of the first few. Then each node's ways are followed from the last
     turn back to the first. ``keep(df, name)`` cuts the lineage of a table;
-    ``checkpoint`` does where none is given.
+    Spark's checkpoint does where none is given.
 
     A link with a null end is left out, one of an id with itself makes it a
     node. No links give no rows.

@@ -79,7 +79,7 @@ def unique(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def references(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
     """Child rows whose key no parent has."""
-    return child.where(F.col(fk).isNotNull()).join(parent.select(F.col(pk).alias("_pk")).distinct(), F.col(fk) == F.col("_pk"), "left_anti")
+    return child.where(F.col(fk).isNotNull()).join(parent.select(F.col(pk).alias("_pk")), F.col(fk) == F.col("_pk"), "left_anti")
 
 
 def reconciles(parent: DataFrame, child: DataFrame, on: str, child_on: str, amount: str, part: Column, tol: float = 0.01) -> DataFrame:
@@ -126,13 +126,27 @@ def found_violations(rule_id: str, broken: DataFrame, key: Column, observed: Col
     return broken.select(F.lit(rule_id).alias("rule_id"), key.cast("string").alias("key"), observed.cast("string").alias("observed"))
 
 
-def found_summary(rule_id: str, checked: DataFrame, broken: DataFrame) -> DataFrame:
-    """A row as of ``contract_summary`` from the rows or groups that were checked and those that broke a rule."""
-    rows = checked.select(F.lit(0).alias("_b")).unionByName(broken.select(F.lit(1).alias("_b")))
-    counts = rows.agg(F.count_if(F.col("_b") == 0).alias("n_checked"), F.count_if(F.col("_b") == 1).alias("n_violations"))
+def _summary(rule_id: str, counts: DataFrame) -> DataFrame:
     return counts.select(F.lit(rule_id).alias("rule_id"), "n_checked", "n_violations", (F.col("n_violations") == 0).alias("passed"))
 
 
+def unique_summary(rule_id: str, df: DataFrame, keys: list[str]) -> DataFrame:
+    """A row as of ``contract_summary`` for ``unique``, in one scan: key groups, and those with more than one row."""
+    groups = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return _summary(rule_id, groups.agg(F.count(F.lit(1)).alias("n_checked"), F.count_if(F.col("n") > 1).alias("n_violations")))
+
+
+def references_summary(rule_id: str, child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
+    """A row as of ``contract_summary`` for ``references``, in one scan of each side: rows with a key, and those whose key no parent has.
+
+    Rows of both are counted by key, so a key goes through the shuffle once a task and no side is joined.
+    """
+    keys = child.select(F.col(fk).alias("_k"), F.lit(1).alias("_c"), F.lit(0).alias("_p")).unionByName(parent.select(F.col(pk).alias("_k"), F.lit(0).alias("_c"), F.lit(1).alias("_p")))
+    by = keys.where("_k IS NOT NULL").groupBy("_k").agg(F.sum("_c").alias("_c"), F.sum("_p").alias("_p"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return _summary(rule_id, by.agg(zero("_c").alias("n_checked"), zero(F.when(F.col("_p") == 0, F.col("_c"))).alias("n_violations")))
+
+
 def quarantine(df: DataFrame, rules: list[RowRule]) -> tuple[DataFrame, DataFrame]:
     """The rows that keep all rules, and the others with ``_reasons``."""
     marked = df.withColumn("_reasons", F.filter(F.array(*(F.when(r.broken(), F.lit(r.rule_id)) for r in rules)), lambda x: x.isNotNull()))

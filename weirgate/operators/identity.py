@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import NGram
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.keys import URL_RULES, canonical_key, content_digest, record_id  # noqa: F401
+from ..sources import versions
+from ..sources.shared import keep
 from .components import components
 from .neighbours import with_neighbour
-
-#: Words of a shingle, and the similarity from which two texts match.
-SHINGLE, THRESHOLD = 5, 0.75
-#: Keeps rounding from making a bound on counts of shingles too strict.
-_SLACK = 1e-6
-#: Sets with a common shingle that one part of them holds; each part is compared with all of them apart.
-_PART = 1024
-
+from .similar import match_candidates, match_pairs  # noqa: F401
 
 def exact_groups(df: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
     """``digest, id, n``: groups of equal content with the smallest id."""
@@ -24,102 +19,42 @@ def exact_groups(df: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
     return df.groupBy(digest.alias("digest")).agg(F.min(id_col).alias("id"), F.count(F.lit(1)).alias("n"))
 
 
-def shingle_sets(df: DataFrame, id_col: str, text: str, n: int = SHINGLE) -> DataFrame:
-    """``id, g``: distinct n-word shingles of a text; a text of fewer words is one shingle, one without words has none."""
-    words = df.select(F.col(id_col).alias("id"), F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda x: x != "").alias("_w"))
-    grams = NGram(n=n, inputCol="_w", outputCol="_g").transform(words)
-    short = F.size("_w").between(1, n - 1)
-    return grams.select("id", F.explode(F.when(short, F.array(F.array_join("_w", " "))).otherwise(F.array_distinct("_g"))).alias("g"))
-
-
-def _classes(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``id, class, s``: each text's sorted shingles and a digest of them."""
-    sets = shingle_sets(df, id_col, text).groupBy("id").agg(F.array_sort(F.collect_list("g")).alias("s"))
-    return sets.withColumn("class", F.sha2(F.array_join("s", "\u001e"), 256))
-
-
-def _representatives(classes: DataFrame) -> DataFrame:
-    """``class, id, s``: of equal sets, the smallest id."""
-    return classes.groupBy("class").agg(F.min_by("s", "id").alias("s"), F.min("id").alias("id"))
-
-
-def _members(classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """``x, y``: each further member of a class with its representative."""
-    return classes.select("class", F.col("id").alias("y")).join(sets.select("class", F.col("id").alias("x")), "class").where("x < y").select("x", "y")
-
-
-def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """``x, y``: pairs of representatives by an exact prefix filter.
-
-    Sets are ordered from the rarest shingle on; two that reach the threshold
-    share a shingle of their first ones, so many that the rest alone is too
-    few, and from the first shared one on both still hold as many as they must
-    have in common. The smaller of two sets then holds as many as two sets of
-    its size need; the larger is in one part of those with a hot shingle.
-    """
-    grams = sets.select("id", F.explode("s").alias("g"))
-    seen = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    ordered = grams.join(seen, "g").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("s")).withColumn("size", F.size("s"))
-    first = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - _SLACK).cast("int") + 1
-    rare = ordered.select("id", "size", F.posexplode(F.slice("s", F.lit(1), first)).alias("at", "v")).where("v.n > 1")
-    parts = F.ceil(F.col("v.n") / _PART).cast("int")
-    rare = rare.select(F.col("v.g").alias("g"), "id", "size", (F.col("size") - F.col("at")).alias("left"), parts.alias("parts"))
-    share = threshold / (1 + threshold)
-    smaller = rare.where(F.col("left") >= F.lit(2 * share) * F.col("size") - _SLACK).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    larger = rare.select("g", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("_id"), F.col("size").alias("_size"), F.col("left").alias("_left"))
-    in_order = (F.col("size") < F.col("_size")) | ((F.col("size") == F.col("_size")) & (F.col("id") < F.col("_id")))
-    common = F.lit(share) * (F.col("size") + F.col("_size")) - _SLACK
-    pairs = smaller.join(larger, ["g", "part"]).where(in_order & (F.least("left", "_left") >= common))
-    return pairs.select(F.least("id", "_id").alias("x"), F.greatest("id", "_id").alias("y")).distinct()
-
-
-def match_candidates(df: DataFrame, id_col: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
-    """``x, y`` with ``x < y``: all pairs that may reach the threshold.
-
-    Equal shingle sets are one class. Its smallest id stands for it in pairs
-    with other classes, and each other member is paired with that one.
-    """
-    classes = _classes(df, id_col, text).checkpoint()
-    sets = _representatives(classes)
-    return _prefix_pairs(sets, threshold).unionByName(_members(classes, sets))
-
-
-def match_pairs(df: DataFrame, id_col: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
-    """``x, y, jaccard``: pairs of representatives confirmed on their full shingle sets, and each other member of a class with its representative."""
-    classes = _classes(df, id_col, text).checkpoint()
-    sets = _representatives(classes)
-    pairs = _prefix_pairs(sets, threshold)
-    for side in "xy":
-        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("s").alias(f"s_{side}")), side)
-    common = F.size(F.array_intersect("s_x", "s_y"))
-    scored = pairs.select("x", "y", (common / (F.size("s_x") + F.size("s_y") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
-    return scored.unionByName(_members(classes, sets).withColumn("jaccard", F.lit(1.0)))
-
-
 def clusters(pairs: DataFrame) -> DataFrame:
     """``id, cluster_id``: components of ``pairs(x, y)``, named by their smallest member; the turns this takes grow with the logarithm of the largest."""
     return components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("id"), F.col("label").alias("cluster_id"))
 
 
 def golden_record(df: DataFrame, cluster: str, order: list[Column], id_col: str) -> DataFrame:
-    """One survivor a cluster: the largest in ``order``, then the smallest id."""
-    best = F.max_by(F.struct(*df.columns), F.struct(*order, (-F.col(id_col)).alias("_id")))
-    return df.groupBy(F.col(cluster).alias("_c")).agg(best.alias("_b")).select("_b.*")
+    """One survivor a cluster: the largest in ``order``, then the smallest id, of any type that has an order. A null ranks below all values, a null id behind all ids."""
+    ranked = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), F.col(f"`{cluster}`").alias("_c"), F.col(f"`{id_col}`").alias("_id"), F.struct(F.lit(0), *order).alias("_o"))
+    least = ranked.groupBy("_c", "_o").agg(F.min_by("_row", F.struct(F.col("_id").isNull(), "_id")).alias("_row"))
+    return least.groupBy("_c").agg(F.max_by("_row", "_o").alias("_row")).select("_row.*")
+
 
+def given_ids(*tables: DataFrame) -> DataFrame:
+    """``stable_id``: all that occur in crosswalks or registers before, each once."""
+    every = tables[0].select("stable_id")
+    for x in tables[1:]:
+        every = every.unionByName(x.select("stable_id"))
+    return every.where("stable_id IS NOT NULL").distinct()
 
-def update_crosswalk(previous: DataFrame, new: DataFrame) -> DataFrame:
+
+def update_crosswalk(previous: DataFrame, new: DataFrame, given: DataFrame | None = None) -> DataFrame:
     """``id, stable_id, change`` from the ids before and ``clusters`` now.
 
     A cluster takes the smallest id that its members had; if several clusters
     share that one (a split), the one with the smallest member keeps it. Others
     get their smallest member's number that never was a stable id, or where all
     were, a new one above all numbers in use. So no two clusters share an id.
+    ``given(stable_id)`` is the register of all ids ever given; with it none
+    that was retired comes again. Without it only ``previous`` is known.
     ``change`` is same, merge, split or new.
     """
+    used = given_ids(previous) if given is None else given_ids(previous, given)
+    used = used.withColumnRenamed("stable_id", "id")
     joined = new.join(previous.select("id", F.col("stable_id").alias("_old")), "id", "left")
     by = joined.groupBy("cluster_id").agg(F.min("_old").alias("_old"), F.count_distinct("_old").alias("_olds"))
     keeps = by.where("_old IS NOT NULL").groupBy("_old").agg(F.min("cluster_id").alias("cluster_id")).withColumn("_keeps", F.lit(True))
-    used = previous.select(F.col("stable_id").alias("id")).distinct()
     free = new.join(used, "id", "left_anti").groupBy("cluster_id").agg(F.min("id").alias("_free"))
     top = new.select("id").unionByName(used).agg(F.max("id").alias("_top"))
     low = new.agg(F.min("cluster_id").alias("_low"))
@@ -130,6 +65,25 @@ def update_crosswalk(previous: DataFrame, new: DataFrame) -> DataFrame:
     return new.join(named, "cluster_id").select("id", "stable_id", "change")
 
 
+def advance_crosswalk(path: str, new: DataFrame) -> DataFrame:
+    """The crosswalk stored in a folder, brought up to ``clusters`` now; ``id, stable_id, change`` as it was written.
+
+    The folder keeps the register of all ids ever given with each version of
+    the crosswalk, so both change together or not at all; an id that was retired
+    is never given again. The first turn starts from nothing.
+    """
+    spark = new.sparkSession
+    stored = versions.latest(spark, path, "crosswalk")
+    if stored is None:
+        kind = new.schema["id"].dataType
+        stored = spark.createDataFrame([], T.StructType().add("id", kind).add("stable_id", kind))
+    # A register's row has no member.
+    now = keep(update_crosswalk(stored.where("id IS NOT NULL"), new, stored))
+    retired = given_ids(stored).join(now.select("stable_id").distinct(), "stable_id", "left_anti")
+    versions.commit(now.select("id", "stable_id").unionByName(retired.select(F.lit(None).cast(now.schema["id"].dataType).alias("id"), "stable_id")), path, "crosswalk")
+    return now
+
+
 def attribute_history(df: DataFrame, entity: str, ts: str, attr: str, tie: str, cell: Column | None = None) -> DataFrame:
     """``entity, value, valid_from, valid_to``: runs of one value, in order of time and ``tie``; an open end is null.
 

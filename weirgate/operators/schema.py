@@ -2,27 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _no_errors() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _converted(value: Column, was: T.DataType, to: T.DataType, path: str) -> tuple[Column, Column]:
+    """The value in another type, and the paths within it where that failed; both for values that aren't null."""
+    if isinstance(was, T.StructType) and isinstance(to, T.StructType):
+        fields, errors = [], _no_errors()
+        for f in to.fields:
+            out, found = _field(value.getField(f.name) if f.name in was.names else None, was[f.name].dataType if f.name in was.names else None, f, f"{path}.{f.name}")
+            fields.append(out.alias(f.name))
+            errors = F.concat(errors, found)
+        return F.struct(*fields), errors
+    if isinstance(was, T.ArrayType) and isinstance(to, T.ArrayType):
+        item = T.StructField("", to.elementType, to.containsNull)
+        out = F.transform(value, lambda x: _field(x, was.elementType, item, f"{path}[]")[0])
+        return out, F.flatten(F.transform(value, lambda x: _field(x, was.elementType, item, f"{path}[]")[1]))
+    if isinstance(was, T.MapType) and isinstance(to, T.MapType) and was.keyType == to.keyType:
+        item = T.StructField("", to.valueType, to.valueContainsNull)
+        out = F.transform_values(value, lambda _, x: _field(x, was.valueType, item, f"{path}{{}}")[0])
+        return out, F.flatten(F.transform(F.map_values(value), lambda x: _field(x, was.valueType, item, f"{path}{{}}")[1]))
+    nested = (T.StructType, T.ArrayType, T.MapType)
+    if isinstance(was, nested) != isinstance(to, nested) and not isinstance(to, T.StringType) or isinstance(was, nested) and isinstance(to, nested) and type(was) is not type(to):
+        return F.lit(None).cast(to), F.array(F.lit(path))
+    out = value.try_cast(to)
+    return out, F.when(out.isNull(), F.array(F.lit(path))).otherwise(_no_errors())
+
+
+def _field(value: Column | None, was: T.DataType | None, f: T.StructField, path: str) -> tuple[Column, Column]:
+    """A field's value in its declared type, and the paths that failed; a null in a required field is one."""
+    missing = _no_errors() if f.nullable else F.array(F.lit(path))
+    if value is None or was is None:
+        return F.lit(None).cast(f.dataType), missing
+    out, errors = _converted(value, was, f.dataType, path)
+    return F.when(value.isNotNull(), out), F.when(value.isNull(), missing).otherwise(errors)
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """``df`` with the columns of ``schema``, in order and type, and ``_cast_errors``.
 
-    Missing columns are null and extra ones are dropped. A value that cannot be
-    cast becomes null and its column's name is listed in ``_cast_errors``.
+    Missing columns and fields are null and extra ones are dropped, at any depth
+    of structs, arrays and values of maps. A value that cannot be cast becomes
+    null and its path is listed once in ``_cast_errors``: ``a.b`` is a field,
+    ``a[]`` an element, ``a{}`` a map's value. So is the path of a null in a
+    column, field or element that ``schema`` says is never null; nothing is
+    asked below a null.
     """
-    out, errors = [], []
+    out, errors = [], _no_errors()
     for f in schema.fields:
-        if f.name in df.columns:
-            cast = F.col(f.name).try_cast(f.dataType)
-            out.append(cast.alias(f.name))
-            errors.append(F.when(F.col(f.name).isNotNull() & cast.isNull(), F.lit(f.name)))
-        else:
-            out.append(F.lit(None).cast(f.dataType).alias(f.name))
-    listed = F.filter(F.array(*errors), lambda x: x.isNotNull()) if errors else F.array().cast("array<string>")
-    return df.select(*out, listed.alias("_cast_errors"))
+        there = f.name in df.columns
+        value, found = _field(F.col(f"`{f.name}`") if there else None, df.schema[f.name].dataType if there else None, f, f.name)
+        out.append(value.alias(f.name))
+        errors = F.concat(errors, found)
+    return df.select(*out, F.array_distinct(errors).alias("_cast_errors"))
 
 
 def json_shape(df: DataFrame, col: str) -> DataFrame:
@@ -39,16 +77,21 @@ def json_shape(df: DataFrame, col: str) -> DataFrame:
     return keys.groupBy(F.col("key").alias("path"), named.alias("json_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def json_profile(df: DataFrame, col: str) -> DataFrame:
+    """``json_shape`` with ``n_rows``, the number of rows of ``df``; no keys give no rows."""
+    total = df.agg(F.count(F.lit(1)).alias("n_rows"))
+    return json_shape(df, col).crossJoin(F.broadcast(total))
+
+
 def shape_drift(before: DataFrame, after: DataFrame, factor: float = 0.5) -> DataFrame:
-    """Keys whose ``json_shape`` differs: ``path, change`` with added, removed, retyped or frequency.
+    """Keys whose ``json_profile`` differs: ``path, change`` with added, removed, retyped or frequency.
 
-    ``frequency`` is a key whose share of all keys changed by more than ``factor`` of the share before.
+    ``frequency`` is a key whose share of rows changed by more than ``factor`` of
+    the share before; other keys that come or go don't change it.
     """
 
     def shares(df: DataFrame, p: str) -> DataFrame:
-        total = df.agg(F.sum("n").alias("_all"))
-        by = df.groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("json_type")), ",").alias(f"{p}_types"), F.sum("n").alias("_n"))
-        return by.crossJoin(F.broadcast(total)).select("path", f"{p}_types", (F.col("_n") / F.col("_all")).alias(f"{p}_share"))
+        return df.groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("json_type")), ",").alias(f"{p}_types"), (F.sum("n") / F.max("n_rows")).alias(f"{p}_share"))
 
     both = shares(before, "b").join(shares(after, "a"), "path", "full")
     change = (
@@ -61,11 +104,15 @@ def shape_drift(before: DataFrame, after: DataFrame, factor: float = 0.5) -> Dat
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """``column, n_rows, n_nulls, n_distinct`` in one pass; texts go through the shuffle as digests of 16 bytes."""
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, (c, kind) in enumerate(df.dtypes):
-        value = F.unhex(F.md5(F.col(c).cast("binary"))) if kind in ("string", "binary") else F.col(c)
-        aggs += [F.count_if(F.col(c).isNull()).alias(f"_n{i}"), F.count_distinct(value).alias(f"_d{i}")]
-    one = df.agg(*aggs)
-    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.col("_rows").alias("n_rows"), F.col(f"_n{i}").alias("n_nulls"), F.col(f"_d{i}").alias("n_distinct")) for i, c in enumerate(df.columns)))
-    return one.select(F.inline(rows))
+    """``column, n_rows, n_nulls, n_distinct`` in one pass; an empty table has zeros.
+
+    Each row becomes a short row for each column, its number and two 64-bit
+    digests of the value. Tasks keep the distinct ones with their counts, so
+    only those go through the shuffle, and none of the values.
+    """
+    digests = [F.struct(F.lit(i).alias("i"), *(F.when(F.col(f"`{c}`").isNotNull(), F.xxhash64(F.lit(k), F.col(f"`{c}`"))).alias(f"h{k}") for k in (0, 1))) for i, c in enumerate(df.columns)]
+    values = df.select(F.inline(F.array(*digests))).groupBy("i", "h0", "h1").agg(F.count(F.lit(1)).alias("n"))
+    counts = values.groupBy("i").agg(F.sum("n").alias("_rows"), F.sum(F.when(F.col("h0").isNull(), F.col("n")).otherwise(0)).alias("_nulls"), F.count("h0").alias("_distinct"))
+    names = df.sparkSession.range(1).select(F.inline(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(c).alias("column")) for i, c in enumerate(df.columns)))))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    return names.join(F.broadcast(counts), "i", "left").select("column", zero(F.col("_rows")).alias("n_rows"), zero(F.col("_nulls")).alias("n_nulls"), zero(F.col("_distinct")).alias("n_distinct"))

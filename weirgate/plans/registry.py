@@ -64,13 +64,13 @@ def s2_json_shape(spark, sf):
 
 @query(f"""WITH b AS ({_shape_sql("SELECT props FROM events WHERE ts < TIMESTAMP '2024-01-22'")}),
 a AS ({_shape_sql("SELECT json_object('k', 'v' || event_id, 'extra', event_id) AS props FROM events WHERE ts >= TIMESTAMP '2024-01-22'")}),
-bs AS (SELECT path, string_agg(DISTINCT json_type, ',' ORDER BY json_type) AS types, sum(n) / (SELECT sum(n) FROM b) AS share FROM b GROUP BY 1),
-as_ AS (SELECT path, string_agg(DISTINCT json_type, ',' ORDER BY json_type) AS types, sum(n) / (SELECT sum(n) FROM a) AS share FROM a GROUP BY 1)
+bs AS (SELECT path, string_agg(DISTINCT json_type, ',' ORDER BY json_type) AS types, sum(n) / (SELECT count(*) FROM events WHERE ts < TIMESTAMP '2024-01-22') AS share FROM b GROUP BY 1),
+as_ AS (SELECT path, string_agg(DISTINCT json_type, ',' ORDER BY json_type) AS types, sum(n) / (SELECT count(*) FROM events WHERE ts >= TIMESTAMP '2024-01-22') AS share FROM a GROUP BY 1)
 SELECT * FROM (SELECT path, CASE WHEN bs.types IS NULL THEN 'added' WHEN as_.types IS NULL THEN 'removed' WHEN bs.types <> as_.types THEN 'retyped' WHEN abs(as_.share - bs.share) > 0.5 * bs.share THEN 'frequency' END AS change
 FROM bs FULL JOIN as_ USING (path)) WHERE change IS NOT NULL""")
 def s3_shape_drift(spark, sf):
     after = _scored(spark, sf).withColumn("props", F.expr("to_json(named_struct('k', concat('v', event_id), 'extra', event_id))"))
-    return S.shape_drift(S.json_shape(_train(spark, sf), "props"), S.json_shape(after, "props"))
+    return S.shape_drift(S.json_profile(_train(spark, sf), "props"), S.json_profile(after, "props"))
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_nulls, count(DISTINCT {c}) AS n_distinct FROM documents" for c in ("doc_id", "text", "lang", "source", "n_chars")))
@@ -191,8 +191,8 @@ UNION ALL SELECT 'line key', n, b, b = 0 FROM (SELECT count(*) AS n, count(*) FI
 UNION ALL SELECT 'line has an order', n, b, b = 0 FROM (SELECT count(l_orderkey) AS n, count(l_orderkey) FILTER (l_orderkey NOT IN (SELECT o_orderkey FROM orders)) AS b FROM lineitem)""")
 def c12_contract_summary(spark, sf):
     lines = table(spark, sf, "lineitem")
-    keys = C.found_summary("line key", lines.select("l_orderkey", "l_linenumber").dropna().distinct(), C.unique(lines, ["l_orderkey", "l_linenumber"]))
-    orders = C.found_summary("line has an order", lines.where("l_orderkey IS NOT NULL"), C.references(lines, "l_orderkey", table(spark, sf, "orders"), "o_orderkey"))
+    keys = C.unique_summary("line key", lines, ["l_orderkey", "l_linenumber"])
+    orders = C.references_summary("line has an order", lines, "l_orderkey", table(spark, sf, "orders"), "o_orderkey")
     return C.contract_summary(lines, _line_rules()).unionByName(keys).unionByName(orders)
 
 

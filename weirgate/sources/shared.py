@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,3 +27,9 @@ def shared_folder(spark: SparkSession) -> str:
 def fresh(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read from there, so that no later plan computes it again and lost executors lose none of it."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.baseline import score
 from ..operators.contracts import RowRule, violations
@@ -59,41 +61,67 @@ def stream_score(stream: DataFrame, baseline: DataFrame, entity: str, metric: st
 class _Silence(StatefulProcessor):
     """Keeps the last report of an entity; says so once when none follows in time."""
 
-    def __init__(self, entity: str, ts: str, seconds: int):
-        self.entity, self.ts, self.limit = entity, ts, seconds * 1_000_000  # microseconds, as Spark's timestamps
+    def __init__(self, keys: list[str], ts: str, seconds: int):
+        self.keys, self.ts, self.limit = keys, ts, seconds * 1_000_000  # microseconds, as Spark's timestamps
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at bigint, told boolean")
+        self.last = handle.getValueState("last", "at bigint, told boolean, timer bigint")
 
     def _out(self, key: Any, at: int) -> pd.DataFrame:
-        return pd.DataFrame({self.entity: [key[0]], "last_seen": [pd.Timestamp(at, unit="us")]})
+        return pd.DataFrame({**{k: [v] for k, v in zip(self.keys, key, strict=True)}, "last_seen": [pd.Timestamp(at, unit="us")]})
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        times = sorted(x.value // 1000 for pdf in rows for x in pdf[self.ts])
+        times = np.sort(np.concatenate([pdf[self.ts].to_numpy().astype("datetime64[us]").astype(np.int64) for pdf in rows]))
         state = self.last.get() if self.last.exists() else None
-        at, told = (state[0], state[1]) if state else (None, False)
-        for t in times:
-            if at is not None and t - at > self.limit and not told:
-                yield self._out(key, at)
-            if at is None or t > at:
-                at, told = t, False
-        for x in self.handle.listTimers():
-            self.handle.deleteTimer(x)
-        self.last.update((at, told))
-        self.handle.registerTimer((at + self.limit) // 1000 + 1)
+        at, told, timer = state if state else (None, False, None)
+        late = at is not None and times[-1] <= at
+        if at is not None:
+            times = np.concatenate(([at], times[times > at]))
+        gaps = times[:-1][np.diff(times) > self.limit].tolist()
+        if gaps and told and gaps[0] == at:
+            gaps = gaps[1:]
+        for x in gaps:
+            yield self._out(key, x)
+        if late:
+            return
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        at = int(times[-1])
+        timer = (at + self.limit) // 1000 + 1
+        self.handle.registerTimer(timer)
+        self.last.update((at, False, timer))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        at, told = self.last.get()
+        at, told, _ = self.last.get()
         if not told:
-            self.last.update((at, True))
+            self.last.update((at, True, None))
             yield self._out(key, at)
 
     def close(self) -> None:
         pass
 
 
-def stream_silence(stream: DataFrame, entity: str, ts: str, seconds: int, delay: str) -> DataFrame:
-    """``entity, last_seen`` of reports that no other follows within ``seconds``; needs the RocksDB state store."""
-    timed = stream.select(F.col(entity).cast("bigint").alias(entity), F.col(ts).cast("timestamp").alias(ts)).withWatermark(ts, delay)
-    return timed.groupBy(entity).transformWithStateInPandas(_Silence(entity, ts, seconds), f"{entity} bigint, last_seen timestamp", "Append", "eventTime")
+def stream_silence(stream: DataFrame, entity: str | list[str], ts: str, seconds: int, delay: str) -> DataFrame:
+    """``entity, last_seen`` of reports that no other follows within ``seconds``; needs the RocksDB state store.
+
+    ``entity`` is one column or several, of any types; a null in one is a value
+    like others. Rows without a time are left out, as are those later than
+    ``delay``.
+    """
+    keys = [entity] if isinstance(entity, str) else list(entity)
+    timed = stream.select(*(F.col(f"`{k}`") for k in keys), F.col(ts).cast("timestamp").alias(ts)).where(F.col(ts).isNotNull()).withWatermark(ts, delay)
+    out = T.StructType([timed.schema[k] for k in keys]).add("last_seen", "timestamp")
+    return timed.groupBy(*keys).transformWithStateInPandas(_Silence(keys, ts, seconds), out, "Append", "eventTime")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a finished or running query dropped as later than its watermark, so far as its progress is kept (``spark.sql.streaming.numRecentProgressUpdates`` batches)."""
+    return sum(int(s.numRowsDroppedByWatermark) for p in query.recentProgress for s in p.stateOperators)
+
+
+def drain_counting(spark: SparkSession, stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> tuple[DataFrame, DataFrame]:
+    """What ``drain`` returns, and one row ``n_late``: how many rows, or groups of them that a task had added up before, came later than the watermark."""
+    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out), spark.createDataFrame([(late_rows(query),)], "n_late bigint")
