@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import components
+from ..operators.components import components
 from .scratch import Scratch, whole_rows
 from .tokens import per_batch, utf8, words
 
@@ -38,8 +38,8 @@ ESTIMATE_FROM = 0.6
 SMALL = 32
 #: Members of a bucket that one part of it holds; each part is compared with the whole bucket apart.
 PART = 1024
-#: Counters by which shingles of large buckets' members are ordered from rare to frequent, and tasks that fill a set of them.
-COUNTERS, COUNTING_TASKS = 65_536, 64
+#: Counters by which shingles of large buckets' members are ordered from rare to frequent, and blocks in which tasks' counts are added up.
+COUNTERS, COUNTER_BLOCKS = 65_536, 64
 #: Distinct words whose hash a worker keeps.
 CACHE_WORDS = 100_000
 
@@ -161,11 +161,23 @@ def _slots(x: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's counts, in blocks."""
     total = np.zeros(COUNTERS, dtype=np.int64)
     for batch in batches:
         for x in batch.column("set").to_pylist():
             total += np.bincount(_slots(np.frombuffer(x, "<u8")), minlength=COUNTERS)
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
+    if total.any():
+        yield pa.RecordBatch.from_arrays([pa.array(range(COUNTER_BLOCKS), pa.int32()), pa.array([x.tobytes() for x in total.reshape(COUNTER_BLOCKS, -1)], pa.binary())], names=["block", "counts"])
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of all tasks' blocks of counts."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, x in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            total[block] = total.get(block, 0) + np.frombuffer(x, np.int64)
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "counts"])
 
 
 def _rarest(order):
@@ -229,6 +241,12 @@ class _Matcher:
         self.steps += 1
         return f"{self.steps}-{what}"
 
+    def components(self, links: DataFrame) -> DataFrame:
+        """``node, label`` of ``links(a, b)``; turns and the result are written tables."""
+        name = self.name("labels")
+        found = components(links, lambda df, turn: self.scratch.write(df, f"{name}-{turn}"))
+        return self.scratch.write(found, name)
+
     def several(self, rows: DataFrame) -> DataFrame:
         """The rows of buckets that have several ids, as a written table."""
         shared = rows.groupBy("bucket").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).where("_lo < _hi").select("bucket")
@@ -268,12 +286,12 @@ class _Matcher:
         if links.isEmpty():
             return
         if self.labels is None:
-            self.labels = components(links, self.scratch, self.name("labels"))
+            self.labels = self.components(links)
             return
         for side in "ab":
             links = links.join(self.labels.select(F.col("node").alias(side), F.col("label").alias(f"l_{side}")), side, "left")
         merged = links.select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b")).where("a <> b")
-        moved = components(merged, self.scratch, self.name("labels"))
+        moved = self.components(merged)
         both = self.labels.join(moved.select(F.col("node").alias("label"), F.col("label").alias("_new")), "label", "left").select("node", F.coalesce("_new", "label").alias("label"))
         new = moved.join(self.labels.select("node"), "node", "left_anti").select("node", "label")
         self.labels = self.scratch.write(both.unionByName(new), self.name("all-labels"))
@@ -324,8 +342,8 @@ class _Matcher:
                 return self.labels
             members = rows.join(large.select("bucket"), "bucket").select("id").distinct()
             chosen = self.scratch.write(self.sets.join(members, "id", "left_semi"), self.name("members"))
-            counted = chosen.select("set").coalesce(COUNTING_TASKS).mapInArrow(_count, "counts binary").collect()
-            order = self.reps.sparkSession.sparkContext.broadcast(sum(np.frombuffer(r["counts"], np.int64) for r in counted))
+            counted = chosen.select("set").mapInArrow(_count, "block int, counts binary").repartition("block").mapInArrow(_add, "block int, counts binary").collect()
+            order = self.reps.sparkSession.sparkContext.broadcast(np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(counted, key=lambda r: r["block"])]))
             rows = self.several(chosen.mapInArrow(_rarest(order), _BUCKETS))
         return self.labels
 
