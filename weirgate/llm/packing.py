@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import Scratch
-from .tokens import encoder, gather, id_lists, list_crcs, per_batch, vocabulary_path
+from .tokens import encoder, gather, give_back, id_lists, list_crcs, per_batch, vocabulary_path
 
 CAPACITY, END_ID = 2048, 0
 
@@ -117,6 +118,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabul
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
+            give_back()
             for first, upto, ids, n in encoder(vocabulary).encode(batch.column("text"), end_id):
                 pieces = -(-n // capacity)
                 at = np.repeat(np.arange(len(n)), pieces)
@@ -138,32 +140,35 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabul
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, _PIECES)
 
 
-def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``block, length, nth, sequence_id, offset`` for each row of written ``pieces``.
+def place(rows: DataFrame, pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``rows`` of written ``pieces`` with ``sequence_id`` and ``offset`` in place of ``block`` and ``nth``.
 
     The driver sees one count for each length, ``capacity`` of them at most; the
     plan made of them, some ten thousand rows for a capacity of 2048 and any
-    number of pieces, is what tasks get.
+    number of pieces, is what tasks get. Rows are joined only with the numbers of
+    pieces of a length in the tasks before.
     """
     spark = pieces.sparkSession
     counts = pieces.groupBy("block", "length").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("block", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n")).alias("before"))
+    before = counts.select("block", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n")).alias("_before"))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = np.array(sorted(plan_sequences(histogram, capacity)), dtype=np.int64).reshape(-1, 5)
     sent = spark.sparkContext.broadcast((plan[:, 0], plan[:, 1], plan[:, 3], plan[:, 4], np.searchsorted(plan[:, 0], np.arange(capacity + 2))))
+    kept = [c for c in rows.columns if c not in ("block", "nth")]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         _, first_rank, sequence, offset, of_length = sent.value
-        length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+        length, rank = batch.column("length").to_numpy(), batch.column("_rank").to_numpy()
         at = np.empty(len(rank), dtype=np.int64)
         for n in np.unique(length):
             mine = length == n
             lo, hi = of_length[n], of_length[n + 1]
             at[mine] = lo + np.searchsorted(first_rank[lo:hi], rank[mine], side="right") - 1
-        return pa.RecordBatch.from_arrays([batch.column("block"), batch.column("length"), batch.column("nth"), pa.array(sequence[at] + rank - first_rank[at]), pa.array(offset[at])], names=["block", "length", "nth", "sequence_id", "offset"])
+        return pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(sequence[at] + rank - first_rank[at]), pa.array(offset[at])], names=[*kept, "sequence_id", "offset"])
 
-    ranked = pieces.select("block", "length", "nth").join(before, ["block", "length"]).select("block", "length", "nth", (F.col("before") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(per_batch(run), "block int, length int, nth bigint, sequence_id bigint, offset bigint")
+    ranked = rows.join(before, ["block", "length"]).select(*kept, (F.col("_before") + F.col("nth")).alias("_rank"))
+    schema = T.StructType([rows.schema[c] for c in kept]).add("sequence_id", "long").add("offset", "long")
+    return ranked.mapInArrow(per_batch(run), schema)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None, scratch: Scratch | None = None) -> DataFrame:
@@ -173,7 +178,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabu
     """
     scratch = scratch or Scratch(docs.sparkSession, "packing")
     pieces = scratch.write(cut(docs, capacity, end_id, vocabulary), "pieces")
-    return pieces.join(place(pieces, capacity), ["block", "length", "nth"]).select("doc_id", "piece", "start", F.col("length").cast("bigint").alias("length"), "ids", "sequence_id", "offset")
+    return place(pieces, pieces, capacity).select("doc_id", "piece", "start", F.col("length").cast("bigint").alias("length"), "ids", "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -191,7 +196,7 @@ def packed_digests(docs: DataFrame, scratch: Scratch, capacity: int = CAPACITY)
         return pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(list_crcs(batch.column("ids")))], names=[*names, "ids_crc32"])
 
     crcs = pieces.mapInArrow(per_batch(digest), "doc_id bigint, piece int, start bigint, length int, block int, nth bigint, ids_crc32 bigint")
-    return crcs.join(place(pieces, capacity), ["block", "length", "nth"]).select("doc_id", "piece", "start", F.col("length").cast("bigint").alias("length"), "ids_crc32", "sequence_id", "offset")
+    return place(crcs, pieces, capacity).select("doc_id", "piece", "start", F.col("length").cast("bigint").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

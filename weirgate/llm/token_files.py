@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .tokens import encoder, id_lists, list_crcs, per_batch, vocabulary_path
+from .tokens import encoder, give_back, id_lists, list_crcs, per_batch, vocabulary_path
 
 END_ID = 2
 #: Rows to an entry of ORC's row index, and the chance of a false hit of its Bloom filters.
@@ -38,6 +38,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, at = TaskContext.get().partitionId(), 0
         for batch in batches:
+            give_back()
             for a, b, ids, n in encoder(vocabulary).encode(batch.column("text"), end_id):
                 start = at + np.cumsum(n) - n
                 at += len(ids)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -145,6 +147,14 @@ class Encoder:
             yield (a, b, *self._some(texts.slice(a, b - a), end))
 
 
+def give_back() -> None:
+    """Return memory that is free in this worker to the system; allocators keep it otherwise, for as long as the worker lives."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:
+        trim(0)
+
+
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a file; workers serve many tasks."""
     if path not in _encoders:
