@@ -13,6 +13,7 @@ from weirgate.operators import contracts as C
 from weirgate.operators import identity as I
 from weirgate.operators import schema as S
 from weirgate.operators.neighbours import with_neighbour
+from weirgate.sources.shared import fresh
 
 
 def test_null_fails_only_not_null(spark):
@@ -180,3 +181,41 @@ def test_history_of_odd_rows(spark):
     got = {tuple(x) for x in I.attribute_history(df, "user", "ts", "kind", "n").collect()}
     assert got == {(1, None, at[0], at[2]), (1, "a", at[2], at[5]), (1, None, at[5], None), (2, "b", at[3], None)}
     assert I.attribute_history(df.limit(0), "user", "ts", "kind", "n").count() == 0
+
+
+def test_survivors_of_ties_and_text_ids(spark):
+    rows = [("n", 5.0, "b"), ("n", 5.0, "a"), ("n", 1.0, "A"), ("m", None, "x"), ("m", None, None), (None, 2.0, "z"), (None, 3.0, "y"), ("q", 1.0, None)]
+    df = spark.createDataFrame([(*x, "k") for x in rows], "c string, v double, i string, _row string")
+    got = {tuple(r) for r in I.golden_record(df, "c", [F.col("v")], "i").collect()}
+    assert got == {("n", 5.0, "a", "k"), ("m", None, "x", "k"), (None, 3.0, "y", "k"), ("q", 1.0, None, "k")}
+    assert I.golden_record(df.limit(0), "c", [F.col("v")], "i").count() == 0
+
+
+def test_crosswalk_never_gives_a_retired_id_again(spark):
+    """Clusters of random turns with members that leave and come back; no id is given to new clusters twice in all history."""
+    pick, path = random.Random(8), fresh(spark, "crosswalk")
+    owner: dict = {}  # stable id: the members it had last
+    before: dict = {}
+    for turn in range(6):
+        there = [i for i in range(24) if pick.random() < 0.6]
+        of = {i: pick.randrange(8) for i in there}
+        smallest = {k: min(i for i in of if of[i] == k) for k in of.values()}
+        rows = I.advance_crosswalk(path, spark.createDataFrame([(i, smallest[of[i]]) for i in of], "id long, cluster_id long")).collect()
+        now = {r["id"]: r["stable_id"] for r in rows}
+        assert set(now) == set(there)
+        for stable in set(now.values()):
+            members = {i for i in now if now[i] == stable}
+            assert len({of[i] for i in members}) == 1
+            if stable in owner:  # an id that was given before goes on only with a member that had it in the last turn
+                assert any(before.get(i) == stable for i in members), (turn, stable)
+            owner[stable] = members
+        before = now
+    assert len(owner) > 12
+
+
+def test_crosswalk_register(spark):
+    old = spark.createDataFrame([(5, 5)], "id long, stable_id long")
+    new = spark.createDataFrame([(1, 1), (5, 5)], "id long, cluster_id long")
+    given = spark.createDataFrame([(1,), (9,), (9,)], "stable_id long")
+    got = {r["id"]: r["stable_id"] for r in I.update_crosswalk(old, new, given).collect()}
+    assert got == {5: 5, 1: 10}
