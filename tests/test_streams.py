@@ -2,7 +2,6 @@
 
 import datetime
 
-import pytest
 from pyspark.sql import functions as F
 
 from weirgate.sources.shared import fresh
@@ -11,15 +10,6 @@ from weirgate.streaming import streams as X
 DAY = datetime.datetime(2024, 1, 1)
 
 
-@pytest.fixture
-def rocks(spark):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    yield
-    spark.conf.set(key, before)
-
-
 def batches(spark, schema, *parts):
     """A stream that reads one part after another."""
     path = fresh(spark, "parts")
@@ -32,7 +22,7 @@ def at(hours):
     return DAY + datetime.timedelta(hours=hours)
 
 
-def test_silence_of_text_and_pairs(spark, rocks):
+def test_silence_of_text_and_pairs(spark):
     """Entities of text, of several columns and with nulls; a gap of exactly the limit is none; rows without a time don't count."""
     parts = [
         [("ä", 1, at(0)), ("b", 1, at(0)), ("b", 2, at(1)), (None, 1, at(0)), ("b", 1, None)],

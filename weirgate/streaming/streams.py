@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.baseline import score
 from ..operators.contracts import RowRule, violations
@@ -58,61 +58,43 @@ def stream_score(stream: DataFrame, baseline: DataFrame, entity: str, metric: st
     return score(stream, baseline, entity, metric, k)
 
 
-class _Silence(StatefulProcessor):
-    """Keeps the last report of an entity; says so once when none follows in time."""
-
-    def __init__(self, keys: list[str], ts: str, seconds: int):
-        self.keys, self.ts, self.limit = keys, ts, seconds * 1_000_000  # microseconds, as Spark's timestamps
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "at bigint, told boolean, timer bigint")
-
-    def _out(self, key: Any, at: int) -> pd.DataFrame:
-        return pd.DataFrame({**{k: [v] for k, v in zip(self.keys, key, strict=True)}, "last_seen": [pd.Timestamp(at, unit="us")]})
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        times = np.sort(np.concatenate([pdf[self.ts].to_numpy().astype("datetime64[us]").astype(np.int64) for pdf in rows]))
-        state = self.last.get() if self.last.exists() else None
-        at, told, timer = state if state else (None, False, None)
-        late = at is not None and times[-1] <= at
-        if at is not None:
-            times = np.concatenate(([at], times[times > at]))
-        gaps = times[:-1][np.diff(times) > self.limit].tolist()
-        if gaps and told and gaps[0] == at:
-            gaps = gaps[1:]
-        for x in gaps:
-            yield self._out(key, x)
-        if late:
-            return
-        if timer is not None:
-            self.handle.deleteTimer(timer)
-        at = int(times[-1])
-        timer = (at + self.limit) // 1000 + 1
-        self.handle.registerTimer(timer)
-        self.last.update((at, False, timer))
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        at, told, _ = self.last.get()
-        if not told:
-            self.last.update((at, True, None))
-            yield self._out(key, at)
-
-    def close(self) -> None:
-        pass
-
-
 def stream_silence(stream: DataFrame, entity: str | list[str], ts: str, seconds: int, delay: str) -> DataFrame:
-    """``entity, last_seen`` of reports that no other follows within ``seconds``; needs the RocksDB state store.
+    """``entity, last_seen`` of reports that no other follows within ``seconds``.
 
     ``entity`` is one column or several, of any types; a null in one is a value
-    like others. Rows without a time are left out, as are those later than
-    ``delay``.
+    like others. An entity's state is its last report and whether its silence
+    was told; a timer on event time tells it where no further report comes.
+    Rows without a time are left out, as are those later than ``delay``.
     """
     keys = [entity] if isinstance(entity, str) else list(entity)
+    limit = seconds * 1_000_000  # microseconds, as Spark's timestamps
+
+    def watch(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, told = state.get if state.exists else (None, False)
+        gaps: list[int] = []
+        if state.hasTimedOut:
+            gaps, told = [at], True
+        else:
+            times = np.sort(np.concatenate([pdf[ts].to_numpy().astype("datetime64[us]").astype(np.int64) for pdf in parts]))
+            if at is not None:
+                times = np.concatenate(([at], times[times > at]))
+            gaps = times[:-1][np.diff(times) > limit].tolist()
+            if told and gaps and gaps[0] == at:
+                gaps = gaps[1:]
+            told = told and int(times[-1]) == at
+            at = int(times[-1])
+            timer = (at + limit) // 1000 + 1
+            if not told and timer <= state.getCurrentWatermarkMs():
+                gaps, told = [*gaps, at], True
+            if not told:
+                state.setTimeoutTimestamp(timer)
+        state.update((at, told))
+        if gaps:
+            yield pd.DataFrame({**{k: [v] * len(gaps) for k, v in zip(keys, key, strict=True)}, "last_seen": pd.to_datetime(np.array(gaps), unit="us")})
+
     timed = stream.select(*(F.col(f"`{k}`") for k in keys), F.col(ts).cast("timestamp").alias(ts)).where(F.col(ts).isNotNull()).withWatermark(ts, delay)
     out = T.StructType([timed.schema[k] for k in keys]).add("last_seen", "timestamp")
-    return timed.groupBy(*keys).transformWithStateInPandas(_Silence(keys, ts, seconds), out, "Append", "eventTime")
+    return timed.groupBy(*keys).applyInPandasWithState(watch, out, "at bigint, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def late_rows(query: StreamingQuery) -> int:
