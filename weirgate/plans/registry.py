@@ -52,6 +52,17 @@ def s1_conform(spark, sf):
     return out.select("c_custkey", "c_name", "c_phone", F.size("_cast_errors").alias("n_errors"))
 
 
+@query("SELECT event_id, NULL::INTEGER AS kind, value AS v, NULL::INTEGER AS first, user_id::INTEGER AS second, CASE WHEN event_type = 'view' THEN 's.event_type,s.k,tags[]' ELSE 's.event_type,tags[]' END AS errors FROM events")
+def s1_conform_nested(spark, sf):
+    """Fields of a struct and elements of an array in other types; a required field that has no value for views."""
+    number = F.when(F.col("event_type") != "view", F.col("event_id").cast("string"))
+    nested = F.struct("event_type", F.col("value").cast("string").alias("v"), number.alias("k"))
+    rows = table(spark, sf, "events").select("event_id", nested.alias("s"), F.array("event_type", F.col("user_id").cast("string")).alias("tags"))
+    s = T.StructType([T.StructField("event_type", T.IntegerType()), T.StructField("v", T.DoubleType()), T.StructField("k", T.LongType(), False)])
+    out = S.conform(rows, T.StructType([T.StructField("event_id", T.LongType()), T.StructField("s", s), T.StructField("tags", T.ArrayType(T.IntegerType()))]))
+    return out.select("event_id", F.col("s.event_type").alias("kind"), "s.v", F.col("tags")[0].alias("first"), F.col("tags")[1].alias("second"), F.array_join(F.array_sort("_cast_errors"), ",").alias("errors"))
+
+
 def _shape_sql(rows: str) -> str:
     return f"""SELECT k AS path, CASE json_type(props, '$."' || k || '"') WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'null' END AS json_type, count(*) AS n
 FROM (SELECT props, unnest(json_keys(props)) AS k FROM ({rows})) GROUP BY 1, 2"""
@@ -281,6 +292,19 @@ def i7_update_crosswalk(spark, sf):
     return I.update_crosswalk(before, I.clusters(pairs))
 
 
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS place FROM customer)
+SELECT c.c_custkey AS id, r.c_custkey AS stable_id, CASE WHEN c.c_nationkey < 12 THEN 'same' ELSE 'new' END AS change
+FROM customer c JOIN r ON r.c_nationkey = c.c_nationkey AND r.place = CASE WHEN c.c_nationkey < 12 THEN 1 ELSE 2 END""")
+def i7_crosswalk_register(spark, sf):
+    """Clusters by nation in three turns; half of the nations are away in the second, and their ids don't come again."""
+    path, customers = fresh(spark, "i7r"), table(spark, sf, "customer")
+    smallest = customers.groupBy("c_nationkey").agg(F.min("c_custkey").alias("cluster_id"))
+    every = customers.join(smallest, "c_nationkey").select(F.col("c_custkey").alias("id"), "cluster_id", "c_nationkey")
+    for turn in (every, every.where("c_nationkey < 12"), every):
+        out = I.advance_crosswalk(path, turn.select("id", "cluster_id"))
+    return out
+
+
 @query("""SELECT user_id, event_type AS value, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS valid_to
 FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events) WHERE was IS DISTINCT FROM event_type""")
 def i8_attribute_history(spark, sf):
@@ -416,6 +440,14 @@ def b15_stream_silence(spark, sf):
     return X.drain(spark, stream, fresh(spark, "b15"), fresh(spark, "b15-checkpoint")).withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
 
 
+@query("""SELECT user_id, event_type, was AS last_seen FROM (SELECT user_id, event_type, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS was FROM events) WHERE ts > was + INTERVAL 120 HOUR
+UNION ALL SELECT user_id, event_type, max(ts) AS last_seen FROM events GROUP BY 1, 2 HAVING epoch_ms(max(ts)) + 432000000 + 1 <= (SELECT epoch_ms(max(ts)) - 3600000 FROM events)""")
+def b15_stream_silence_pairs(spark, sf):
+    """Users and kinds of their events that no other of the kind follows within five days."""
+    stream = X.stream_silence(X.table_stream(spark, f"{sf}/events.parquet"), ["user_id", "event_type"], "ts", 432_000, "1 hour")
+    return X.drain(spark, stream, fresh(spark, "b15p"), fresh(spark, "b15p-checkpoint")).withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
+
+
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events WHERE ts < TIMESTAMP '2024-01-22' GROUP BY 1")
 def b16_fit_quantiles(spark, sf):
     return _rounded(B.fit_quantiles(_train(spark, sf), "event_type", "value", {"p50": 0.5, "p95": 0.95}), "p50", "p95")
