@@ -129,7 +129,9 @@ class Lattice:
                 self._scale(alpha, scaled, t, lengths)
             s, e = self.start[a:b], self.end[a:b]
             alpha[e] += alpha[s] * p[self.piece[a:b]]
-        return alpha, scaled
+        # Until here how often at each place; now how often up to it, from its word's start.
+        total = np.cumsum(scaled, axis=0)
+        return alpha, total - np.repeat(total[self.first] - scaled[self.first], lengths + 1, axis=0)
 
     def _scale(self, alpha: np.ndarray, scaled: np.ndarray, t: int, lengths: np.ndarray) -> None:
         # Every place can be reached by single characters, so no sum is 0.
@@ -138,12 +140,11 @@ class Lattice:
         row = np.flatnonzero(small.any(axis=1))
         if len(row):
             at, small, last = at[row], small[row], self.last[lengths >= t][row]
+            scaled[at] += small
             times = np.where(small, 1 / SMALL, 1.0)
             for k in range(self.longest):  # what has come further is not yet complete and gets the same scale
                 here = at + k <= last
                 alpha[at[here] + k] *= times[here]
-            for a, z, x in zip(at.tolist(), last.tolist(), small, strict=True):
-                scaled[a : z + 1] += x
 
     def log_totals(self, p: np.ndarray) -> np.ndarray:
         """A row for each word: its log probability by each column of ``p``."""
