@@ -508,10 +508,11 @@ def test_html_in_articles(spark):
 
 
 def brute_repeats(pages):
-    """Places of tokens outside articles in runs of RUN tokens or more (or whole shorter blocks) that so many pages of a host have, by all substrings."""
+    """Places of tokens outside articles in runs of RUN tokens or more (or whole shorter blocks) that so many pages of distinct content of a host have, by all substrings."""
     n = html_text.RUN
     seen: dict = {}
-    for i, (host, found) in enumerate(pages):
+    for host, found in pages:
+        i = tuple((k, *ws) for k, ws in found if k != "furniture")
         for k, ws in found:
             if k != "main":
                 for a in range(max(1, len(ws) - n + 1)):
@@ -547,6 +548,17 @@ def test_html_query(spark, sf, strip):
     assert found == {r["page_id"]: (r["url"], t, len(t)) for r, t in zip(rows, want, strict=True)}
 
 
+def test_html_copies_keep_their_text(spark):
+    """An article at three addresses of a host of four pages, with other furniture around, and equal pages without tags."""
+    article = "<article><p>A story that is told here once.</p><p>And it goes on for a while longer.</p></article>"
+    rows = [(i, f"http://h/a?x={i}", f"<div>Seen {i} times today by all of you</div>{article}") for i in range(3)] + [(3, "http://h/b", "<article><p>Another one</p></article>")]
+    rows += [(10 + i, f"http://k/?s={i}", "<div>All of these words are on this page alone.</div>") for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    story = "A story that is told here once. And it goes on for a while longer."
+    assert all(story in got[i] for i in range(3)) and got[3] == "Another one"
+    assert {got[10 + i] for i in range(3)} == {"All of these words are on this page alone."}
+
+
 def test_html_of_odd_rows(spark):
     rows = [(1, "http://h/", None, 1), (1, "http://h/", None, 1), (2, None, "", 2), (3, "x", "<p>" + LONG, 3), (None, "y", "<b>a", 4)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, row int")
@@ -629,6 +641,32 @@ def test_forward_on_real_pieces_and_long_words():
         assert row.tolist() == pytest.approx(brute_log(w, index, p), rel=1e-9)
 
 
+def test_forward_on_a_text_without_spaces():
+    """One word of 150,000 characters, by plain scaled sums; time grows with the length."""
+    np = language_id.np
+    names = ["▁a", "a", "▁", "b", "ab", "▁ab", "ba"]
+    p = np.array([[0.1, 0.2], [0.2, 0.1], [0.2, 0.1], [0.15, 0.1], [0.05, 0.3], [0.2, 0.1], [0.1, 0.1], [language_id.UNKNOWN] * 2])
+    word = "".join(np.random.default_rng(3).choice(list("abc"), 150_000))
+    began = time.process_time()
+    got = language_id.log_probabilities([word, "ab"], language_id.Pieces(names), p)
+    assert time.process_time() - began < 60
+    index, marked = {x: i for i, x in enumerate(names)}, "▁" + word
+    for lang in range(2):
+        sums, scale = [1.0, 0.0, 0.0, 0.0], 0.0  # ways to the next places
+        for i in range(len(marked)):
+            here = sums[0]
+            if here < 1e-100:
+                sums, scale = [x * 1e100 for x in sums], scale - 100 * np.log(10)
+                here = sums[0]
+            for k in range(1, 4):
+                part = marked[i : i + k]
+                q = p[index[part], lang] if part in index and i + k <= len(marked) else p[-1, lang] if k == 1 else 0
+                sums[k] += here * q
+            sums = [*sums[1:], 0.0]
+        assert got[0, lang] == pytest.approx(np.log(sums[0]) + scale, rel=1e-9)
+    assert got[1].tolist() == pytest.approx(brute_log("ab", index, p), rel=1e-9)
+
+
 def test_expected_pieces():
     """Expected counts are what changes of a piece's probability do to the likelihood."""
     np = language_id.np

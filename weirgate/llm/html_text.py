@@ -3,7 +3,7 @@
 Tags say where an article is and what is never text. Elsewhere on a page, text
 that other pages of the host have too is boilerplate: token streams of all
 pages of a host give suffixes, equal ones up to ``RUN`` tokens meet in a shuffle
-by host and suffix, and tokens in a run that several distinct pages have are
+by host and suffix, and tokens in a run that several pages of distinct content have are
 covered; neighbouring runs make the longest repeats. Covered tokens go and all
 others stay, on pages with an article too. Articles of a host share passages
 that are their text, so within an article the tags are the stronger evidence:
@@ -151,24 +151,25 @@ def whole_block(tokens: list[str]) -> int:
     return int.from_bytes(hashlib.blake2b("\n".join(["", *tokens]).encode(), digest_size=8).digest(), "little", signed=True)
 
 
-#: ``own``: the numbers of each part's suffixes, or of an article's block as a whole.
-_PAGE = "page_id bigint, url string, host string, kinds array<string>, parts array<string>, own array<array<bigint>>, suffixes array<bigint>, articles array<bigint>"
+#: ``own``: the numbers of each part's suffixes, or of an article's block as a whole. ``content`` and ``article`` number the page's parts and its article's.
+_PAGE = "page_id bigint, url string, host string, kinds array<string>, parts array<string>, own array<array<bigint>>, suffixes array<bigint>, articles array<bigint>, content bigint, article bigint"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A page's parts that may be text, in order, with the numbers that tell whether they are repeated."""
     for batch in batches:
-        columns: list[list] = [[] for _ in range(6)]
+        columns: list[list] = [[] for _ in range(8)]
         for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
             found = blocks(page or "")
             kept = [(k, t) for k, t in found if k != "furniture"]
             own = [[] if k == "main" else suffixes(t.split()) for k, t in kept]
             every = {x for k, t in found if k == "furniture" for x in suffixes(t.split())}.union(*own)
             articles = {whole_block(t.split()) for k, t in kept if k == "main"}
-            for column, x in zip(columns, (host_of(url), [k for k, _ in kept], [t for _, t in kept], own, sorted(every), sorted(articles)), strict=True):
+            content, article = whole_block([f"{k} {t}" for k, t in kept]), whole_block([t for k, t in kept if k == "main"])
+            for column, x in zip(columns, (host_of(url), [k for k, _ in kept], [t for _, t in kept], own, sorted(every), sorted(articles), content, article), strict=True):
                 column.append(x)
-        kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["page_id", "url", "host", "kinds", "parts", "own", "suffixes", "articles"])
+        kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["page_id", "url", "host", "kinds", "parts", "own", "suffixes", "articles", "content", "article"])
 
 
 def uncovered(words: list[str], own: list[int], repeated: set[int]) -> list[str]:
@@ -195,8 +196,10 @@ def extract(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``page_id, url, text, n_chars`` for each row of ``pages(page_id, url, html)``.
 
     A null or empty html gives an empty text; a null url is a host of its own.
-    Repeated rows are extracted each and count as distinct pages. Other columns
-    are not read; an empty table gives no rows.
+    Repeated rows are extracted each. What repeats is counted by distinct
+    contents, so copies of a page or an article, at whatever addresses, are one
+    and don't make their own text boilerplate. Other columns are not read; an
+    empty table gives no rows.
     """
     scratch = scratch or Scratch(pages.sparkSession, "html")
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
@@ -204,16 +207,16 @@ def extract(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     # Suffixes outside articles that pages ask for, and blocks of all articles, each once a page.
     outside = F.array_distinct(F.flatten("own"))
     asked = parsed.select("row", "host", F.explode(outside).alias("suffix"))
-    array = parsed.select("host", F.explode("suffixes").alias("suffix")).join(asked.select("host", "suffix").distinct(), ["host", "suffix"], "left_semi")
-    runs = array.groupBy("host", "suffix").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= MIN_PAGES)
-    in_articles = parsed.select("row", "host", F.explode("articles").alias("suffix"))
-    sizes = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("all"))
+    array = parsed.select("host", "content", F.explode("suffixes").alias("suffix")).join(asked.select("host", "suffix").distinct(), ["host", "suffix"], "left_semi")
+    runs = array.groupBy("host", "suffix").agg(F.count_distinct("content").alias("pages")).where(F.col("pages") >= MIN_PAGES)
+    in_articles = parsed.select("row", "host", "article", F.explode("articles").alias("suffix"))
+    sizes = parsed.groupBy("host").agg(F.count_distinct("content").alias("all"))
     # A block on fewer pages than MIN_PAGES can't be on a share of the host's pages that counts; what is left is small.
-    shared = in_articles.groupBy("host", "suffix").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= MIN_PAGES)
+    shared = in_articles.groupBy("host", "suffix").agg(F.count_distinct("article").alias("pages")).where(F.col("pages") >= MIN_PAGES)
     common = scratch.write(shared.join(sizes, "host").where(F.col("pages") >= ARTICLE_SHARE * F.col("all")).select("host", "suffix"), "common")
     hits = asked.join(runs.select("host", "suffix"), ["host", "suffix"])
     if not common.isEmpty():
-        hits = hits.unionByName(in_articles.join(common, ["host", "suffix"]))
+        hits = hits.unionByName(in_articles.drop("article").join(common, ["host", "suffix"]))
     hits = scratch.write(hits.groupBy("row").agg(F.collect_list("suffix").alias("repeated")), "hits")
     fields = ["kinds", "parts", "own", "repeated"]
     if hits.isEmpty():  # then no page has to be brought together with its hits
