@@ -314,6 +314,47 @@ def test_quality_measures_of_odd_rows(spark, bits, monkeypatch):
     check_measures(quality.vote(df).collect(), dict(enumerate(texts)))
 
 
+def brute_votes(text):
+    """The nine votes in plain Python."""
+    import regex
+
+    n_words, word_chars, n_symbols, n_dup, n_repeat = brute_measures(text)
+    ws = [w.decode() for w in text.encode().split()]
+    n = max(n_words, 1)
+    lines = [x for x in text.split("\n") if x.encode().split()]
+    letters, capitals = len(regex.findall(r"\p{L}", text)), len(regex.findall(r"\p{Lu}", text))
+    bare = sum(not regex.search(r"\p{L}", w) for w in ws)
+    distinct = len(set(ws)) / n
+    pick = lambda good, bad: "0" if bad else "1" if good else "-"
+    mean, symbols, dups, repeats, share, caps = word_chars / n, n_symbols / n, n_dup / max(len(lines), 1), n_repeat / n, letters / max(word_chars, 1), capitals / max(letters, 1)
+    return "".join([
+        pick(50 <= n_words <= 100_000, n_words < 50), pick(3.5 <= mean <= 7, mean < 2 or mean > 10), pick(symbols < 0.05, symbols > 0.1),
+        pick(dups < 0.2, dups > 0.4), pick(repeats < 0.2, repeats > 0.5), pick(share > 0.85, share < 0.7),
+        pick(bare / n < 0.15, bare / n > 0.3), pick(caps < 0.2, caps > 0.5), pick(distinct > 0.4 or n_words > 2000, distinct < 0.15),
+    ])
+
+
+def test_quality_votes_and_posterior(spark, docs):
+    """Votes of whole documents and the posterior of each, by plain Python; every start ends at the same verdicts or at a lower likelihood."""
+    from math import exp
+
+    voted = quality.vote(docs.select("doc_id", "text")).collect()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert {r["doc_id"]: r["_votes"] for r in voted} == {i: brute_votes(t) for i, t in texts.items()}
+    as_vote = {"1": 1, "0": 0, "-": None}
+    counts = Counter(tuple(as_vote[x] for x in r["_votes"]) for r in voted if not r["base_failed"])
+    prior, add = quality.fit(sorted(counts.items(), key=str))
+    odds = lambda votes, m: m[0] + sum(a if v else b for v, (a, b) in zip(votes, m[1], strict=True) if v is not None)
+    want = {r["doc_id"]: 1 / (1 + exp(-odds([as_vote[x] for x in r["_votes"]], (prior, add)))) for r in voted}
+    got = {r["doc_id"]: r["quality"] for r in quality.judge(quality.vote(docs.select("doc_id", "text")), (prior, add)).collect()}
+    assert got == pytest.approx(want)
+    patterns = sorted(counts.items(), key=str)
+    ends = [quality._climb(patterns, [s] * 9, quality.ROUNDS) for s in quality.STARTS]
+    best = max(x for x, _ in ends)
+    for like, m in ends:
+        assert like < best - 1e-3 or all((odds(v, m) >= 0) == (odds(v, (prior, add)) >= 0) for v, _ in patterns)
+
+
 def test_quality_estimates():
     """Accuracies of made-up votes are found again, from a beginning that is off."""
     np = quality.F and __import__("numpy")

@@ -1,10 +1,12 @@
 """Operator 5: quality by weak supervision, with DataFrame functions only.
 
 Rules vote good (1), bad (0) or abstain (null) on a document. The votes of all
-documents are counted by pattern, at most three to the power of the number of
-rules; expectation-maximisation on those counts estimates how often each rule
+documents that pass the base rules are counted by pattern, at most three to the
+power of the number of rules; expectation-maximisation on those counts, from
+several starts of which the likeliest end counts, estimates how often each rule
 says what on good and bad documents; a document stays if its posterior
-probability of being good is a half or more.
+probability of being good is a half or more. Documents that fail the base rules
+go anyway, and would else become the bad class.
 """
 
 from __future__ import annotations
@@ -18,10 +20,9 @@ from .scratch import Scratch, whole_rows
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Posterior probability from which a document stays; rounds of estimation.
-KEEP_FROM, ROUNDS = 0.5, 60
-#: Where estimation begins, which also says which class is the good one: how often a rule votes good on good documents
-#: and bad on bad ones (each rule knows one kind of fault, so few), and the share of good documents.
-BEGIN_GOOD, BEGIN_BAD, BEGIN_SHARE = 0.95, 0.3, 0.8
+KEEP_FROM, ROUNDS = 0.5, 100
+#: Where estimation begins: how often a rule votes good on good documents and bad on bad ones; and the share of good documents.
+STARTS, BEGIN_SHARE = [(0.95, 0.3), (0.9, 0.5), (0.8, 0.8), (0.7, 0.6), (0.99, 0.1)], 0.8
 
 _SPACE = r"[\x20\x09-\x0D]+"
 #: Bits of a packed number that hold a word's place; texts of more words take the plain way.
@@ -92,36 +93,60 @@ def _rules() -> dict[str, Column]:
     }
 
 
-def fit(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[tuple[float, float]]]:
-    """The log odds of a good document, and for each rule what a good and a bad vote add to them.
+Patterns = list[tuple[tuple[int | None, ...], int]]
+Weights = tuple[float, list[tuple[float, float]]]
 
-    ``patterns`` are votes with their numbers of documents. A rule's accuracy on
-    good and on bad documents is estimated apart, over the documents it votes
-    on, with one made-up vote for and against, so that no chance is 0.
-    """
-    k = len(patterns[0][0]) if patterns else 0
-    right = [(BEGIN_GOOD, BEGIN_BAD)] * k  # P(vote good | good), P(vote bad | bad)
-    good = BEGIN_SHARE
+
+def _climb(patterns: Patterns, right: list[tuple[float, float]], rounds: int) -> tuple[float, Weights]:
+    """Where expectation-maximisation ends from chances of right votes on good and on bad documents: the log likelihood and the weights."""
+    k, good = len(right), BEGIN_SHARE
     total = sum(n for _, n in patterns)
     weights = lambda: (log(good / (1 - good)), [(log(g / (1 - b)), log((1 - g) / b)) for g, b in right])
-    for _ in range(rounds if total else 0):
+    before = like = float("-inf")
+    for _ in range(rounds):
         prior, add = weights()
         sums = [[1.0, 2.0, 1.0, 2.0] for _ in range(k)]
         all_good = 1.0
+        # The made-up votes count in the likelihood as well, so no round lowers it.
+        like = log(good) + log(1 - good) + sum(log(x) + log(1 - x) for pair in right for x in pair)
         for votes, n in patterns:
-            z = prior + sum(add[j][0] if v else add[j][1] for j, v in enumerate(votes) if v is not None)
+            said = [(j, v) for j, v in enumerate(votes) if v is not None]
+            bad = log(1 - good) + sum(log(1 - right[j][1]) if v else log(right[j][1]) for j, v in said)
+            z = prior + sum(add[j][0] if v else add[j][1] for j, v in said)
+            like += n * (bad + (z + log(1 + exp(-z)) if z > 0 else log(1 + exp(z))))
             p = 1 / (1 + exp(-max(-500.0, min(500.0, z))))
             all_good += n * p
-            for j, v in enumerate(votes):
-                if v is not None:
-                    s = sums[j]
-                    s[0] += n * p * v
-                    s[1] += n * p
-                    s[2] += n * (1 - p) * (1 - v)
-                    s[3] += n * (1 - p)
+            for j, v in said:
+                s = sums[j]
+                s[0] += n * p * v
+                s[1] += n * p
+                s[2] += n * (1 - p) * (1 - v)
+                s[3] += n * (1 - p)
         good = all_good / (total + 2)
         right = [(a / b, c / d) for a, b, c, d in sums]
-    return weights()
+        if like - before < 1e-10 * total:
+            break
+        before = like
+    # The good class is the one on which rules vote good more often.
+    if sum(g - (1 - b) for g, b in right) < 0:
+        good, right = 1 - good, [(1 - b, 1 - g) for g, b in right]
+    return like, weights()
+
+
+def fit(patterns: Patterns, rounds: int = ROUNDS, starts: list[tuple[float, float]] | None = None) -> Weights:
+    """The log odds of a good document, and for each rule what a good and a bad vote add to them.
+
+    ``patterns`` are votes with their numbers of documents. A rule's accuracy on
+    good and on bad documents is estimated apart, over the documents it votes
+    on, with one made-up vote for and against, so that no chance is 0. Of all
+    starts the end of the greatest likelihood is taken, at a tie the first.
+    Without documents nothing adds anything.
+    """
+    k = len(patterns[0][0]) if patterns else 0
+    if not sum(n for _, n in patterns):
+        return 0.0, [(0.0, 0.0)] * k
+    ends = [_climb(patterns, [start] * k, rounds) for start in starts or STARTS]
+    return max(ends, key=lambda x: x[0])[1]
 
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -139,15 +164,15 @@ def vote(docs: DataFrame) -> DataFrame:
     return _measures(docs).select(*docs.columns, *BASE, failed.alias("base_failed"), votes.alias("_votes"))
 
 
-def learn(voted: DataFrame) -> tuple[float, list[tuple[float, float]]]:
-    """``fit`` on the votes of all documents; the driver gets one count a pattern, 3 ** 9 at most."""
-    counts = voted.groupBy("_votes").agg(F.count(F.lit(1)).alias("n")).collect()
+def learn(voted: DataFrame) -> Weights:
+    """``fit`` on the votes of all documents that pass the base rules; the driver gets one count a pattern, 3 ** 9 at most."""
+    counts = voted.where("NOT base_failed").groupBy("_votes").agg(F.count(F.lit(1)).alias("n")).collect()
     as_vote = {"1": 1, "0": 0, "-": None}
     model = fit(sorted(((tuple(as_vote[x] for x in r["_votes"]), r["n"]) for r in counts), key=str))
     return model if counts else (0.0, [(0.0, 0.0)] * len(_rules()))
 
 
-def judge(voted: DataFrame, model: tuple[float, list[tuple[float, float]]]) -> DataFrame:
+def judge(voted: DataFrame, model: Weights) -> DataFrame:
     """The base columns, ``quality`` (the posterior probability) and ``kept`` in place of the votes."""
     prior, add = model
     z = F.lit(prior)
