@@ -126,6 +126,19 @@ def test_sequences_with_holes(spark):
     assert [tuple(r) for r in C.sequence_steps(df, "g", "s").collect()] == [("a", 3, 1)]
 
 
+def test_steps_over_cells(spark, monkeypatch):
+    """A hot group in many cells, twice the same number, negative numbers, nulls."""
+    monkeypatch.setattr(C, "SEQUENCE_CELL", 7)
+    pick = random.Random(4)
+    rows = [(pick.choice(["hot", "hot", "hot", "b", None]), pick.randrange(-60, 60)) for _ in range(150)]
+    df = spark.createDataFrame([*rows, ("hot", None)], "g string, s int")
+    by: dict = {}
+    for g, s in rows:
+        by.setdefault(g, []).append(s)
+    want = [(g, b, a) for g, x in by.items() for a, b in zip(sorted(x), sorted(x)[1:]) if b - a != 1]
+    assert sorted(map(tuple, C.sequence_steps(df, "g", "s").collect()), key=str) == sorted(want, key=str)
+
+
 def test_a_cluster_needs_a_shared_folder():
     from weirgate.sources.shared import shared_folder
 

@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .neighbours import with_neighbour
+
 
 @dataclass(frozen=True)
 class RowRule:
@@ -95,10 +97,20 @@ def sequence_complete(df: DataFrame, group: str, seq: str, first: int = 1) -> Da
     return by.where((F.col("lo") != first) | (F.col("hi") - F.col("lo") + 1 != F.col("n")))
 
 
+#: Numbers of a sequence that are put in order together.
+SEQUENCE_CELL = 65_536
+
+
 def sequence_steps(df: DataFrame, group: str, seq: str) -> DataFrame:
-    """Rows that don't follow the one before in their group by a step of one: ``group, seq, before``."""
-    w = Window.partitionBy(group).orderBy(seq)
-    return df.select(group, F.col(seq), F.lag(seq).over(w).alias("before")).where(F.col(seq) - F.col("before") != 1)
+    """Rows that don't follow the one before in their group by a step of one: ``group, seq, before``.
+
+    A hot group is sorted in cells of neighbouring numbers. Rows without a
+    number are left out; a null group is one like others.
+    """
+    rows = df.select(F.col(group).alias("_g"), F.col(seq).alias("_q")).where("_q IS NOT NULL")
+    steps = with_neighbour(rows, "_g", ["_q"], F.struct("_q"), F.floor(F.col("_q") / SEQUENCE_CELL))
+    before = F.col("_beside._q")
+    return steps.where(F.col("_q") - before != 1).select(F.col("_g").alias(group), F.col("_q").alias(seq), before.alias("before"))
 
 
 def volume(dense: DataFrame, lo: int, hi: int) -> DataFrame:
