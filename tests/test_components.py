@@ -35,6 +35,19 @@ def test_turns_of_chains(spark, kind):
     assert sum(x.startswith("ways") for x in made) < 16
 
 
+def test_turns_of_a_star(spark):
+    made = []
+
+    def keep(df, name):
+        made.append(name)
+        return df.checkpoint()
+
+    links = [(5_000, x) for x in range(3_000)] + [(9_000, x) for x in range(2_990, 3_100)]
+    got = components(spark.createDataFrame(links, "a long, b long"), keep)
+    assert {r["label"] for r in got.collect()} == {0} and got.count() == 3_102
+    assert sum(x.startswith("ways") for x in made) <= 4
+
+
 def test_odd_links(spark):
     pick = random.Random(2)
     links = [(pick.randrange(300), pick.randrange(300)) for _ in range(150)]

@@ -19,10 +19,11 @@ def components(links: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = _
 
     A turn gives every node a random number, sends it to the one with the
     smallest among itself and its neighbours, and makes the links between
-    nodes those between the ones they were sent to. At least a quarter of
-    the nodes is expected to go each turn, whatever the shape of the graph, so
-    turns grow with the logarithm of the largest component and the work is
-    that of the first few. Then each node's ways are followed from the last
+    nodes those between the ones they were sent to. Every other turn the numbers
+    are new; with them at least a quarter of the nodes is expected to go,
+    whatever the shape of the graph, so turns grow with the logarithm of the
+    largest component and the work is that of the first few. The turn between
+    ends stars, whose middle the first one gives the smallest number. Then each node's ways are followed from the last
     turn back to the first. ``keep(df, name)`` cuts the lineage of a table;
     Spark's checkpoint does where none is given.
 
@@ -36,7 +37,7 @@ def components(links: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = _
     ways: list[DataFrame] = []
     while not now.isEmpty():
         turn = len(ways)
-        number = lambda c: F.xxhash64(F.lit(turn), F.col(c))  # noqa: B023, E731
+        number = lambda c: F.xxhash64(F.lit(turn // 2), F.col(c))  # noqa: B023, E731
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy(F.col("a").alias("node")).agg(F.min_by("b", number("b")).alias("_near"), F.min(number("b")).alias("_least"))
         way = keep(near.select("node", F.when(number("node") <= F.col("_least"), F.col("node")).otherwise(F.col("_near")).alias("to")), f"ways-{turn}")
