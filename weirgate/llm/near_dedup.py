@@ -353,7 +353,8 @@ def near_groups(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
     Null and empty texts, and texts without words, have an empty set and are
     linked with nothing. Rows that repeat an id count as one document. A row
-    without an id has no component and is kept.
+    without an id has no component and is kept. Long texts are taken whole.
+    Other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "near")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import os
 import sys
 import zlib
 from collections.abc import Callable, Iterator
@@ -54,6 +55,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # A task has one core; threads of the library's own would take it from others.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
