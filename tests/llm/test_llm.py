@@ -140,7 +140,9 @@ def test_near_groups_in_parts(spark, monkeypatch, small, part):
 
 
 def test_near_groups_of_odd_rows(odd, spark):
-    assert near_dedup.near_groups(odd).count() == len(ODD)
+    got = Counter(tuple(r[x] for x in ("doc_id", "n_shingles", "component_id", "kept")) for r in near_dedup.near_groups(odd).collect())
+    want = brute_components([(r[0], r[1]) for r in ODD if r[0] is not None])
+    assert got == Counter((r[0], *(want[r[0]] if r[0] else (1, None)), not r[0] or want[r[0]][1] == r[0]) for r in ODD)
     assert near_dedup.near_groups(odd.limit(0)).count() == 0
 
 
@@ -472,8 +474,36 @@ def test_mix(spark, sf, odd, docs):
         assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= max(r["size"] for r in mine) / 2 + 1
 
 
-def test_mix_of_odd_rows(spark, odd):
+def check_mix(rows, taken):
+    """Each source's taken words are as near its target as its longest document allows, and no row is taken more than twice."""
+    words = lambda t: len((t or "").encode().split())
+    sizes, longest, got = Counter(), Counter(), Counter()
+    for r in rows:
+        sizes[r["source"]] += words(r["text"])
+        longest[r["source"]] = max(longest[r["source"]], words(r["text"]))
+    for r in taken:
+        got[r["source"]] += words(r["text"])
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weights = {x: (3, 1, 2)[i % 3] for i, x in enumerate(order)}
+    target, free, left = {}, set(order), 1.5 * sum(sizes.values())
+    while free:
+        share = left / sum(weights[x] for x in free)
+        full = {x for x in free if share * weights[x] > 2 * sizes[x]}
+        target |= {x: 2 * sizes[x] for x in full} if full else {x: share * weights[x] for x in free}
+        left -= sum(target[x] for x in full)
+        free = free - full if full else set()
+    assert sum(got.values()) > 0
+    for x in order:
+        assert abs(got[x] - target[x]) <= longest[x], x
+    key = lambda r: (r["doc_id"], r["text"], r["source"])
+    there = Counter(map(key, rows))
+    assert all(n <= 2 * there[k] for k, n in Counter(map(key, taken)).items())
+
+
+def test_mix_of_odd_rows(spark, odd, docs):
     """Nulls, ties and repeated rows: rows of an id in a source are taken alike, sources without words give none."""
+    for df in (odd, docs):
+        check_mix(df.collect(), mixing.mix(df).collect())
     taken = Counter((r["doc_id"], r["text"]) for r in mixing.mix(odd).collect())
     rows = Counter((r["doc_id"], r["text"]) for r in odd.collect())
     assert all(n % rows[k] == 0 and n <= 2 * rows[k] for k, n in taken.items())
