@@ -50,6 +50,32 @@ def test_pairs_and_clusters(spark, rows, threshold, part, monkeypatch):
     assert {r["id"]: r["cluster_id"] for r in I.clusters(pairs).collect()} == {i: label[i] for i in linked}
 
 
+@pytest.mark.parametrize(("bucket", "dealt"), [(100, 1 << 21), (300, 64)])
+def test_pairs_over_buckets(spark, rows, bucket, dealt, monkeypatch):
+    """Many buckets, and few keys dealt at once, give what one bucket gives."""
+    df = spark.createDataFrame([*rows, *rows[:20], (None, rows[30][1])], "doc_id long, text string")
+    want = {tuple(r) for r in I.match_pairs(df, "doc_id", "text").collect()}
+    monkeypatch.setattr(similar, "_BUCKET", bucket)
+    monkeypatch.setattr(similar, "_DEALT", dealt)
+    assert {tuple(r) for r in I.match_pairs(df, "doc_id", "text").collect()} == want and len(want) > 15
+
+
+def test_shuffled_bytes(spark):
+    """Shingles that one text has go through one shuffle, packed."""
+    def shuffled(n):
+        pick = random.Random(n)
+        df = spark.createDataFrame([(i, " ".join(f"w{pick.randrange(10**6)}" for _ in range(1000))) for i in range(n)], "id long, text string")
+        store, context = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext
+        stages = lambda: store.stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+        total = lambda: sum(s.apply(k).shuffleWriteBytes() for s in [stages()] for k in range(s.size()))
+        before = total()
+        assert I.match_pairs(df, "id", "text").count() == 0
+        return total() - before
+
+    small, large = shuffled(300), shuffled(600)
+    assert large < 2.2 * small and large < 25 * 600 * 996, (small, large)
+
+
 def test_null_and_repeated_ids(spark):
     """Rows of one id are texts of their own; the best of their pairs counts, and none is an id with itself."""
     a, b, c = ("a b c d e f g h i j", "a b c d e f g h i k", "p q r s t u v w x y")

@@ -233,11 +233,6 @@ def i2_exact_groups(spark, sf):
     return I.exact_groups(table(spark, sf, "documents"), "doc_id", ["text"])
 
 
-def _spread(spark, sf):
-    # A file of one row group is one task; the work on each text is heavy.
-    return table(spark, sf, "documents").select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism)
-
-
 # Distinct 5-word shingles of texts, classes of equal sets and their representatives; all pairs that share a shingle are counted.
 _CLASSES = """w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
 q AS (SELECT id, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END AS g FROM w WHERE len(w) > 0),
@@ -262,19 +257,19 @@ f AS (SELECT g, id, size, size - place AS left_ FROM o WHERE place < size - ceil
 SELECT DISTINCT a.id AS x, b.id AS y FROM f a JOIN f b ON a.g = b.g AND a.id < b.id WHERE least(a.left_, b.left_) >= 0.75::DOUBLE / 1.75 * (a.size + b.size) - 1e-6 UNION ALL SELECT x, y FROM m""")
 def i3_match_candidates(spark, sf):
     fresh(spark, "i3")
-    return I.match_candidates(_spread(spark, sf), "doc_id", "text")
+    return I.match_candidates(table(spark, sf, "documents"), "doc_id", "text")
 
 
 @query(f"WITH {_ALL_PAIRS} SELECT x, y, jaccard FROM pairs")
 def i4_match_pairs(spark, sf):
     fresh(spark, "i4")
-    return I.match_pairs(_spread(spark, sf), "doc_id", "text")
+    return I.match_pairs(table(spark, sf, "documents"), "doc_id", "text")
 
 
 @query(f"WITH RECURSIVE {_ALL_PAIRS}, {_clusters_sql('k', 'SELECT x, y FROM pairs')} SELECT id, cluster_id FROM k")
 def i5_clusters(spark, sf):
     fresh(spark, "i5")
-    return I.clusters(I.match_pairs(_spread(spark, sf), "doc_id", "text"))
+    return I.clusters(I.match_pairs(table(spark, sf, "documents"), "doc_id", "text"))
 
 
 @query("SELECT c_nationkey, c_custkey, c_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) WHERE r = 1")
@@ -287,7 +282,7 @@ j AS (SELECT new.cluster_id, min(old.cluster_id) AS o, count(DISTINCT old.cluste
 SELECT id, coalesce(o, cluster_id) AS stable_id, CASE WHEN o IS NULL THEN 'new' WHEN n > 1 THEN 'merge' ELSE 'same' END AS change FROM new JOIN j USING (cluster_id)""")
 def i7_update_crosswalk(spark, sf):
     fresh(spark, "i7")
-    pairs = I.match_pairs(_spread(spark, sf), "doc_id", "text").checkpoint()
+    pairs = I.match_pairs(table(spark, sf, "documents"), "doc_id", "text").checkpoint()
     before = I.clusters(pairs.where("jaccard >= 0.9")).select("id", F.col("cluster_id").alias("stable_id"))
     return I.update_crosswalk(before, I.clusters(pairs))
 
