@@ -41,6 +41,25 @@ def test_silence_of_text_and_pairs(spark):
     assert dict(one.dtypes)["e"] == "string" and {r["e"] for r in one.collect()} == {"ä", "b", None}
 
 
+def test_silence_calls_grow_with_cells(spark):
+    """Many entities of one cell are watched in one call, over batches, as each alone; ids beyond 2^53 beside nulls stay whole."""
+    big, rows = 2**60 + 1, [[], [], []]
+    for i in range(300):
+        rows[0] += [(big + i, float(i % 2), at(0)), (big + i, float(i % 2), at(i % 9))]
+        rows[i % 3] += [(big + i, float(i % 2), at(20 + i % 7)), (None, -0.0, at(i % 40))]
+    rows[2].append((None, 0.0, at(90)))
+    stream = batches(spark, "e bigint, k double, ts timestamp_ntz", *rows)
+    out = X.stream_silence(stream, ["e", "k"], "ts", 10 * 3600, "48 hours", cells=1)
+    folder = fresh(spark, "s-check")
+    got = X.drain(spark, out, fresh(spark, "s"), folder)
+    assert [n for n, _ in got.dtypes] == ["e", "k", "last_seen"] and dict(got.dtypes)["e"] == "bigint"
+    found = sorted(((r["e"] or 0, r["k"], r["t"]) for r in got.selectExpr("e", "k", "cast(last_seen AS timestamp_ntz) AS t").collect()), key=str)
+    want = [(big + i, float(i % 2), at(i % 9)) for i in range(300) if 20 + i % 7 - i % 9 > 10]
+    want += [(big + i, float(i % 2), at(20 + i % 7)) for i in range(300)] + [(0, 0.0, at(39))]
+    assert found == sorted(want, key=str)
+    assert spark.read.format("statestore").load(folder).count() == 1
+
+
 def test_late_rows_are_counted(spark):
     """Rows behind the watermark, which Spark asks a batch later, are dropped by the rollup and counted; those within the delay are not."""
     parts = [[("a", at(48), 1.0), ("a", at(47), 1.0)], [("a", at(46), 1.0)], [("a", at(0), 1.0), ("b", at(1), 1.0), ("a", at(40), 1.0)], [("a", at(100), 1.0)], [("a", at(101), 1.0)], [("b", at(2), 1.0)]]
