@@ -754,6 +754,15 @@ def test_expected_pieces():
         assert got[k] == pytest.approx((like(up) - like(down)) / (2e-5), rel=1e-4, abs=1e-6)
 
 
+def test_counts_of_votes_split_texts_once(spark):
+    """Votes that are not yet written are counted without repeating the measures."""
+    voted = quality.vote(spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(60))), (2, "few words"), (3, None)], "doc_id long, text string"))
+    splits = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("split(")
+    assert splits(quality._counts(voted)) <= splits(voted)
+    passed = Counter(r["_votes"] for r in voted.collect() if not r["base_failed"])
+    assert {r["_votes"]: r["n"] for r in quality._counts(voted).collect()} == passed and sum(passed.values()) == 1
+
+
 def test_pipeline(spark, sf, docs):
     """Each stage by brute force on what the one before it kept."""
     import corpus_pipeline

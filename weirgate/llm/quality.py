@@ -157,6 +157,8 @@ def vote(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no words and fails. Repeated rows are judged each.
     Columns of ``docs`` that have the name of a result column are replaced.
+    Write the votes before filtering on them: a filter would move below the
+    measures and repeat them for each word.
     """
     docs = docs.drop(*BASE, "base_failed", "quality", "kept")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
@@ -164,9 +166,14 @@ def vote(docs: DataFrame) -> DataFrame:
     return _measures(docs).select(*docs.columns, *BASE, failed.alias("base_failed"), votes.alias("_votes"))
 
 
+def _counts(voted: DataFrame) -> DataFrame:
+    """``_votes, n``: documents that pass the base rules by pattern. Those that fail are not filtered out, since a filter would move below the measures of votes not yet written, and split the text again for each word."""
+    return voted.groupBy("_votes").agg(F.count(F.when(~F.col("base_failed"), 1)).alias("n")).where("n > 0")
+
+
 def learn(voted: DataFrame) -> Weights:
     """``fit`` on the votes of all documents that pass the base rules; the driver gets one count a pattern, 3 ** 9 at most."""
-    counts = voted.where("NOT base_failed").groupBy("_votes").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = _counts(voted).collect()
     as_vote = {"1": 1, "0": 0, "-": None}
     model = fit(sorted(((tuple(as_vote[x] for x in r["_votes"]), r["n"]) for r in counts), key=str))
     return model if counts else (0.0, [(0.0, 0.0)] * len(_rules()))
