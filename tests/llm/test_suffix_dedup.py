@@ -119,6 +119,39 @@ def test_query_of_odd_rows(spark, tmp_path):
     assert S.op11_repeated_passages(spark, f"{tmp_path}/empty").count() == 0
 
 
+def test_rows_of_a_hot_anchor_are_split(spark):
+    """Joins with the counts of anchors leave a hot anchor's rows, which may be split, to several tasks."""
+    pick = random.Random(7)
+    noise = lambda k: "".join(pick.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=k))
+    common, texts = noise(25), [noise(60) for _ in range(300)]
+    rows = list(enumerate([noise(30) + common + noise(30) for _ in range(1500)] + texts + texts))
+    plans = {}
+
+    class Seen(Scratch):
+        def write(self, df, name):
+            df.collect()
+            plans[name] = df._jdf.queryExecution().executedPlan().toString()
+            return super().write(df, name)
+
+    conf = {"autoBroadcastJoinThreshold": "-1", "shuffle.partitions": "16", "files.openCostInBytes": "64k", "adaptive.coalescePartitions.enabled": "false", "adaptive.advisoryPartitionSizeInBytes": "2k"}
+    conf |= {"adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        docs = S._named(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), "text")
+        got = docs.join(S.repeated_places(docs, Seen(spark, "t11h"), 20, keep_first=False), "r", "left").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+    for (i, _), gone, r in zip(rows, brute(rows, 20), sorted(got, key=lambda r: r["doc_id"]), strict=True):
+        assert {x for a, b in S.removed_spans(r["spans"] or [], 20) for x in range(a, b)} == gone, i
+    for name in ("shared", "found"):
+        final = plans[name].partition("== Initial Plan ==")[0]
+        joins = [x for x in final.splitlines() if "SortMergeJoin" in x and "[h#" in x]
+        assert joins and all("skew=true" in x for x in joins), name
+
+
 def test_drop_repeats_keeps_first_and_columns(spark):
     a = "é" + "".join(random.Random(5).choices("abcdefgh", k=60))
     rows = [(3, "x" + a, "n", 1), (2, a + "yy", "n", 2), (2, a + "yy", "n", 2), (None, "short", None, 3), (7, None, "n", 4), (8, a[:20] + "#" + a[40:], "n", 5)]
